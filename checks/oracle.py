@@ -55,3 +55,397 @@ ORACLE["g1_accuracy_boxed"] = with_views(
               from completions c join items i on i.pid = c.pid)
         group by model, mode""",
     "items", "completions")
+
+
+# ---- shared SQL expressions ---------------------------------------------------
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def gold_txt(col: str) -> str:
+    num = (f"replace(coalesce(nullif(regexp_extract(regexp_extract({col}, '####\\s*([^\\n\\r]+)', 1), "
+           f"'{N}', 0), ''), list_extract(regexp_extract_all({col}, '({N})', 1), -1)), ',', '.')")
+    return f"(case when {col} is null then '' else coalesce({num}, {strip(col)}) end)"
+
+
+def boxed_ans(col: str) -> str:
+    s = strip(f"coalesce({col}, '')")
+    body = strip(f"regexp_replace({s}, '####\\s*[^\\n\\r]+', '', 'g')")
+    line = f"(chr(92) || 'boxed{{' || {gold_txt(s)} || '}}')"
+    return f"(case when {body} = '' then {line} else {body} || chr(10) || {line} end)"
+
+
+def clean_eval(x: str) -> str:
+    s = f"coalesce({x}, '')"
+    s = f"regexp_replace({s}, '(?s)\\\\boxed\\s*\\{{.*?\\}}', ' ', 'g')"
+    s = f"regexp_replace({s}, '\\\\[a-zA-Z]+', ' ', 'g')"
+    s = f"regexp_replace({s}, '\\d+', ' ', 'g')"
+    s = f"regexp_replace({s}, '[^A-Za-zÆØÅæøå\\s]', ' ', 'g')"
+    s = f"regexp_replace({s}, '\\s+', ' ', 'g')"
+    return f"lower({strip(s)})"
+
+
+def clean_reward(x: str) -> str:
+    s = f"coalesce({x}, '')"
+    s = f"regexp_replace({s}, '(?s)```.*?```', ' ', 'g')"
+    s = f"regexp_replace({s}, '(?s)\\$.*?\\$|\\\\\\[.*?\\\\\\]|\\\\\\(.*?\\\\\\)', ' ', 'g')"
+    s = f"regexp_replace({s}, '\\\\[a-zA-Z]+(?:\\{{.*?\\}})?', ' ', 'g')"
+    return strip(s)
+
+
+def drop_final(x: str) -> str:
+    return (f"regexp_replace(coalesce({x}, ''), "
+            f"'(?:^|\\r\\n|\\n|\\r)[^\\S\\n]*\\\\boxed\\{{[^\\n]*\\}}[^\\S\\n]*\\n?\\z', '')")
+
+
+def gram_text(x: str) -> str:
+    return f"regexp_replace(lower(coalesce({x}, '')), '[^A-Za-zÆØÅæøå]+', ' ', 'g')"
+
+
+def grams_of(src: str, keycols: str, text: str) -> str:
+    """Select (keycols, gram) of all overlapping 3-grams of gram_text(text)."""
+    return (f"select {keycols}, unnest(list_transform(range(1, len(_c) - 1), "
+            f"lambda i: _c[i] || _c[i + 1] || _c[i + 2])) as gram "
+            f"from (select {keycols}, string_split({gram_text(text)}, '') as _c from {src})")
+
+
+def profile_ctes(langs, p="pf") -> str:
+    """CTE list ending in ``{p}(gram, lang, logp)``: add-one smoothed trigram model."""
+    ll = ", ".join(f"'{x}'" for x in sorted(langs))
+    return f"""{p}_docs as (select lang, {clean_eval('text')} as t from documents where lang in ({ll})),
+{p}_grams as ({grams_of(f'{p}_docs', 'lang', 't')}),
+{p}_counts as (select lang, gram, count(*) as c from {p}_grams group by lang, gram),
+{p}_vocab as (select distinct gram from {p}_counts),
+{p}_totals as (select lang, sum(c) as total from {p}_counts group by lang),
+{p} as (select g.gram, g.lang,
+   ln((coalesce(pc.c, 0) + 1.0) / (coalesce(t.total, 0) + (select count(*) from {p}_vocab))) as logp
+  from (select gram, unnest([{ll}]) as lang from {p}_vocab) g
+  left join {p}_counts pc on pc.gram = g.gram and pc.lang = g.lang
+  left join {p}_totals t on t.lang = g.lang)"""
+
+
+def score_ctes(src: str, langs, out: str, p="pf") -> str:
+    """CTEs ending in ``{out}(k, s_<lang>...)``: summed logp of known grams of
+    ``src(k, t)``; 0 when a text has none."""
+    langs = sorted(langs)
+    sums = ", ".join(f"sum(case when p.lang = '{x}' then p.logp end) as s_{x}" for x in langs)
+    co = ", ".join(f"coalesce(ss.s_{x}, 0.0) as s_{x}" for x in langs)
+    return f"""{out}_g as ({grams_of(src, 'k', 't')}),
+{out}_s as (select g.k, {sums} from {out}_g g join {p} p on p.gram = g.gram group by g.k),
+{out} as (select st.k, {co} from {src} st left join {out}_s ss on ss.k = st.k)"""
+
+
+def conf2(s: str, t: str, o: str):
+    """Softmax confidences of two languages from table alias s (sorted-language sum)."""
+    a, b = sorted([t, o])
+    m = f"greatest({s}.s_{a}, {s}.s_{b})"
+    z = f"(exp({s}.s_{a} - {m}) + exp({s}.s_{b} - {m}))"
+    return f"exp({s}.s_{t} - {m}) / {z}", f"exp({s}.s_{o} - {m}) / {z}"
+
+
+T, O = "de", "en"
+CT, CO = conf2("sc", T, O)
+
+
+def signal(len_expr: str, score_expr: str) -> tuple[str, str]:
+    score = f"(case when {len_expr} < 15 then 0.0 else {score_expr} end)"
+    label = (f"(case when {len_expr} < 15 then 'unclear' when {score} >= 0.3 then 'target' "
+             f"when {score} <= -0.3 then 'other' else 'mixed' end)")
+    return score, label
+
+
+def scored_ctes(target_modes=("da",)) -> str:
+    """CTEs ending in ``scored``: F2 over the fixture tables."""
+    tm = ", ".join(f"'{m}'" for m in target_modes)
+    score, label = signal("length(b.ct)", f"(coalesce(sc_ct, 0.0) - coalesce(sc_co, 0.0))")
+    return f"""{profile_ctes((T, O))},
+sbase as (select c.pid, c.model, c.mode, c.sample_idx, coalesce(c.text, '') as text,
+   case when c.mode = 'en' then {gold_num('i.answer')} else {gold_num('i.da_answer')} end as gold
+   from completions c join items i on i.pid = c.pid),
+sclean as (select *, {clean_eval(drop_final('text'))} as ct from sbase),
+stx as (select distinct ct as k, ct as t from sclean where mode in ({tm}) and length(ct) >= 15),
+{score_ctes('stx', (T, O), 'sconf')},
+sconf2 as (select sc.k, {CT} as sc_ct, {CO} as sc_co from sconf sc),
+sparsed as (select b.pid, b.model, b.mode, b.sample_idx, b.gold, {boxed_flag('b.text')} as boxed,
+   {boxed_num('b.text')} as pred,
+   case when b.mode in ({tm}) then {label} end as lang_label,
+   case when b.mode in ({tm}) then {score} end as lang_score
+   from sclean b left join sconf2 on sconf2.k = b.ct),
+scored as (select *, (pred is not null and gold is not null and abs(pred - gold) < 1e-3) as correct
+   from sparsed)"""
+
+
+def q(body: str, *views: str, ctes: str = "") -> str:
+    sql = with_views("", *views).rstrip()
+    if ctes:
+        sql = (sql + ",\n" + ctes) if views else ("with " + ctes)
+    return sql + "\n" + body
+
+
+ORACLE["c2_gold_text"] = with_views(
+    f"select pid, {gold_txt('answer')} as gold_text_en, {gold_txt('da_answer')} as gold_text_da from items",
+    "items")
+
+ORACLE["c5_boxed_answer"] = with_views(
+    f"select pid, {boxed_ans('answer')} as boxed_answer_en, {boxed_ans('da_answer')} as boxed_answer_da "
+    f"from items", "items")
+
+ORACLE["c6_boxed_answer_en"] = with_views(
+    f"""select pid,
+      case when answer is null or len(string_split(answer, '####')) > 2 then null
+           when len(string_split(answer, '####')) = 2 then
+             {strip("string_split(answer, '####')[1]")} || chr(10) || chr(92) || 'boxed{{' ||
+             {strip("string_split(answer, '####')[2]")} || '}}'
+           else {strip('answer')} || chr(10) || chr(92) || 'boxed{{}}' end as response,
+      (answer is null or len(string_split(answer, '####')) > 2) as rejected
+    from items""", "items")
+
+ORACLE["c7_clean_eval"] = with_views(
+    f"select pid, model, mode, sample_idx, {clean_eval('text')} as cleaned from completions",
+    "completions")
+
+ORACLE["c8_clean_reward"] = with_views(
+    f"select pid, model, mode, sample_idx, {clean_reward('text')} as cleaned from completions",
+    "completions")
+
+ORACLE["c9_drop_final_boxed"] = with_views(
+    f"select pid, model, mode, sample_idx, {drop_final('text')} as content from completions",
+    "completions")
+
+ORACLE["c10_vote_key"] = with_views(
+    f"select pid, model, mode, sample_idx, round({boxed_num('text')}, 6) as vote_key from completions",
+    "completions")
+
+ORACLE["e1_fit_profile"] = q("select lang, gram, round(logp, 6) as logp from pf",
+                             ctes=profile_ctes((T, O)))
+
+_E2CT, _E2CO = conf2("sc", T, O)
+ORACLE["e2_language_confidence"] = q(
+    f"select sc.k as doc_id, round({_E2CT}, 6) as conf_target, round({_E2CO}, 6) as conf_other "
+    f"from dconf sc",
+    ctes=f"""{profile_ctes((T, O))},
+dsrc as (select doc_id as k, {clean_eval('text')} as t from documents),
+{score_ctes('dsrc', (T, O), 'dconf')}""")
+
+_DL = ("de", "en", "es", "fr")
+_best = "greatest(" + ", ".join(f"s.s_{x}" for x in _DL) + ")"
+_det = "coalesce(" + ", ".join(f"case when s.s_{x} = {_best} then '{x}' end" for x in _DL) + ")"
+ORACLE["e3_detect_language"] = q(
+    f"""select s.k as doc_id, {_det} as detected,
+        (regexp_replace(coalesce(d.text, ''), '\\s', '', 'g') <> '' and {_det} = '{T}') as is_target
+        from det s join documents d on d.doc_id = s.k""",
+    ctes=f"""{profile_ctes(_DL)},
+dsrc as (select doc_id as k, {clean_eval('text')} as t from documents),
+{score_ctes('dsrc', _DL, 'det')}""")
+
+_e4score, _e4label = signal("length(e.ct)", f"coalesce(sc_ct - sc_co, 0.0)")
+ORACLE["e4_language_signal"] = q(
+    f"""select e.pid, e.model, e.mode, e.sample_idx, length(e.ct) as cleaned_len,
+        {_e4label} as lang_label, round({_e4score}, 6) as lang_score
+        from ec e left join econf2 on econf2.k = e.ct""",
+    "completions",
+    ctes=f"""{profile_ctes((T, O))},
+ec as (select pid, model, mode, sample_idx, {clean_eval(drop_final('text'))} as ct from completions),
+etx as (select distinct ct as k, ct as t from ec where length(ct) >= 15),
+{score_ctes('etx', (T, O), 'econf')},
+econf2 as (select sc.k, {CT} as sc_ct, {CO} as sc_co from econf sc)""")
+
+
+def reward_ctes(src_rows: str) -> str:
+    """CTEs ending in ``rconf2(k, sc_ct, sc_co)`` and ``rc`` rows with ``rt``."""
+    return f"""rc as (select *, {clean_reward(drop_final('text'))} as rt from {src_rows}),
+rtx as (select distinct rt as k, rt as t from rc where length(rt) >= 15),
+{score_ctes('rtx', (T, O), 'rconf')},
+rconf2 as (select sc.k, {CT} as sc_ct, {CO} as sc_co from rconf sc)"""
+
+
+_lr = "(case when length(r.rt) < 15 then 0.0 else 1.0 * (r2.sc_ct - r2.sc_co) end)"
+ORACLE["e5_language_reward"] = q(
+    f"""select r.pid, r.model, r.mode, r.sample_idx, round({_lr}, 6) as language_reward
+        from rc r left join rconf2 r2 on r2.k = r.rt""",
+    "completions", ctes=f"{profile_ctes((T, O))},\n{reward_ctes('completions')}")
+
+ORACLE["f2_score_completions"] = q(
+    "select pid, model, mode, sample_idx, gold, boxed, pred, correct, lang_label, "
+    "round(lang_score, 6) as lang_score from scored",
+    "items", "completions", ctes=scored_ctes())
+
+_RL = f"""rl as (select c.*, chr(92) || 'boxed{{' ||
+   {gold_txt("case when c.mode = 'en' then i.answer else i.da_answer end")} || '}}' as solution
+   from completions c join items i on i.pid = c.pid where c.mode in ('en', 'da'))"""
+_acc = (f"(case when {boxed_num('text')} is not null and {boxed_num('solution')} is not null and "
+        f"abs({boxed_num('text')} - {boxed_num('solution')}) < 1e-3 then 1.0::double else 0.0::double end)")
+ORACLE["f3_accuracy_reward"] = q(
+    f"select pid, model, mode, sample_idx, {_acc} as accuracy_reward from rl",
+    "items", "completions", ctes=_RL)
+
+ORACLE["f4_total_reward"] = q(
+    f"""select r.pid, r.model, r.mode, r.sample_idx, r.acc as accuracy_reward,
+        round({_lr}, 6) as language_reward, round(1.0 * r.acc + 0.2 * {_lr}, 6) as total_reward
+        from rc r left join rconf2 r2 on r2.k = r.rt""",
+    "items", "completions",
+    ctes=f"{_RL},\nrla as (select *, {_acc} as acc from rl),\n{profile_ctes((T, O))},\n{reward_ctes('rla')}")
+
+_EM = """select model, mode,
+  avg(case when correct then 1.0 else 0.0 end) as accuracy,
+  avg(case when boxed then 1.0 else 0.0 end) as boxed_rate,
+  case when mode in ('da', 'da_en') then avg(case when lang_label = 'target' then 1.0 else 0.0 end) end as target_rate,
+  case when mode in ('da', 'da_en') then avg(case when lang_label = 'other' then 1.0 else 0.0 end) end as other_rate,
+  case when mode in ('da', 'da_en') then avg(case when lang_label = 'mixed' then 1.0 else 0.0 end) end as mixed_rate,
+  case when mode in ('da', 'da_en') then avg(case when lang_label = 'unclear' then 1.0 else 0.0 end) end as unclear_rate,
+  case when mode in ('da', 'da_en') then avg(case when correct and boxed and lang_label = 'target' then 1.0 else 0.0 end) end as strict_accuracy,
+  case when mode in ('da', 'da_en') then avg(case when correct and lang_label <> 'target' then 1.0 else 0.0 end) end as correct_but_not_target_rate,
+  case when mode in ('da', 'da_en') then avg(coalesce(lang_score, 0.0)) end as avg_target_minus_other
+ from scored group by model, mode"""
+
+ORACLE["g2_language_rates"] = q(
+    "select model, mode, round(target_rate, 6) as target_rate, round(other_rate, 6) as other_rate, "
+    "round(mixed_rate, 6) as mixed_rate, round(unclear_rate, 6) as unclear_rate from em",
+    "items", "completions", ctes=scored_ctes(("da", "da_en")) + f",\nem as ({_EM})")
+
+ORACLE["g3_strict_accuracy"] = q(
+    "select model, mode, round(strict_accuracy, 6) as strict_accuracy, "
+    "round(correct_but_not_target_rate, 6) as correct_but_not_target_rate from em",
+    "items", "completions", ctes=scored_ctes(("da", "da_en")) + f",\nem as ({_EM})")
+
+ORACLE["g4_mean_contrast"] = q(
+    "select model, mode, round(avg_target_minus_other, 6) as avg_target_minus_other from em",
+    "items", "completions", ctes=scored_ctes(("da", "da_en")) + f",\nem as ({_EM})")
+
+_st = strip("coalesce(text, '')")
+_words = f"(case when {_st} = '' then 0 else len(regexp_split_to_array({_st}, '\\s+')) end)"
+ORACLE["g5_length_summary"] = with_views(
+    f"""select model, mode, round(avg(w), 6) as avg_words, cast(max(w) as bigint) as max_words,
+        round(quantile_cont(w, 0.5), 6) as p50_words
+        from (select model, mode, {_words} as w from completions) group by model, mode""",
+    "completions")
+
+_SC10 = scored_ctes() + """,
+sc10 as (select * from scored where sample_idx < 10),
+grid as (select m.model, m.mode, n.n from (select distinct model, mode from sc10) m,
+   (select unnest(range(1, 11)) as n) n),
+tot as (select count(*) as total from items)"""
+
+_FH = """fh as (select pid, model, mode,
+   min(case when correct then sample_idx end) as f_acc,
+   min(case when boxed then sample_idx end) as f_box,
+   min(case when correct and boxed and lang_label = 'target' then sample_idx end) as f_strict,
+   min(case when correct and lang_label <> 'target' then sample_idx end) as f_cnt,
+   min(case when correct and lang_label = 'target' then sample_idx end) as f_ct,
+   min(case when correct and lang_label = 'other' then sample_idx end) as f_co
+  from sc10 group by pid, model, mode),
+bon as (select g.model, g.mode, g.n,
+   sum(case when fh.f_acc < g.n then 1 else 0 end) / max(t.total) as oracle_accuracy,
+   sum(case when fh.f_box < g.n then 1 else 0 end) / max(t.total) as oracle_boxed_rate,
+   case when g.mode = 'da' then sum(case when fh.f_strict < g.n then 1 else 0 end) / max(t.total) end as oracle_strict_accuracy,
+   case when g.mode = 'da' then sum(case when fh.f_cnt < g.n then 1 else 0 end) / max(t.total) end as oracle_correct_but_not_target_rate,
+   case when g.mode = 'da' then sum(case when fh.f_acc < g.n then 1 else 0 end) / max(t.total) end as oracle_any_correct_rate,
+   case when g.mode = 'da' then sum(case when fh.f_ct < g.n then 1 else 0 end) / max(t.total) end as oracle_any_correct_target_rate,
+   case when g.mode = 'da' then sum(case when fh.f_co < g.n then 1 else 0 end) / max(t.total) end as oracle_any_correct_other_rate
+  from grid g cross join tot t left join fh on fh.model = g.model and fh.mode = g.mode
+  group by g.model, g.mode, g.n)"""
+
+ORACLE["g6_best_of_n"] = q(
+    "select model, mode, n, round(oracle_accuracy, 6) as oracle_accuracy, "
+    "round(oracle_boxed_rate, 6) as oracle_boxed_rate from bon",
+    "items", "completions", ctes=_SC10 + ",\n" + _FH)
+
+ORACLE["g7_best_of_n_target"] = q(
+    "select model, mode, n, round(oracle_strict_accuracy, 6) as oracle_strict_accuracy, "
+    "round(oracle_correct_but_not_target_rate, 6) as oracle_correct_but_not_target_rate, "
+    "round(oracle_any_correct_rate, 6) as oracle_any_correct_rate, "
+    "round(oracle_any_correct_target_rate, 6) as oracle_any_correct_target_rate, "
+    "round(oracle_any_correct_other_rate, 6) as oracle_any_correct_other_rate from bon",
+    "items", "completions", ctes=_SC10 + ",\n" + _FH)
+
+_WIN = """vv as (select pid, model, mode, sample_idx, round(pred, 6) as vkey, correct, boxed, lang_label,
+   lang_score, unnest(range(sample_idx + 1, 11)) as n from sc10 where pred is not null),
+gr as (select pid, model, mode, n, vkey, count(*) as votes, avg(sample_idx) as avg_idx,
+   min(sample_idx) as first_idx, arg_min(correct, sample_idx) as correct, arg_min(boxed, sample_idx) as boxed,
+   arg_min(lang_label, sample_idx) as lang_label, arg_min(lang_score, sample_idx) as lang_score
+   from vv group by pid, model, mode, n, vkey),
+win as (select * from (select *, row_number() over (partition by pid, model, mode, n
+   order by votes desc, avg_idx, first_idx) as rn from gr) where rn = 1),
+maj as (select g.model, g.mode, g.n,
+   sum(case when w.correct then 1 else 0 end) / max(t.total) as accuracy,
+   sum(case when w.boxed then 1 else 0 end) / max(t.total) as boxed_rate,
+   count(w.pid) / max(t.total) as parsed_rate,
+   case when g.mode = 'da' then sum(case when w.correct and w.boxed and w.lang_label = 'target' then 1 else 0 end) / max(t.total) end as strict_accuracy,
+   case when g.mode = 'da' then sum(case when w.correct and w.lang_label <> 'target' then 1 else 0 end) / max(t.total) end as correct_but_not_target_rate,
+   case when g.mode = 'da' then sum(case when w.lang_label = 'target' then 1 else 0 end) / max(t.total) end as selected_target_rate,
+   case when g.mode = 'da' then sum(case when w.lang_label = 'other' then 1 else 0 end) / max(t.total) end as selected_other_rate,
+   case when g.mode = 'da' then sum(case when w.lang_label = 'mixed' then 1 else 0 end) / max(t.total) end as selected_mixed_rate,
+   case when g.mode = 'da' then sum(case when w.lang_label = 'unclear' then 1 else 0 end) / max(t.total) end as selected_unclear_rate,
+   case when g.mode = 'da' then coalesce(sum(w.lang_score) / nullif(count(w.pid), 0), 0.0) end as selected_avg_target_minus_other
+  from grid g cross join tot t left join win w on w.model = g.model and w.mode = g.mode and w.n = g.n
+  group by g.model, g.mode, g.n)"""
+
+ORACLE["g8_majority_winner"] = q(
+    "select pid, model, mode, n, vkey as pred, votes, first_idx as winner_idx, correct, boxed, "
+    "lang_label, round(lang_score, 6) as lang_score from win",
+    "items", "completions", ctes=_SC10 + ",\n" + _WIN)
+
+ORACLE["g9_majority_metrics"] = q(
+    "select model, mode, n, " + ", ".join(f"round({k}, 6) as {k}" for k in [
+        "accuracy", "boxed_rate", "parsed_rate", "strict_accuracy", "correct_but_not_target_rate",
+        "selected_target_rate", "selected_other_rate", "selected_mixed_rate",
+        "selected_unclear_rate"]) + " from maj",
+    "items", "completions", ctes=_SC10 + ",\n" + _WIN)
+
+ORACLE["g10_majority_contrast"] = q(
+    "select model, mode, n, round(selected_avg_target_minus_other, 6) as selected_avg_target_minus_other "
+    "from maj", "items", "completions", ctes=_SC10 + ",\n" + _WIN)
+
+_MIX = """mgrid as (select m.model, m.mode, n.n from (select distinct model, mode from sc10 where mode = 'da') m,
+   (select unnest(range(1, 11)) as n) n),
+mix as (select g.model, g.mode, g.n,
+   sum(case when s.lang_label = 'target' then 1 else 0 end) / (max(t.total) * g.n) as sample_target_rate,
+   sum(case when s.lang_label = 'other' then 1 else 0 end) / (max(t.total) * g.n) as sample_other_rate,
+   sum(case when s.lang_label = 'mixed' then 1 else 0 end) / (max(t.total) * g.n) as sample_mixed_rate,
+   sum(case when s.lang_label = 'unclear' then 1 else 0 end) / (max(t.total) * g.n) as sample_unclear_rate,
+   coalesce(sum(s.lang_score), 0) / (max(t.total) * g.n) as sample_avg_target_minus_other
+  from mgrid g cross join tot t left join sc10 s on s.model = g.model and s.mode = g.mode and s.sample_idx < g.n
+  group by g.model, g.mode, g.n)"""
+
+ORACLE["g11_sample_language_mix"] = q(
+    "select model, mode, n, " + ", ".join(f"round({k}, 6) as {k}" for k in [
+        "sample_target_rate", "sample_other_rate", "sample_mixed_rate", "sample_unclear_rate",
+        "sample_avg_target_minus_other"]) + " from mix",
+    "items", "completions", ctes=_SC10 + ",\n" + _MIX)
+
+_EVAL_COLS = ([f"da_{k}" for k in ["accuracy", "boxed_rate", "target_rate", "other_rate", "mixed_rate",
+                                    "unclear_rate", "strict_accuracy", "correct_but_not_target_rate",
+                                    "avg_target_minus_other"]] + ["en_accuracy", "en_boxed_rate"])
+ORACLE["g12_pivot_metrics"] = q(
+    "select model, " + ", ".join(
+        f"round(max(case when mode = '{c[:2]}' then {c[3:]} end), 6) as {c}" for c in _EVAL_COLS)
+    + " from em group by model",
+    "items", "completions", ctes=scored_ctes(("da", "da_en")) + f",\nem as ({_EM})")
+
+_SERIES = [
+    ("target_best_vs_majority", "Oracle best-of-n", "bon", "oracle_accuracy"),
+    ("target_best_vs_majority", "Majority@n", "maj", "accuracy"),
+    ("target_best_vs_majority", "Strict Danish majority@n", "maj", "strict_accuracy"),
+    ("target_best_detail", "Strict Danish accuracy", "bon", "oracle_strict_accuracy"),
+    ("target_best_detail", "Any correct Danish", "bon", "oracle_any_correct_target_rate"),
+    ("target_best_detail", "Any correct English", "bon", "oracle_any_correct_other_rate"),
+    ("target_best_language_mix", "Sample Danish rate", "mix", "sample_target_rate"),
+    ("target_best_language_mix", "Sample English rate", "mix", "sample_other_rate"),
+    ("target_best_language_mix", "Sample unclear rate", "mix", "sample_unclear_rate"),
+    ("target_majority_language", "Selected Danish rate", "maj", "selected_target_rate"),
+    ("target_majority_language", "Selected English rate", "maj", "selected_other_rate"),
+    ("target_majority_language", "Selected unclear rate", "maj", "selected_unclear_rate"),
+]
+_safe = "regexp_replace(regexp_replace(model, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_parts = [
+    "select model, 'best_of_accuracy' as figure, case mode when 'en' then 'English' when 'da' then 'Danish' "
+    "else mode end as series, n, 100.0 * oracle_accuracy as percent from bon",
+    "select model, 'majority_accuracy' as figure, case mode when 'en' then 'English' when 'da' then 'Danish' "
+    "else mode end as series, n, 100.0 * accuracy as percent from maj",
+] + [f"select model, '{f}' as figure, '{s}' as series, n, 100.0 * {m} as percent from {t} where mode = 'da'"
+     for f, s, t, m in _SERIES]
+ORACLE["g13_scaling_series"] = q(
+    f"select model, {_safe} as safe_model, figure, series, n, round(percent, 6) as percent from ("
+    + " union all ".join(_parts) + ")",
+    "items", "completions", ctes=_SC10 + ",\n" + _FH + ",\n" + _WIN + ",\n" + _MIX)

@@ -158,11 +158,13 @@ def score_texts(texts: DataFrame, key: str, text: str, profile: DataFrame,
     if exclude_final_line:
         t = drop_final_boxed(t)
     cleaned = clean_eval(t) if cleaner == "eval" else clean_reward(t)
-    c = texts.select(key, cleaned.alias("_c")).withColumn("cleaned_len", F.length("_c"))
-    long_ = c.where(F.col("cleaned_len") >= min_chars)
-    conf = with_confidences(language_scores(long_, key, "_c", profile, (target, other), n),
+    c = texts.select(key, cleaned.alias("_c")).withColumn("cleaned_len", F.length("_c")) \
+        .withColumn("_ck", F.md5("_c"))
+    # Texts that clean to the same string are scored once.
+    long_ = c.where(F.col("cleaned_len") >= min_chars).select("_ck", "_c").distinct()
+    conf = with_confidences(language_scores(long_, "_ck", "_c", profile, (target, other), n),
                             (target, other))
-    out = c.join(conf, key, "left").select(
+    out = c.join(conf, "_ck", "left").select(
         key, "cleaned_len",
         F.coalesce(F.col(f"conf_{target}"), F.lit(0.0)).alias("conf_target"),
         F.coalesce(F.col(f"conf_{other}"), F.lit(0.0)).alias("conf_other"))

@@ -80,3 +80,222 @@ def g1(spark, sf):
     m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
     return m.select("model", "mode", r6("accuracy").alias("accuracy"),
                     r6("boxed_rate").alias("boxed_rate"))
+
+
+@query("c2_gold_text")
+def c2(spark, sf):
+    it = X.items(spark, sf)
+    return it.select("pid", A.gold_text("answer").alias("gold_text_en"),
+                     A.gold_text("da_answer").alias("gold_text_da"))
+
+
+@query("c5_boxed_answer")
+def c5(spark, sf):
+    it = X.items(spark, sf)
+    return it.select("pid", A.boxed_answer("answer").alias("boxed_answer_en"),
+                     A.boxed_answer("da_answer").alias("boxed_answer_da"))
+
+
+@query("c6_boxed_answer_en")
+def c6(spark, sf):
+    it = X.items(spark, sf)
+    resp, rej = A.boxed_answer_en(F.col("answer"))
+    return it.select("pid", resp.alias("response"), rej.alias("rejected"))
+
+
+@query("c7_clean_eval")
+def c7(spark, sf):
+    c = X.completions(spark, sf)
+    return c.select(*S.KEY, A.clean_eval("text").alias("cleaned"))
+
+
+@query("c8_clean_reward")
+def c8(spark, sf):
+    c = X.completions(spark, sf)
+    return c.select(*S.KEY, A.clean_reward("text").alias("cleaned"))
+
+
+@query("c9_drop_final_boxed")
+def c9(spark, sf):
+    c = X.completions(spark, sf)
+    return c.select(*S.KEY, A.drop_final_boxed("text").alias("content"))
+
+
+@query("c10_vote_key")
+def c10(spark, sf):
+    c = X.completions(spark, sf)
+    return c.select(*S.KEY, A.vote_key(A.boxed_number("text")).alias("vote_key"))
+
+
+# ---- E: language model -------------------------------------------------------
+
+@query("e1_fit_profile")
+def e1(spark, sf):
+    return profile(spark, sf).select("lang", "gram", r6("logp").alias("logp"))
+
+
+@query("e2_language_confidence")
+def e2(spark, sf):
+    d = X.labelled_text(spark, sf)
+    conf = L.language_confidence(d.select("doc_id", A.clean_eval("text").alias("t")),
+                                 "doc_id", "t", profile(spark, sf), (TARGET, OTHER))
+    return conf.select("doc_id", r6(f"conf_{TARGET}").alias("conf_target"),
+                       r6(f"conf_{OTHER}").alias("conf_other"))
+
+
+@query("e3_detect_language")
+def e3(spark, sf):
+    d = X.labelled_text(spark, sf)
+    prof = profile(spark, sf, DETECT_LANGS)
+    return L.detect_language(d, "doc_id", "text", prof, DETECT_LANGS, TARGET) \
+        .select("doc_id", "detected", "is_target")
+
+
+@query("e4_language_signal")
+def e4(spark, sf):
+    c = X.completions(spark, sf)
+    sig = L.language_signal(c, "text", profile(spark, sf), TARGET, OTHER)
+    return sig.select(*S.KEY, "cleaned_len", "lang_label", r6("lang_score").alias("lang_score"))
+
+
+@query("e5_language_reward")
+def e5(spark, sf):
+    c = X.completions(spark, sf)
+    r = L.language_reward(c, "text", profile(spark, sf), TARGET, OTHER)
+    return r.select(*S.KEY, r6("language_reward").alias("language_reward"))
+
+
+# ---- F: scoring --------------------------------------------------------------
+
+def _scored_out(df):
+    return df.select(*S.KEY, "gold", "boxed", "pred", "correct", "lang_label",
+                     r6("lang_score").alias("lang_score"))
+
+
+@query("f2_score_completions")
+def f2(spark, sf):
+    return _scored_out(scored(spark, sf))
+
+
+def _rl_rows(spark, sf):
+    c = X.completions(spark, sf)
+    sol = S.rl_solutions(X.items(spark, sf))
+    return c.join(sol, ["pid", "mode"])
+
+
+@query("f3_accuracy_reward")
+def f3(spark, sf):
+    return S.accuracy_reward(_rl_rows(spark, sf)).select(*S.KEY, "accuracy_reward")
+
+
+@query("f4_total_reward")
+def f4(spark, sf):
+    rows = _rl_rows(spark, sf)
+    out = S.total_reward(rows, S.default_rewards(profile(spark, sf), TARGET, OTHER))
+    return out.select(*S.KEY, "accuracy_reward", r6("language_reward").alias("language_reward"),
+                      r6("total_reward").alias("total_reward"))
+
+
+# ---- G: aggregation ----------------------------------------------------------
+
+@query("g2_language_rates")
+def g2(spark, sf):
+    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
+    return m.select("model", "mode", *[r6(k).alias(k) for k in
+                                       ["target_rate", "other_rate", "mixed_rate", "unclear_rate"]])
+
+
+@query("g3_strict_accuracy")
+def g3(spark, sf):
+    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
+    return m.select("model", "mode", r6("strict_accuracy").alias("strict_accuracy"),
+                    r6("correct_but_not_target_rate").alias("correct_but_not_target_rate"))
+
+
+@query("g4_mean_contrast")
+def g4(spark, sf):
+    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
+    return m.select("model", "mode", r6("avg_target_minus_other").alias("avg_target_minus_other"))
+
+
+@query("g5_length_summary")
+def g5(spark, sf):
+    s = M.length_summary(X.completions(spark, sf))
+    return s.select("model", "mode", r6("avg_words").alias("avg_words"), "max_words",
+                    r6("p50_words").alias("p50_words"))
+
+
+def _samples(spark, sf):
+    return G.prefix_samples(scored(spark, sf), max(NS))
+
+
+def _round_all(df, keys):
+    return df.select(*keys, *[r6(c).alias(c) for c in df.columns if c not in keys])
+
+
+@query("g6_best_of_n")
+def g6(spark, sf):
+    b = G.best_of_n(_samples(spark, sf), X.items(spark, sf), NS)
+    return _round_all(b.select("model", "mode", F.col("n").cast("long").alias("n"),
+                               *G.BEST_BASE), ["model", "mode", "n"])
+
+
+@query("g7_best_of_n_target")
+def g7(spark, sf):
+    b = G.best_of_n(_samples(spark, sf), X.items(spark, sf), NS)
+    return _round_all(b.select("model", "mode", F.col("n").cast("long").alias("n"),
+                               *G.BEST_TARGET), ["model", "mode", "n"])
+
+
+@query("g8_majority_winner")
+def g8(spark, sf):
+    w = G.majority_winner(_samples(spark, sf), NS)
+    return w.select("pid", "model", "mode", F.col("n").cast("long").alias("n"), "pred",
+                    F.col("votes").cast("long").alias("votes"), "winner_idx", "correct", "boxed",
+                    "lang_label", r6("lang_score").alias("lang_score"))
+
+
+def _majority(spark, sf):
+    s = _samples(spark, sf)
+    return G.majority_metrics(G.majority_winner(s, NS), s, X.items(spark, sf), NS)
+
+
+@query("g9_majority_metrics")
+def g9(spark, sf):
+    m = _majority(spark, sf)
+    return _round_all(m.select("model", "mode", F.col("n").cast("long").alias("n"),
+                               *G.MAJ_BASE, *G.MAJ_TARGET[:-1]), ["model", "mode", "n"])
+
+
+@query("g10_majority_contrast")
+def g10(spark, sf):
+    m = _majority(spark, sf)
+    return m.select("model", "mode", F.col("n").cast("long").alias("n"),
+                    r6("selected_avg_target_minus_other").alias("selected_avg_target_minus_other"))
+
+
+@query("g11_sample_language_mix")
+def g11(spark, sf):
+    m = G.sample_language_mix(_samples(spark, sf), X.items(spark, sf), NS)
+    return _round_all(m.withColumn("n", F.col("n").cast("long")), ["model", "mode", "n"])
+
+
+@query("g12_pivot_metrics")
+def g12(spark, sf):
+    w = M.eval_wide(scored(spark, sf, S.TARGET_MODES_EVAL), ("da", "en"))
+    return _round_all(w, ["model"])
+
+
+def scaling_long(spark, sf):
+    s = _samples(spark, sf)
+    items = X.items(spark, sf)
+    best = G.best_of_n(s, items, NS)
+    mix = G.sample_language_mix(s, items, NS)
+    maj = G.majority_metrics(G.majority_winner(s, NS), s, items, NS)
+    return G.scaling_long(best, mix, maj)
+
+
+@query("g13_scaling_series")
+def g13(spark, sf):
+    ser = M.scaling_series(scaling_long(spark, sf), ("en", "da"), "da", NS)
+    return ser.select("model", "safe_model", "figure", "series", "n", r6("percent").alias("percent"))
