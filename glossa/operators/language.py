@@ -160,14 +160,17 @@ def score_texts(texts: DataFrame, key: str, text: str, profile: DataFrame,
     cleaned = clean_eval(t) if cleaner == "eval" else clean_reward(t)
     c = texts.select(key, cleaned.alias("_c")).withColumn("cleaned_len", F.length("_c")) \
         .withColumn("_ck", F.md5("_c"))
-    # Texts that clean to the same string are scored once.
-    long_ = c.where(F.col("cleaned_len") >= min_chars).select("_ck", "_c").distinct()
-    conf = with_confidences(language_scores(long_, "_ck", "_c", profile, (target, other), n),
+    # Texts that clean to the same string are scored once.  No length filter
+    # here: it would be pushed below the de-duplication and clean every row;
+    # the short-text gate is applied to the result instead.
+    uniq = c.select("_ck", "_c").distinct()
+    conf = with_confidences(language_scores(uniq, "_ck", "_c", profile, (target, other), n),
                             (target, other))
+    short = F.col("cleaned_len") < min_chars
     out = c.join(conf, "_ck", "left").select(
         key, "cleaned_len",
-        F.coalesce(F.col(f"conf_{target}"), F.lit(0.0)).alias("conf_target"),
-        F.coalesce(F.col(f"conf_{other}"), F.lit(0.0)).alias("conf_other"))
+        F.when(short, F.lit(0.0)).otherwise(F.col(f"conf_{target}")).alias("conf_target"),
+        F.when(short, F.lit(0.0)).otherwise(F.col(f"conf_{other}")).alias("conf_other"))
     cols = signal_columns(F.col("conf_target"), F.col("conf_other"), F.col("cleaned_len"),
                           min_chars, threshold)
     return out.select("*", *[v.alias(k) for k, v in cols.items()])
