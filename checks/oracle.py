@@ -449,3 +449,219 @@ ORACLE["g13_scaling_series"] = q(
     f"select model, {_safe} as safe_model, figure, series, n, round(percent, 6) as percent from ("
     + " union all ".join(_parts) + ")",
     "items", "completions", ctes=_SC10 + ",\n" + _FH + ",\n" + _WIN + ",\n" + _MIX)
+
+
+# ---- D: datasets (prompt texts are fixed data shared with the operators;
+# the substitution below is SQL's own replace) ----------------------------------
+from glossa.operators import prompts as _P  # noqa: E402
+
+
+def lit(s):
+    return "NULL::varchar" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def fill_sql(tmpl_sql: str, q: str) -> str:
+    return (f"replace(replace(replace(replace(replace({tmpl_sql}, '{{question}}', coalesce({q}, '')), "
+            f"'{{da_question}}', coalesce(i.da_question, '')), '{{en_question}}', coalesce(i.question, '')), "
+            f"'{{answer}}', coalesce(i.answer, '')), '{{da_answer}}', coalesce(i.da_answer, ''))")
+
+
+_TV = ", ".join(f"({lit(f)}, {lit(m)}, {str(r).lower()}, {lit(s)}, {lit(u)})"
+                for (f, m, r), (s, u) in _P.TEMPLATES.items())
+_QMODE = "case when t.mode = 'en' then i.question else i.da_question end"
+ORACLE["d1_render_prompts"] = q(
+    f"select i.pid, t.family, t.mode, t.reasoning, t.system, {fill_sql('t.tmpl', _QMODE)} as user "
+    f"from items i, tpl t", "items",
+    ctes=f"tpl(family, mode, reasoning, system, tmpl) as (values {_TV})")
+
+_EV = [(m,) + _P.TEMPLATES[("eval", m, True)] for m in ("en", "da", "da_en")]
+ORACLE["d2_to_messages"] = q(
+    " union all ".join(
+        f"select i.pid, '{m}' as mode, 0::bigint as msg_idx, 'system' as role, {lit(s)} as content from items i "
+        f"union all select i.pid, '{m}', 1::bigint, 'user', "
+        f"{fill_sql(lit(u), 'i.question' if m == 'en' else 'i.da_question')} from items i"
+        for m, s, u in _EV), "items")
+
+ORACLE["d3_render_chats"] = """select conv_id,
+  string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by turn) as chat_train,
+  string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by turn)
+    || '<|im_start|>assistant' || chr(10) as chat_prompt
+ from conversations group by conv_id"""
+
+ORACLE["d4_expand_paired"] = with_views(
+    f"""select pid, md5(cast(pid as varchar) || ':42') as order_key, 0::bigint as pos, 'da' as lang,
+          da_question as q, {boxed_ans('da_answer')} as a from items
+        union all
+        select pid, md5(cast(pid as varchar) || ':42'), 1::bigint, 'en', question, {boxed_ans('answer')} from items""",
+    "items")
+
+
+def _nb(x):
+    return f"({x} is not null and {strip(x)} <> '')"
+
+
+ORACLE["d5_expand_unpaired"] = with_views(
+    f"""select pid, lang, q, a, lang_order_key, md5(cast(pid as varchar) || ':' || lang || ':165') as order_key from (
+        select pid, 'da' as lang, {strip('da_question')} as q, {boxed_ans(strip('da_answer'))} as a,
+          md5(cast(pid as varchar) || ':1041') as lang_order_key
+        from items where {_nb('da_question')} and {_nb('da_answer')}
+        union all
+        select pid, 'en', {strip('question')}, {boxed_ans(strip('answer'))}, md5(cast(pid as varchar) || ':42')
+        from items where {_nb('question')} and {_nb('answer')})""", "items")
+
+ORACLE["d6_expand_single"] = with_views(
+    f"select pid, md5(cast(pid as varchar) || ':42') as order_key, da_question as q, "
+    f"{boxed_ans('da_answer')} as a from items", "items")
+
+ORACLE["d7_rl_set"] = with_views(
+    " union all ".join(
+        f"select i.pid, '{m}' as mode, {fill_sql(lit(_P.TEMPLATES[('rl', m, True)][1]), 'i.da_question')} as prompt, "
+        f"chr(92) || 'boxed{{' || {gold_txt('i.da_answer')} || '}}' as solution from items i"
+        for m in ("da", "da_en")), "items")
+
+_C6 = (f"case when len(string_split(i.answer, '####')) = 2 then "
+       f"{strip(chr(39).join(['string_split(i.answer, ', '####', ')[1]']))} || chr(10) || chr(92) || 'boxed{{' || "
+       f"{strip(chr(39).join(['string_split(i.answer, ', '####', ')[2]']))} || '}}' "
+       f"else {strip('i.answer')} || chr(10) || chr(92) || 'boxed{{}}' end")
+ORACLE["d8_messages_en"] = with_views(
+    f"""select * from (
+        select i.pid, 0::bigint as msg_idx, 'user' as role, {fill_sql(lit(_P.EN_ONLY), 'i.question')} as content
+        from items i where i.answer is not null and len(string_split(i.answer, '####')) <= 2
+        union all
+        select i.pid, 1::bigint, 'assistant', {_C6}
+        from items i where i.answer is not null and len(string_split(i.answer, '####')) <= 2)""", "items")
+
+ORACLE["d9_review_requests"] = with_views(
+    f"select i.pid, {lit(_P.REVIEW_SYSTEM)} as system, {fill_sql(lit(_P.REVIEW_USER), 'i.question')} as user "
+    f"from items i", "items")
+
+ORACLE["d10_translation_requests"] = with_views(
+    f"select i.pid as id, {fill_sql(lit(_P.TRANSLATE_USER), 'i.question')} as prompt from items i", "items")
+
+_D11 = " union all ".join(
+    f"select i.pid, '{m}' as mode, {lit(s)} as system, "
+    f"{fill_sql(lit(u), 'i.question' if m == 'en' else 'i.da_question')} as user, "
+    f"{gold_num('i.answer' if m == 'en' else 'i.da_answer')} as gold from items i"
+    for m, s, u in _EV)
+ORACLE["d11_prepare_modes"] = with_views(_D11, "items")
+
+# ---- B: splits ----------------------------------------------------------------
+ORACLE["b1_split_by_position"] = with_views(
+    """select pid, position, case when position < 7473 then 'train' else 'test' end as part
+       from (select pid, row_number() over (order by pid) - 1 as position from items)""", "items")
+ORACLE["b2_head_subset"] = with_views(
+    "select pid from (select pid from items order by pid limit 7473) order by pid limit 2000", "items")
+ORACLE["b3_sample_k"] = with_views(
+    "select pid, md5(cast(pid as varchar) || ':42') as order_key from items "
+    "order by md5(cast(pid as varchar) || ':42'), pid limit 1000", "items")
+ORACLE["b4_seeded_order"] = with_views(
+    "select pid, md5(cast(pid as varchar) || ':42') as order_key from items", "items")
+
+# ---- H: replies -----------------------------------------------------------------
+_QL, _AL = "'Danish Question:'", "'Danish Answer:'"
+_T = strip("coalesce(content, '')")
+_H1 = f"""h1t as (select id, attempt, error, content, {_T} as t from translation_attempts),
+h1s as (select *, split_part(t, {_QL}, 2) as seg,
+   case when t = '' then []::varchar[] else string_split_regex(t, '\\r\\n|\\r|\\n') end as lines from h1t),
+h1 as (select id, attempt, error, content,
+   case when strpos(t, {_QL}) > 0 and strpos(t, {_AL}) > 0 then
+          case when strpos(seg, {_AL}) > 0 then {strip(f"split_part(seg, {_AL}, 1)")} else '' end
+        when strpos(t, {_AL}) > 0 then {strip(f"split_part(t, {_AL}, 1)")}
+        else {strip("array_to_string(lines[1:len(lines) // 2], chr(10))")} end as da_q,
+   case when strpos(t, {_QL}) > 0 and strpos(t, {_AL}) > 0 then
+          case when strpos(seg, {_AL}) > 0 then {strip(f"substr(seg, strpos(seg, {_AL}) + 14)")} else '' end
+        when strpos(t, {_AL}) > 0 then {strip(f"split_part(t, {_AL}, 2)")}
+        else {strip("array_to_string(lines[len(lines) // 2 + 1:len(lines)], chr(10))")} end as da_a
+   from h1s)"""
+
+ORACLE["h1_parse_sections"] = q("select id, attempt, da_q, da_a from h1", "translation_attempts", ctes=_H1)
+
+_DLS = ("de", "en", "es", "fr")
+_dbest = "greatest(" + ", ".join(f"s.s_{x}" for x in _DLS) + ")"
+_ddet = "coalesce(" + ", ".join(f"case when s.s_{x} = {_dbest} then '{x}' end" for x in _DLS) + ")"
+_H2 = _H1 + f""",
+{profile_ctes(_DLS)},
+h2p as (select id, attempt, 'q' as part, da_q as raw from h1 where error is null
+        union all select id, attempt, 'a', da_a from h1 where error is null),
+h2c as (select *, {clean_eval('raw')} as ct from h2p),
+h2u as (select distinct ct as k, ct as t from h2c),
+{score_ctes('h2u', _DLS, 'h2s')},
+h2d as (select s.k, {_ddet} as detected from h2s s),
+h2v as (select c.id, c.attempt, min(case when regexp_replace(coalesce(c.raw, ''), '\\s', '', 'g') <> ''
+          and d.detected = 'de' then 1 else 0 end) as ok
+        from h2c c join h2d d on d.k = c.ct group by c.id, c.attempt),
+h2 as (select h.id, h.attempt, h.content, (h.da_q <> '' and h.da_a <> '' and coalesce(v.ok, 0) = 1) as accepted,
+          h.da_q, h.da_a
+        from h1 h join h2v v on v.id = h.id and v.attempt = h.attempt where h.error is null)"""
+
+ORACLE["h2_accept_translations"] = q("select id, attempt, accepted from h2",
+                                     "translation_attempts", ctes=_H2)
+
+_H3 = _H2 + """,
+h3f as (select * from (select id, da_q, da_a, row_number() over (partition by id order by attempt) as rn
+        from h2 where accepted and attempt < 3 and content is not null) where rn = 1),
+h3 as (select i.pid as id, i.question, i.answer, coalesce(f.da_q, '') as da_question,
+        coalesce(f.da_a, '') as da_answer from items i left join h3f f on f.id = i.pid)"""
+
+ORACLE["h3_first_accepted"] = q("select * from h3", "items", "translation_attempts", ctes=_H3)
+ORACLE["h4_pending_items"] = q("select i.pid as id from items i where i.pid not in "
+                               "(select id from h3 where da_question <> '')",
+                               "items", "translation_attempts", ctes=_H3)
+
+_S0 = strip("coalesce(content, '')")
+_FL = ["en_ok", "da_ok", "math_ok_en", "math_ok_da", "crosslang_ok"]
+
+
+def _jflag(k):
+    return (f"case when json_exists(js, '$.{k}') and json_type(js, '$.{k}') <> 'NULL' "
+            f"then json_extract(js, '$.{k}')::varchar end")
+
+
+def _jstr(k, default):
+    return (f"case when not json_exists(js, '$.{k}') then '{default}' when json_type(js, '$.{k}') = 'NULL' "
+            f"then null else json_extract_string(js, '$.{k}') end")
+
+
+_H5 = f"""r0 as (select id, attempt, content, error, {_S0} as s0 from review_attempts),
+r1 as (select *, case when starts_with(s0, '```') then
+          regexp_replace(regexp_replace(s0, '^```[a-zA-Z0-9]*\\s*', ''), '\\s*```$', '') else s0 end as s1 from r0),
+r2 as (select *, case when regexp_matches(s1, '(?s)\\{{.*\\}}') then regexp_extract(s1, '(?s)(\\{{.*\\}})', 1)
+          else s1 end as s2 from r1),
+r3 as (select *, (error is null and content is not null and json_valid(s2) and json_type(s2) = 'OBJECT') as parsed
+       from r2),
+r4 as (select *, case when parsed then s2 else '{{}}' end as js from r3),
+h5 as (select id, attempt, parsed,
+  {", ".join(f"case when parsed then {_jflag(k)} end as {k}" for k in _FL)},
+  case when parsed then (case when not json_exists(js, '$.name_mismatch') then 'false' else {_jflag('name_mismatch')} end) end as name_mismatch,
+  case when parsed then (case when not json_exists(js, '$.issues') then '[]' when json_type(js, '$.issues') = 'NULL'
+       then 'null' else json_extract(js, '$.issues')::varchar end) end as issues,
+  case when parsed then {_jstr('severity', '')} end as severity,
+  case when parsed then {_jstr('comment', '')} end as comment,
+  case when parsed then {_jstr('verdict', 'ISSUE')} end as verdict,
+  coalesce(error, {_S0}) as last_msg
+ from r4)"""
+
+ORACLE["h5_parse_reviews"] = q(
+    "select id, attempt, parsed, " + ", ".join(_FL) + ", name_mismatch, issues, severity, comment, verdict from h5",
+    "review_attempts", ctes=_H5)
+
+_H6 = _H5 + f""",
+h5w as (select * from h5 where attempt < 3),
+h6ok as (select * from (select *, row_number() over (partition by id order by attempt) as rn
+         from h5w where parsed) where rn = 1),
+h6last as (select * from (select id, last_msg, row_number() over (partition by id order by attempt desc) as rn
+           from h5w) where rn = 1),
+h6 as (select l.id, {", ".join(f"o.{k}" for k in _FL)}, o.name_mismatch, o.severity,
+   case when o.id is not null then o.issues else '[]' end as issues,
+   case when o.id is not null then o.comment else 'Model error: ' || left(l.last_msg, 150) end as comment,
+   case when o.id is not null then o.verdict else 'ISSUE' end as verdict
+  from h6last l left join h6ok o on o.id = l.id)"""
+
+ORACLE["h6_first_parseable"] = q("select * from h6", "review_attempts", ctes=_H6)
+ORACLE["h7_is_issue"] = q("select id, verdict, upper(coalesce(verdict, '')) <> 'OK' as is_issue from h6",
+                          "review_attempts", ctes=_H6)
+ORACLE["h8_issue_report"] = q(
+    "select i.pid, i.question, i.answer, i.da_question, i.da_answer, "
+    + ", ".join(f"h.{k} as qa_{k}" for k in _FL + ["name_mismatch", "issues", "severity", "comment", "verdict"])
+    + " from items i join h6 h on h.id = i.pid where upper(coalesce(h.verdict, '')) <> 'OK'",
+    "items", "review_attempts", ctes=_H6)

@@ -121,11 +121,13 @@ def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame,
     """Most likely language (ties go to the first name in sort order), and
     ``is_target``; blank text is never the target."""
     langs = sorted(set(languages))
-    texts = df.select(key, clean_eval(F.col(text)).alias("_t"))
-    s = language_scores(texts, key, "_t", profile, langs, n)
+    texts = df.select(key, clean_eval(F.col(text)).alias("_t")).withColumn("_ck", F.md5("_t"))
+    # Each distinct cleaned text is scored once.
+    s = language_scores(texts.select("_ck", "_t").distinct(), "_ck", "_t", profile, langs, n)
     m = F.greatest(*[F.col(f"s_{lg}") for lg in langs]) if len(langs) > 1 else F.col(f"s_{langs[0]}")
     detected = F.coalesce(*[F.when(F.col(f"s_{lg}") == m, F.lit(lg)) for lg in langs])
-    out = s.select(key, detected.alias("detected"))
+    out = texts.select(key, "_ck").join(s.select("_ck", detected.alias("detected")), "_ck") \
+        .select(key, "detected")
     if target is not None:
         blank = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s", "") == ""
         out = out.join(df.select(key, blank.alias("_blank")), key) \

@@ -299,3 +299,172 @@ def scaling_long(spark, sf):
 def g13(spark, sf):
     ser = M.scaling_series(scaling_long(spark, sf), ("en", "da"), "da", NS)
     return ser.select("model", "safe_model", "figure", "series", "n", r6("percent").alias("percent"))
+
+
+# ---- D: dataset building -----------------------------------------------------
+from ..operators import prompts as D  # noqa: E402
+from ..operators import review as H  # noqa: E402
+from ..operators import splits as B  # noqa: E402
+
+SEED = 42
+
+
+@query("d1_render_prompts")
+def d1(spark, sf):
+    r = D.render_all(X.items(spark, sf).select("pid", "question", "da_question", "answer", "da_answer"))
+    return r.select("pid", "family", "mode", "reasoning", "system", "user")
+
+
+@query("d2_to_messages")
+def d2(spark, sf):
+    it = X.items(spark, sf)
+    out = None
+    for mode in ("en", "da", "da_en"):
+        m = D.to_messages(it, "eval", mode).select("pid", F.lit(mode).alias("mode"),
+                                                   F.posexplode("messages").alias("msg_idx", "m"))
+        out = m if out is None else out.unionByName(m)
+    return out.select("pid", "mode", F.col("msg_idx").cast("long").alias("msg_idx"),
+                      F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+@query("d3_render_chats")
+def d3(spark, sf):
+    conv = X.table(spark, sf, "conversations")
+    train = D.render_chats(conv, add_generation_prompt=False)
+    prompt = D.render_chats(conv, add_generation_prompt=True)
+    return train.join(prompt.withColumnRenamed("chat", "chat_prompt"), "conv_id") \
+        .select("conv_id", F.col("chat").alias("chat_train"), "chat_prompt")
+
+
+@query("d4_expand_paired")
+def d4(spark, sf):
+    return D.expand_paired(X.items(spark, sf), SEED).select(
+        "pid", "order_key", F.col("pos").cast("long").alias("pos"), "lang", "q", "a")
+
+
+@query("d5_expand_unpaired")
+def d5(spark, sf):
+    return D.expand_unpaired(X.items(spark, sf), SEED).select(
+        "pid", "lang", "q", "a", "lang_order_key", "order_key")
+
+
+@query("d6_expand_single")
+def d6(spark, sf):
+    return D.expand_single(X.items(spark, sf), SEED)
+
+
+@query("d7_rl_set")
+def d7(spark, sf):
+    it = X.items(spark, sf)
+    return D.to_rl_set(it, "da", True).unionByName(D.to_rl_set(it, "da_en", True))
+
+
+@query("d8_messages_en")
+def d8(spark, sf):
+    m = D.to_messages_en(X.items(spark, sf))
+    return m.select("pid", F.posexplode("messages").alias("msg_idx", "m")).select(
+        "pid", F.col("msg_idx").cast("long").alias("msg_idx"), F.col("m.role").alias("role"),
+        F.col("m.content").alias("content"))
+
+
+@query("d9_review_requests")
+def d9(spark, sf):
+    return D.review_requests(X.items(spark, sf))
+
+
+@query("d10_translation_requests")
+def d10(spark, sf):
+    return D.translation_requests(X.items(spark, sf))
+
+
+@query("d11_prepare_modes")
+def d11(spark, sf):
+    return D.prepare_modes(X.items(spark, sf), ("en", "da", "da_en"))
+
+
+# ---- B: splits, order, sampling ------------------------------------------------
+
+TRAIN_ROWS = 7473
+
+
+@query("b1_split_by_position")
+def b1(spark, sf):
+    s = B.split_by_position(X.items(spark, sf).select("pid"), "pid", TRAIN_ROWS)
+    return s.select("pid", F.col("position").cast("long").alias("position"), "part")
+
+
+@query("b2_head_subset")
+def b2(spark, sf):
+    train = B.split_by_position(X.items(spark, sf).select("pid"), "pid", TRAIN_ROWS, "train")
+    return B.head_subset(train.select("pid"), "pid", 2000)
+
+
+@query("b3_sample_k")
+def b3(spark, sf):
+    return B.sample_k(X.items(spark, sf).select("pid"), "pid", 1000, SEED)
+
+
+@query("b4_seeded_order")
+def b4(spark, sf):
+    return B.seeded_order(X.items(spark, sf).select("pid"), "pid", SEED)
+
+
+# ---- H: attempts, review, resume -----------------------------------------------
+
+@query("h1_parse_sections")
+def h1(spark, sf):
+    a = X.translation_attempts(spark, sf)
+    return H.parse_sections(a).select("id", "attempt", "da_q", "da_a")
+
+
+def _detect_profile(spark, sf):
+    return profile(spark, sf, DETECT_LANGS)
+
+
+@query("h2_accept_translations")
+def h2(spark, sf):
+    a = X.translation_attempts(spark, sf).where(F.col("error").isNull())
+    acc = H.accept_translations(H.parse_sections(a), _detect_profile(spark, sf), TARGET, DETECT_LANGS)
+    return acc.select("id", "attempt", "accepted")
+
+
+def _translated(spark, sf):
+    return H.first_accepted(X.items(spark, sf), X.translation_attempts(spark, sf),
+                            _detect_profile(spark, sf), TARGET, DETECT_LANGS)
+
+
+@query("h3_first_accepted")
+def h3(spark, sf):
+    return _translated(spark, sf)
+
+
+@query("h4_pending_items")
+def h4(spark, sf):
+    done = _translated(spark, sf).where(F.col("da_question") != "")
+    src = X.items(spark, sf).select(F.col("pid").alias("id"), "question", "answer")
+    return H.pending_items(src, done).select("id")
+
+
+@query("h5_parse_reviews")
+def h5(spark, sf):
+    return H.parse_reviews(X.review_attempts(spark, sf)).drop("content", "error")
+
+
+@query("h6_first_parseable")
+def h6(spark, sf):
+    return H.first_parseable(X.review_attempts(spark, sf))
+
+
+@query("h7_is_issue")
+def h7(spark, sf):
+    r = H.first_parseable(X.review_attempts(spark, sf))
+    return r.select("id", "verdict", H.is_issue(F.col("verdict")).alias("is_issue"))
+
+
+def issue_report(spark, sf):
+    return H.issue_report(X.items(spark, sf), H.first_parseable(X.review_attempts(spark, sf)))
+
+
+@query("h8_issue_report")
+def h8(spark, sf):
+    return issue_report(spark, sf)
