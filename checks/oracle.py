@@ -627,7 +627,7 @@ r1 as (select *, case when starts_with(s0, '```') then
           regexp_replace(regexp_replace(s0, '^```[a-zA-Z0-9]*\\s*', ''), '\\s*```$', '') else s0 end as s1 from r0),
 r2 as (select *, case when regexp_matches(s1, '(?s)\\{{.*\\}}') then regexp_extract(s1, '(?s)(\\{{.*\\}})', 1)
           else s1 end as s2 from r1),
-r3 as (select *, (error is null and content is not null and json_valid(s2) and json_type(s2) = 'OBJECT') as parsed
+r3 as (select *, (error is null and content is not null and coalesce(case when json_valid(s2) then json_type(s2) = 'OBJECT' end, false)) as parsed
        from r2),
 r4 as (select *, case when parsed then s2 else '{{}}' end as js from r3),
 h5 as (select id, attempt, parsed,
