@@ -665,3 +665,21 @@ ORACLE["h8_issue_report"] = q(
     + ", ".join(f"h.{k} as qa_{k}" for k in _FL + ["name_mismatch", "issues", "severity", "comment", "verdict"])
     + " from items i join h6 h on h.id = i.pid where upper(coalesce(h.verdict, '')) <> 'OK'",
     "items", "review_attempts", ctes=_H6)
+
+
+# ---- A and S: round trips and incremental end states ------------------------------
+ORACLE["a1_read_items_csv"] = with_views("select * from items", "items")
+ORACLE["a2_read_source_tsv"] = with_views("select pid as id, question, answer from items", "items")
+ORACLE["a3_write_issue_csv"] = ORACLE["h8_issue_report"]
+ORACLE["a4_write_metrics"] = ORACLE["g12_pivot_metrics"]
+ORACLE["s1_stream_score"] = ORACLE["f2_score_completions"]
+ORACLE["s2_stream_metrics"] = q(
+    """select model, mode, count(*) as rows, sum(case when correct then 1 else 0 end)::bigint as correct,
+         sum(case when boxed then 1 else 0 end)::bigint as boxed,
+         sum(case when lang_label = 'target' then 1 else 0 end)::bigint as target,
+         sum(case when lang_label = 'other' then 1 else 0 end)::bigint as other,
+         sum(case when lang_label = 'mixed' then 1 else 0 end)::bigint as mixed,
+         sum(case when lang_label = 'unclear' then 1 else 0 end)::bigint as unclear,
+         round(sum(coalesce(lang_score, 0.0)), 6) as score_sum
+       from scored group by model, mode""",
+    "items", "completions", ctes=scored_ctes())

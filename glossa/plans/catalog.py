@@ -468,3 +468,86 @@ def issue_report(spark, sf):
 @query("h8_issue_report")
 def h8(spark, sf):
     return issue_report(spark, sf)
+
+
+# ---- A: sources and sinks (round trips below the shared scratch folder) --------
+from ..session import scratch_dir  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+from ..streaming import incremental as ST  # noqa: E402
+
+
+@query("a1_read_items_csv")
+def a1(spark, sf):
+    path = scratch_dir(spark, "items-csv")
+    IO.write_items(X.items(spark, sf), path)
+    return IO.read_items(spark, path)
+
+
+@query("a2_read_source_tsv")
+def a2(spark, sf):
+    path = scratch_dir(spark, "source-tsv")
+    src = X.items(spark, sf).select(F.col("pid").alias("id"), "question", "answer")
+    IO.write_items(src, path, sep="\t")
+    return IO.read_items(spark, path, sep="\t", schema=IO.SOURCE_SCHEMA)
+
+
+@query("a3_write_issue_csv")
+def a3(spark, sf):
+    path = scratch_dir(spark, "issues-csv")
+    report = issue_report(spark, sf)
+    IO.write_items(report, path)
+    return IO.read_items(spark, path, schema=report.schema)
+
+
+@query("a4_write_metrics")
+def a4(spark, sf):
+    out = scratch_dir(spark, "metrics")
+    wide = g12(spark, sf)
+    IO.write_metrics(wide, out)
+    return IO.read_metrics(spark, out, wide.schema, "json")
+
+
+# ---- S: incremental jobs ---------------------------------------------------------
+
+def _fitted_profile(spark, sf, languages=(TARGET, OTHER)):
+    """Fit once and keep the model as a written table (no refit per batch)."""
+    path = scratch_dir(spark, "profile")
+    profile(spark, sf, languages).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _drop_files(spark, sf, base):
+    """Write the completions as two arrivals (model m0 first, then the rest)."""
+    comp = X.completions(spark, sf)
+    first = comp.where(F.col("model") == "m0")
+    rest = comp.where(F.col("model") != "m0")
+    return [(first, f"{base}/drop_1"), (rest, f"{base}/drop_2")]
+
+
+def _stream_scored(spark, sf):
+    base = scratch_dir(spark, "stream")
+    src, sink, ckpt = f"{base}/in", f"{base}/scored", f"{base}/ckpt-score"
+    items, prof = X.items(spark, sf), _fitted_profile(spark, sf)
+    for df, path in _drop_files(spark, sf, src):
+        df.write.mode("overwrite").parquet(path)
+        # A restart per arrival: the checkpoint skips files already scored.
+        ST.stream_score(spark, f"{src}/*", sink, ckpt, items, prof, TARGET, OTHER)
+    return base, ST.read_scored(spark, sink)
+
+
+@query("s1_stream_score")
+def s1(spark, sf):
+    _, scored_rows = _stream_scored(spark, sf)
+    return _scored_out(scored_rows)
+
+
+@query("s2_stream_metrics")
+def s2(spark, sf):
+    base, scored_rows = _stream_scored(spark, sf)
+    src, sink, ckpt = f"{base}/in", f"{base}/metrics", f"{base}/ckpt-metrics"
+    ST.stream_metrics(spark, f"{src}/*", sink, ckpt, X.items(spark, sf))
+    counts = spark.read.parquet(sink)
+    lang = ST.language_counters(scored_rows)
+    return counts.join(lang, ["model", "mode"], "left").select(
+        "model", "mode", "rows", "correct", "boxed", "target", "other", "mixed", "unclear",
+        r6("score_sum").alias("score_sum"))
