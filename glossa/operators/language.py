@@ -57,24 +57,35 @@ def fit_profile(df: DataFrame, text: str = "text", lang: str = "lang",
     exploded = explode_grams(df.where(F.col(lang).isin(langs)).select(
         F.col(lang).alias("lang"), clean_eval(text, letters).alias("_c")), ["lang"],
         F.col("_c"), n, letters)
-    counts = exploded.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(exploded.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")),
+                     "profile-counts")
+    # |vocabulary| and the per-language totals: len(langs) + 1 numbers read from
+    # the small written count table.
+    totals = {r["lang"]: r["total"] for r in
+              counts.groupBy("lang").agg(F.sum("c").alias("total")).collect()}
+    vsize = counts.select("gram").distinct().count()
+    denom = F.lit(None).cast("double")
+    for lg in langs:
+        denom = F.when(F.col("lang") == lg, F.lit(float(totals.get(lg, 0) + vsize))).otherwise(denom)
     # Vocabulary x languages: a fan-out by the fixed language list, no cross join.
     vocab = counts.groupBy("gram").agg(
         F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by_lang"))
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("total"))
-    v = vocab.agg(F.count(F.lit(1)).alias("v"))
-    # |vocabulary| and the per-language totals are len(langs) + 1 numbers.
-    stats = {r["lang"]: r["total"] for r in totals.collect()}
-    vsize = v.first()["v"] or 0
-    denom = F.lit(None).cast("double")
-    for lg in langs:
-        denom = F.when(F.col("lang") == lg, F.lit(float(stats.get(lg, 0) + vsize))).otherwise(denom)
-    return (
-        vocab.select("gram", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"), "by_lang")
-        .select("gram", "lang",
-                F.log((F.coalesce(F.element_at("by_lang", F.col("lang")), F.lit(0)) + 1.0)
-                      / denom).alias("logp"))
-    )
+    prof = vocab.select("gram", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"),
+                        "by_lang").select(
+        "gram", "lang",
+        F.log((F.coalesce(F.element_at("by_lang", F.col("lang")), F.lit(0)) + 1.0) / denom)
+        .alias("logp"))
+    return written(prof, "profile")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a (small) model table below the shared checkpoint folder and read it
+    back: fitted once, lineage cut, nothing recomputed by later jobs."""
+    from ..session import scratch_dir
+
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame,
@@ -184,7 +195,7 @@ def language_signal(df: DataFrame, text: str, profile: DataFrame, target: str, o
     """E4 on any table: adds cleaned_len, conf_target, conf_other, lang_score,
     lang_label.  Each distinct text is scored once (md5 key), then joined back."""
     keyed = df.withColumn("_tk", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    distinct = keyed.groupBy("_tk").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    distinct = keyed.select("_tk", F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
     scored = score_texts(distinct, "_tk", "_t", profile, target, other, "eval",
                          exclude_final_line, min_chars, threshold)
     return keyed.join(scored, "_tk").drop("_tk")
@@ -196,7 +207,7 @@ def language_reward(df: DataFrame, text: str, profile: DataFrame, target: str, o
     """E5: adds ``language_reward`` = weight * (conf_target - conf_other); 0.0 when the
     reward-cleaned text is shorter than ``min_chars``."""
     keyed = df.withColumn("_tk", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    distinct = keyed.groupBy("_tk").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    distinct = keyed.select("_tk", F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
     scored = score_texts(distinct, "_tk", "_t", profile, target, other, "reward",
                          exclude_final_line, min_chars)
     reward = F.when(F.col("cleaned_len") < min_chars, F.lit(0.0)).otherwise(

@@ -52,9 +52,10 @@ def prefix_samples(scored: DataFrame, max_n: int, partitions: int | None = None)
     return base.repartition(partitions, *cols) if partitions else base.repartition(*cols)
 
 
-def item_total(items: DataFrame) -> DataFrame:
-    """One row: the number of items (denominator of every per-item rate)."""
-    return items.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
+def item_total(items: DataFrame):
+    """The number of items (denominator of every per-item rate) as a scalar
+    subquery column: computed once, no join."""
+    return items.select(F.count(F.lit(1))).scalar()
 
 
 def _grid(samples: DataFrame, ns: Sequence[int]) -> DataFrame:
@@ -64,7 +65,7 @@ def _grid(samples: DataFrame, ns: Sequence[int]) -> DataFrame:
 
 
 def _with_total(df: DataFrame, items: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(item_total(items)), "_one").drop("_one")
+    return df.withColumn("total", item_total(items))
 
 
 def best_of_n(samples: DataFrame, items: DataFrame, ns: Sequence[int] = NS,

@@ -58,11 +58,12 @@ def score_completions(completions: DataFrame, items: DataFrame, profile: DataFra
     never carried through the join."""
     rows = attach_gold(completions, items).withColumn(
         "text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_tk", F.md5("text"))
-    texts = rows.select("_tk", F.col("text").alias("_t")).distinct()
+    # One de-duplication pass; a text needs a language score when any of its
+    # rows has a target mode.
+    texts = rows.groupBy("_tk", F.col("text").alias("_t")).agg(
+        F.max(F.col("mode").isin(*target_modes)).alias("_needs_lang"))
     feats = texts.select("_tk", boxed_flag("_t").alias("boxed"), boxed_number("_t").alias("pred"))
-    lang_texts = rows.where(F.col("mode").isin(*target_modes)) \
-        .select("_tk", F.col("text").alias("_t")).distinct()
-    lang = score_texts(lang_texts, "_tk", "_t", profile, target, other, "eval",
+    lang = score_texts(texts.where("_needs_lang"), "_tk", "_t", profile, target, other, "eval",
                        True, min_chars, threshold).select("_tk", "lang_label", "lang_score")
     feats = feats.join(lang, "_tk", "left")
     is_target = F.col("mode").isin(*target_modes)
