@@ -38,8 +38,16 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+_PROFILES: dict = {}
+
+
 def profile(spark: SparkSession, sf: str, languages=(TARGET, OTHER)) -> DataFrame:
-    return L.fit_profile(X.labelled_text(spark, sf), "text", "lang", languages)
+    """The language model of a corpus: fitted once per session and corpus (a
+    written table), then read by every scoring job."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), tuple(sorted(languages)))
+    if key not in _PROFILES:
+        _PROFILES[key] = L.fit_profile(X.labelled_text(spark, sf), "text", "lang", languages)
+    return _PROFILES[key]
 
 
 def scored(spark: SparkSession, sf: str, target_modes=S.TARGET_MODES_SCALING) -> DataFrame:

@@ -25,6 +25,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Text stages are CPU-heavy behind small shuffles (narrow keys): keep
+        # enough partitions to use every core instead of 1MB minimum pieces.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
         .config("spark.ui.enabled", "false")

@@ -92,7 +92,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_linestatus",
         "l_returnflag")
-    li = li.select(
+    li = spread(li).select(
         F.col("l_partkey").alias("pid"),
         F.concat(F.lit("m"), _s(F.col("l_suppkey") % 2)).alias("model"),
         F.when(F.col("l_returnflag") == "R", "da").otherwise("en").alias("mode"),
