@@ -259,16 +259,26 @@ CHATML = {"prefix": "<|im_start|>{role}\n", "suffix": "<|im_end|>\n",
 
 def render_chats(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text", layout: dict[str, str] = CHATML,
-                 add_generation_prompt: bool = False) -> DataFrame:
-    """D3: one text per conversation, turns in order.  Each turn is rendered
-    where it lies; only the rendered pieces (with their index) are grouped."""
+                 add_generation_prompt: bool = False, chunk: int = 256) -> DataFrame:
+    """D3: one text per conversation, turns in order.
+
+    Each turn is rendered where it lies.  The pieces are joined in two levels:
+    first within chunks of at most ``chunk`` consecutive turns (bounded groups,
+    spread over tasks even for a very long conversation), then the chunk texts
+    of a conversation in order.  Only rendered strings are grouped."""
     pre_parts = layout["prefix"].split("{role}")
     prefix = F.concat(*[p for i, part in enumerate(pre_parts)
                         for p in ([F.lit(part)] + ([F.col(role)] if i < len(pre_parts) - 1 else []))])
     piece = F.concat(prefix, F.coalesce(F.col(text), F.lit("")), F.lit(layout["suffix"]))
-    rendered = turns.select(key, F.struct(F.col(turn).alias("t"), piece.alias("p")).alias("x"))
-    chats = rendered.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda e: e["p"]), "").alias("chat"))
+    rendered = turns.select(key, F.floor(F.col(turn) / chunk).alias("_chunk"),
+                            F.struct(F.col(turn).alias("t"), piece.alias("p")).alias("x"))
+
+    def ordered_join(c):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda e: e["p"]), "")
+
+    chunks = rendered.groupBy(key, "_chunk").agg(ordered_join("x").alias("_p"))
+    chats = chunks.groupBy(key).agg(
+        ordered_join(F.struct(F.col("_chunk").alias("t"), F.col("_p").alias("p"))).alias("chat"))
     if add_generation_prompt:
         chats = chats.withColumn("chat", F.concat("chat", F.lit(layout["generation_prompt"])))
     return chats

@@ -27,13 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a text table over the cores when its scan yields fewer
-    partitions than cores (one small file locally).  On a cluster the scan
-    already has more splits than cores, and this is a no-op."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table over the cores when its scan yields fewer partitions than
+    cores (one small file locally); by hash of ``keys`` when given, so a later
+    grouping on them reuses this partitioning.  On a cluster the scan already
+    has more splits than cores, and this is a no-op."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
 def _s(c: Column) -> Column:
@@ -92,12 +95,12 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_linestatus",
         "l_returnflag")
-    li = spread(li).select(
+    li = spread(li.select(
         F.col("l_partkey").alias("pid"),
         F.concat(F.lit("m"), _s(F.col("l_suppkey") % 2)).alias("model"),
         F.when(F.col("l_returnflag") == "R", "da").otherwise("en").alias("mode"),
         *_LINE_ORDER,
-    )
+    ), "pid", "model", "mode")
     # Numbering happens on narrow line columns, before any text is attached.
     # A (pid, model, mode) group is one prompt's samples, so it is small.
     w = Window.partitionBy("pid", "model", "mode").orderBy(*_LINE_ORDER)
