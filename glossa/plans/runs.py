@@ -61,15 +61,27 @@ def scaling_run(items: DataFrame, completions: DataFrame, profile: DataFrame,
     mix = G.sample_language_mix(samples, test, ns)
     maj = G.majority_metrics(G.majority_winner(samples, ns), samples, test, ns)
     long = _persist(G.scaling_long(best, mix, maj), "scaling-long")
-    columns = [r[0] for r in long.select(F.concat_ws("_", "mode", "metric")).distinct()
-               .orderBy(F.concat_ws("_", "mode", "metric")).collect()]  # metric names only
-    wide = M.pivot_metrics(long, columns)
+    wide = M.pivot_metrics(long, scaling_columns(modes, ns))
     IO.write_metrics(wide, out_dir)
     series = M.scaling_series(long, modes, "da", ns)
     series.write.mode("overwrite").json(f"{out_dir.rstrip('/')}/series")
     return wide, series
 
 
+def scaling_columns(modes: Sequence[str], ns: Sequence[int],
+                    target_modes: Sequence[str] = S.TARGET_MODES_SCALING) -> list[str]:
+    """The wide column names, known up front (the pivot needs no extra pass)."""
+    cols = []
+    for m in modes:
+        t = m in target_modes
+        for n in ns:
+            best = G.BEST_BASE + (G.BEST_TARGET + G.SAMPLE_MIX if t else [])
+            maj = G.MAJ_BASE + (G.MAJ_TARGET if t else [])
+            cols += [f"{m}_best_of_{n}_{k}" for k in best]
+            cols += [f"{m}_majority_of_{n}_{k}" for k in maj]
+    return cols
+
+
 def unpaired_training_set(items: DataFrame, seed: int = 42, train_rows: int = 7473) -> DataFrame:
     train = B.split_by_position(items, "pid", train_rows, "train").drop("position", "part")
     rows = D.expand_unpaired(train, seed)
