@@ -234,7 +234,10 @@ def g5(spark, sf):
 
 
 def _samples(spark, sf):
-    return G.prefix_samples(scored(spark, sf), max(NS))
+    """Scored rows written once (lineage cut in the shared checkpoint folder);
+    the best-of-N, majority and mix jobs all read this table instead of
+    re-running the scoring in each of their branches."""
+    return G.prefix_samples(L.written(scored(spark, sf), "scored"), max(NS))
 
 
 def _round_all(df, keys):

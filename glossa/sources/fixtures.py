@@ -95,12 +95,12 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_linestatus",
         "l_returnflag")
-    li = spread(li.select(
+    li = spread(li).select(
         F.col("l_partkey").alias("pid"),
         F.concat(F.lit("m"), _s(F.col("l_suppkey") % 2)).alias("model"),
         F.when(F.col("l_returnflag") == "R", "da").otherwise("en").alias("mode"),
         *_LINE_ORDER,
-    ), "pid", "model", "mode")
+    )
     # Numbering happens on narrow line columns, before any text is attached.
     # A (pid, model, mode) group is one prompt's samples, so it is small.
     w = Window.partitionBy("pid", "model", "mode").orderBy(*_LINE_ORDER)
