@@ -34,7 +34,7 @@ def gram_text(text: str | Column, letters: str = DEFAULT_LETTERS) -> Column:
 
 
 def explode_grams(df: DataFrame, keys: Sequence[str], text: Column, n: int = 3,
-                  letters: str = DEFAULT_LETTERS) -> DataFrame:
+                  letters: str = DEFAULT_LETTERS, keep_empty: bool = False) -> DataFrame:
     """One row per length-n substring of the normalised text: (keys..., gram).
 
     All overlapping grams come from one regex pass (a zero-width lookahead
@@ -42,7 +42,8 @@ def explode_grams(df: DataFrame, keys: Sequence[str], text: Column, n: int = 3,
     text length; positional ``substring`` would rescan UTF-8 text per gram."""
     g = df.select(*keys, gram_text(text, letters).alias("_g"))
     every = F.regexp_extract_all("_g", F.lit(f"(?=(.{{{int(n)}}}))"), F.lit(1))
-    return g.select(*keys, F.explode(every).alias("gram"))
+    gen = F.explode_outer(every) if keep_empty else F.explode(every)
+    return g.select(*keys, gen.alias("gram"))
 
 
 def fit_profile(df: DataFrame, text: str = "text", lang: str = "lang",
@@ -95,13 +96,14 @@ def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame,
 
     Keys whose text has no known gram get 0 for every language."""
     langs = sorted(set(languages))
-    g = explode_grams(texts, [key], F.col(text), n, letters)
-    j = g.join(F.broadcast(profile.where(F.col("lang").isin(langs))), "gram")
+    # A text without grams keeps one row (null gram); unknown grams find no
+    # profile row.  Every key therefore survives without a second pass.
+    g = explode_grams(texts, [key], F.col(text), n, letters, keep_empty=True)
+    j = g.join(F.broadcast(profile.where(F.col("lang").isin(langs))), "gram", "left")
     sums = j.groupBy(key).agg(*[F.sum(F.when(F.col("lang") == lg, F.col("logp"))).alias(f"s_{lg}")
                                 for lg in langs])
-    out = texts.select(key).join(sums, key, "left")
-    return out.select(key, *[F.coalesce(F.col(f"s_{lg}"), F.lit(0.0)).alias(f"s_{lg}")
-                             for lg in langs])
+    return sums.select(key, *[F.coalesce(F.col(f"s_{lg}"), F.lit(0.0)).alias(f"s_{lg}")
+                              for lg in langs])
 
 
 def with_confidences(scores: DataFrame, languages: Sequence[str]) -> DataFrame:
