@@ -99,9 +99,12 @@ def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame,
     # A text without grams keeps one row (null gram); unknown grams find no
     # profile row.  Every key therefore survives without a second pass.
     g = explode_grams(texts, [key], F.col(text), n, letters, keep_empty=True)
-    j = g.join(F.broadcast(profile.where(F.col("lang").isin(langs))), "gram", "left")
-    sums = j.groupBy(key).agg(*[F.sum(F.when(F.col("lang") == lg, F.col("logp"))).alias(f"s_{lg}")
-                                for lg in langs])
+    # One profile row per gram with a column per language, so each gram of a
+    # text meets one row (no fan-out by the number of languages).
+    wide = profile.where(F.col("lang").isin(langs)).groupBy("gram").agg(
+        *[F.max(F.when(F.col("lang") == lg, F.col("logp"))).alias(f"p_{lg}") for lg in langs])
+    j = g.join(F.broadcast(wide), "gram", "left")
+    sums = j.groupBy(key).agg(*[F.sum(f"p_{lg}").alias(f"s_{lg}") for lg in langs])
     return sums.select(key, *[F.coalesce(F.col(f"s_{lg}"), F.lit(0.0)).alias(f"s_{lg}")
                               for lg in langs])
 
