@@ -5,16 +5,18 @@ without words).  Two documents link if the Jaccard similarity of their sets is a
 
 * Documents with equal sets are one node, told by a 64-bit hash of the set: copies are never paired.
 * In any one order of all shingles (by hash here), two similar sets share at least m shingles among the first
-  n - ceil(0.8 n) + m of each, for every m.  With m = 1, a grouped minimum and maximum finds the shingles that nodes
-  share; nodes without any have no partner and are done.
-* For the others, m is chosen per node by estimated candidate cost: a prefix longer by m - 1 shingles may pass over
-  its m - 1 longest posting lists, as a partner must be met m times.  Frequent phrases cost their documents a
-  longer prefix, not candidates.
-* Each posting list first links its nodes to one leader, the node with the most shared prefix, so that a large
-  group of near copies costs pairs in proportion to its size.  Pairs are verified exactly on whole sets.
-* Lists whose nodes are then in more than one component are finished exactly: nodes outside the list's largest
-  component are compared with all of the list, in blocks of bounded size, returning at most one link per node and
-  component.
+  n - ceil(0.8 n) + m of each, for every m.  With m = 1 + 5 % of n, a grouped minimum and maximum finds the shingles that
+  nodes share; nodes with fewer than m shared ones in that prefix have no partner and are done.  (With m = 1, any
+  license line would keep its documents in.)
+* For the others, m is chosen per node by estimated candidate cost.  Posting lists of more than ``LONG`` nodes are
+  passed over; with s of them in a prefix, a partner must be met m - s times in the others, so that about
+  hits / (m - s) candidates are left.  The m of least cost is taken: frequent phrases cost their documents a longer
+  prefix, not candidates.  Only nodes that no m frees of long lists use them.
+* First each node is verified against one leader, the node of most shared prefix that leads most of its lists, so that
+  a large group of near copies costs pairs in proportion to its size.
+* Then the rest is finished exactly: pairs between different components that are met often enough in the short lists
+  are verified, and in long lists that a node cannot pass over, nodes outside the list's largest component are compared
+  with all of the list, in blocks of bounded size that return at most one link per node and component.
 
 No pair within one component is looked at again, and no candidate is dropped.  Links are complete
 up to transitivity: components are exact.
@@ -42,6 +44,8 @@ NUM, DEN = 80, 100
 BLOCK = 1 << 18
 #: Pairs of one leader in one group of a join.
 SALT = 200
+#: Nodes of a posting list beyond which prefixes grow to pass over it.
+LONG = 128
 
 
 def _need(n):
@@ -49,15 +53,20 @@ def _need(n):
     return (NUM * n + DEN - 1) // DEN
 
 
+def _first(n):
+    """m of the first prefix, which all documents have: 1 + 5 % of the set."""
+    return 1 + n // 20
+
+
 def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, row_key, n, node, prefix): set size, hash of the set, and its prefix for m = 1."""
+    """(doc_id, row_key, n, node, prefix): set size, hash of the set, and its first prefix."""
     def run(batch):
         for i, j, data, offsets in K.texts(batch.column("text")):
             g, first, _ = K.shingle_sets(data, offsets, k)
             n = np.diff(first)
             total = np.concatenate([[K.U(0)], np.cumsum(K.mix(g + K.U(77)))])
             node = K.mix(total[first[1:]] - total[first[:-1]] + n.astype(K.U) * K.U(K.BASE))
-            take = np.where(n > 0, n - _need(n) + 1, 0)
+            take = np.where(n > 0, n - _need(n) + _first(n), 0)
             rank = np.arange(len(g)) - np.repeat(first[:-1], n)
             keep = rank < np.repeat(take, n)
             yield {"doc_id": batch.column("doc_id").slice(i, j - i), "row_key": batch.column("row_key").slice(i, j - i), "n": n,
@@ -79,48 +88,46 @@ def full_sets(docs: DataFrame, rows: DataFrame, k: int = WORDS) -> DataFrame:
     return in_arrow(texts, "node long, n long, shingles array<long>", run)
 
 
-def _choose(batch):
-    """Per node, m by estimated cost: what is probed, and what others may probe."""
-    lists = batch.column("tokens")
-    flat = lists.flatten()
-    rank, token, freq = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("rank", "token", "freq"))
-    cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-    out = {c: [] for c in ("token", "node", "m", "probe", "weight", "n")}
-    for x in range(len(node)):
-        a, b = cuts[x], cuts[x + 1]
-        order = np.argsort(rank[a:b])
-        r, t, f = rank[a:b][order], token[a:b][order], freq[a:b][order]
-        base, most = n[x] - _need(n[x]), min(_need(n[x]), 1 + -(-n[x] // 10))
-        best = None
-        for m in range(1, most + 1):
-            end = int(np.searchsorted(r, base + m))
-            cost = np.sort(f[:end])[::-1]
-            total = int((cost[m - 1:] - 1).sum()) + m  # one lookup for each further shingle
-            if best is None or total < best[0]:
-                best = (total, m, end)
-            if not len(cost[m - 1:]) or total <= m:
-                break
-        _, m, end = best
-        probe = np.ones(end, bool)
-        probe[np.argsort(-f[:end], kind="stable")[:m - 1]] = False
-        out["token"].append(t[:end])
-        out["probe"].append(probe)
-        out["node"].append(np.full(end, node[x]))
-        out["m"].append(np.full(end, m, np.int32))
-        out["n"].append(np.full(end, n[x]))
-        out["weight"].append(np.full(end, f[:end].sum()))
-    yield {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+def _choose(long: int):
+    def run(batch):
+        lists = batch.column("tokens")
+        flat = lists.flatten()
+        rank, token, freq = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("rank", "token", "freq"))
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+        out = {c: [np.zeros(0, np.int64)] for c in ("token", "node", "n", "m", "passed", "weight")}
+        for x in range(len(node)):
+            a, b = cuts[x], cuts[x + 1]
+            order = np.argsort(rank[a:b])
+            r, t, f = rank[a:b][order], token[a:b][order], freq[a:b][order]
+            m = np.arange(1, min(_need(n[x]), 1 + -(-n[x] // 10)) + 1)
+            end = np.searchsorted(r, n[x] - _need(n[x]) + m)  # shared shingles in the prefix of each m
+            if (end < m).any():  # fewer than m: no partner
+                continue
+            passed = np.concatenate([[0], np.cumsum(f > long)])[end]
+            hits = np.concatenate([[0], np.cumsum(np.where(f > long, 0, f - 1))])[end]
+            margin = m - passed
+            # candidates left, and the rows that the longer prefix costs
+            cost = np.where(margin > 0, hits / np.maximum(margin, 1) + 0.1 * end, np.inf)
+            best = int(np.argmin(cost))
+            here = int(end[best])
+            for c, v in (("token", t[:here]), ("node", node[x]), ("n", n[x]), ("m", m[best]), ("passed", passed[best]), ("weight", f[:here].sum())):
+                out[c].append(np.broadcast_to(np.asarray(v, np.int64), here))
+        yield {c: np.concatenate(v) for c, v in out.items()}
+    return run
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(token, node, n, m, probe, weight): shared prefix shingles of nodes, with m chosen per node."""
+    """(token, node, n, m, passed, weight): shared prefix shingles of nodes, with m chosen per node.
+
+    ``passed``: shingles of the prefix with long lists.  A node with passed < m need not use them.
+    """
     longest = F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 + least(({NUM} * n + {DEN - 1}) div {DEN}, 1 + (n + 9) div 10) as int)")
     tokens = sets.select("node", "n", F.posexplode(F.slice("shingles", 1, longest)).alias("rank", "token"))
     freq = written(tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1"), "join-frequencies")
     side = F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq
     shared = tokens.join(side, "token").groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "freq")).alias("tokens"))
-    return in_arrow(shared, "token long, node long, n long, m int, probe boolean, weight long", _choose)
+    return in_arrow(shared, "token long, node long, n long, m long, passed long, weight long", _choose(LONG))
 
 
 def _similar(size_a: str, size_b: str, both: str) -> str:
@@ -141,11 +148,6 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(_similar("n_a", "n_b", "both")).select("a", "b")
 
 
-def _may_match(x: str, y: str) -> str:
-    """One side probes the other's prefix, with the smaller m (or both have the same)."""
-    return f"(({x}.probe and {x}.m <= {y}.m) or ({y}.probe and {y}.m <= {x}.m)) and {DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n)"
-
-
 def _block_links(table: pa.Table) -> pa.Table:
     """Links of one block: outsiders against members, at most one per outsider and component."""
     lists = table.column("shingles").combine_chunks()
@@ -170,20 +172,24 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def finish(lists: DataFrame, sets: DataFrame, light: int = 16) -> DataFrame:
-    """Links (a, b) between different components of posting lists (token, node, n, m, probe, component)."""
-    per_comp = lists.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+def finish(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of posting lists (token, node, n, m, passed, component)."""
+    per_comp = lists.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.max((F.col("passed") >= F.col("m")).cast("int")).alias("stuck"))
     shape = written(per_comp.groupBy("token").agg(F.sum("c").alias("rows"), F.sum("s").alias("size"), F.max_by("component", F.struct("c", "component")).alias("top"),
-                                                  F.max("c").alias("top_rows"), F.max_by("s", F.struct("c", "component")).alias("top_size"), F.count("*").alias("parts"))
+                                                  F.max_by("s", F.struct("c", "component")).alias("top_size"), F.count("*").alias("parts"), F.max("stuck").alias("stuck"))
                     .filter("parts > 1"), "join-open")
     side = F.broadcast(shape) if shape.count() <= BROADCAST_ROWS else shape
-    open_lists = written(lists.join(side, "token"), "join-lists")
-    x = open_lists.filter(f"rows <= {light}").alias("x")
-    y = open_lists.filter(f"rows <= {light}").alias("y")
-    pairs = x.join(y, F.expr(f"x.token = y.token and x.node < y.node and x.component <> y.component and {_may_match('x', 'y')}")).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    open_lists = written(lists.join(side, "token").filter(f"rows <= {LONG} or stuck = 1"), "join-lists")
+    short = open_lists.filter(f"rows <= {LONG}").select("token", "node", "n", "m", "passed", "component")
+    x, y = short.alias("x"), short.alias("y")
+    met = x.join(y, F.expr(f"x.token = y.token and x.node < y.node and x.component <> y.component and {DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)"))
+    # similar sets share overlap = ceil(0.8 (n + n') / 1.8) shingles, and at most ceil(0.8 n) - m beyond a prefix
+    overlap, beyond = f"((x.n + y.n) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}", "(({s}.n * %d + %d) div %d - {s}.m)" % (NUM, DEN - 1, DEN)
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
+                     F.expr(f"{overlap} - greatest({beyond.format(s='x')}, {beyond.format(s='y')}) - least(x.passed, y.passed)").alias("least"))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("least").alias("least")).filter("times >= least").select("a", "b")
     near = verify(pairs, sets)
-    long = (open_lists.filter(f"rows > {light}").withColumn("outside", F.col("component") != F.col("top"))
+    long = (open_lists.filter(f"rows > {LONG}").withColumn("outside", F.col("component") != F.col("top"))
             .withColumn("out_blocks", F.ceil((F.col("size") - F.col("top_size")) / BLOCK).cast("int")).withColumn("all_blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
     where = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     members = long.select("token", "node", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), where("all_blocks").alias("j"))
@@ -199,13 +205,15 @@ def clusters(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, DataFrame]:
     sig = written(signatures(docs, k), "join-signatures")
     tokens = sig.select("node", F.explode("prefix").alias("token"))
     shared = written(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "join-shared")
-    met = keep_keys(tokens, shared, "token").select("node").distinct()
-    active = written(sig.select("node", "row_key").join(met, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")), "join-active")
+    met = keep_keys(tokens, shared, "token").groupBy("node").agg(F.count("*").alias("met"))
+    # each copy of a node brings the same shared shingles
+    copies = sig.filter("n > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"))
+    active = written(copies.join(met, "node").filter("met >= copies * (1 + n div 20)").select("node", "row_key"), "join-active")
     sets = written(full_sets(docs, active, k).dropDuplicates(["node"]), "join-sets")
     lists = written(postings(sets), "join-postings")
-    leaders = lists.groupBy("token").agg(F.max_by(F.struct("node", "n", "m", "probe"), F.struct("weight", "node")).alias("y"), F.count("*").alias("rows")).filter("rows > 1").select("token", "y.*").alias("y")
-    pairs = lists.alias("x").join(leaders, F.expr(f"x.token = y.token and x.node <> y.node and {_may_match('x', 'y')}")).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    leaders = lists.groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("y"), F.count("*").alias("rows")).filter("rows > 1").select("token", "y")
+    led = lists.join(leaders, "token").filter(f"node <> y.node and {DEN} * least(n, y.n) >= {NUM} * greatest(n, y.n)").groupBy("node", F.col("y.node").alias("b")).count()
+    pairs = led.groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.col("node").alias("a"), "b")
     links = written(verify(pairs, sets), "join-links")
     first = written(components(links, "join-components"), "join-first")
     placed = written(lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-placed")

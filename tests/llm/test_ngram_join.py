@@ -32,11 +32,11 @@ def near_docs(seed, groups=12, vocabulary=400):
     return docs
 
 
-@pytest.mark.parametrize("seed,light", [(1, 16), (2, 2)])
-def test_components_equal_all_pairs(spark, seed, light, monkeypatch):
+@pytest.mark.parametrize("seed,long", [(1, 16), (2, 2)])
+def test_components_equal_all_pairs(spark, seed, long, monkeypatch):
     monkeypatch.setattr(ngram_join, "SALT", 5)
     monkeypatch.setattr(ngram_join, "BLOCK", 700)
-    monkeypatch.setattr(ngram_join.finish, "__defaults__", (light,))
+    monkeypatch.setattr(ngram_join, "LONG", long)
     docs = near_docs(seed)
     sets = {d: brute.shingles(t) for d, t in docs}
     want = brute.components(sets)
