@@ -21,28 +21,30 @@ from part
 
 COMPLETIONS = r"""
 select l_partkey as pid, 'm' || cast(l_suppkey % 2 as varchar) as model,
- case when l_returnflag = 'R' then 'da' else 'en' end as mode,
- cast(row_number() over (partition by l_partkey, l_suppkey % 2, case when l_returnflag = 'R' then 'da' else 'en' end
+ case when l_returnflag = 'R' then case when l_orderkey % 13 = 0 then 'da_en' else 'da' end else 'en' end as mode,
+ cast(row_number() over (partition by l_partkey, l_suppkey % 2, case when l_returnflag = 'R' then case when l_orderkey % 13 = 0 then 'da_en' else 'da' end else 'en' end
   order by l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_linestatus, l_returnflag) - 1 as bigint) as sample_idx,
- case l_linenumber
+ case when l_linenumber = 1 and l_orderkey % 11 = 0 then chr(92) || 'boxed{' || cast(trunc(l_quantity)::bigint % 5 as varchar) || '.12345678}'
+  else case l_linenumber
   when 3 then d.text || chr(10) || 'Answer ' || cast(trunc(l_quantity)::bigint % 5 as varchar)
   when 2 then d.text || chr(10) || chr(92) || 'boxed{' || cast(trunc(l_quantity)::bigint % 5 as varchar) || ',0}' || chr(10)
   when 4 then chr(92) || 'boxed{ ' || cast(trunc(l_quantity)::bigint % 5 as varchar) || ' kr}'
   when 5 then d.text || ' ' || chr(92) || 'boxed{x} ' || chr(92) || 'boxed{' || cast(trunc(l_quantity)::bigint % 5 as varchar) || '}'
-  else d.text || chr(10) || chr(92) || 'boxed{' || cast(trunc(l_quantity)::bigint % 5 as varchar) || '}' end as text
-from lineitem join documents d on d.doc_id = l_orderkey % 200
+  else d.text || chr(10) || chr(92) || 'boxed{' || cast(trunc(l_quantity)::bigint % 5 as varchar) || '}' end end as text
+from lineitem join documents d on d.doc_id = l_orderkey % (select count(*) from documents)
 """
 
 TRANSLATION_ATTEMPTS = r"""
 select p.p_partkey as id, cast(a.k as integer) as attempt,
  case when (p.p_partkey + a.k) % 7 = 0 then null
+  when p.p_partkey % 23 = 0 then 'Danish Question: 12 + 4?' || chr(10) || 'Danish Answer: 16'
   when (p.p_partkey + a.k) % 5 = 0 then d.text || chr(10) || 'Danish Answer:' || chr(10) || d.text
   when (p.p_partkey + a.k) % 5 = 1 then d.text || chr(10) || d.text
   when (p.p_partkey + a.k) % 5 = 2 then 'Danish Question:' || chr(10) || d.text || chr(10) || 'Danish Answer:' || chr(10)
   else 'Danish Question:' || chr(10) || d.text || chr(10) || chr(10) || 'Danish Answer:' || chr(10) || d.text end as content,
  case when (p.p_partkey + a.k) % 7 = 0 then 'timeout' end as error
 from part p, (select unnest([0, 1, 2]) as k) a
-join documents d on d.doc_id = (p.p_partkey * 3 + a.k) % 200
+join documents d on d.doc_id = (p.p_partkey * 3 + a.k) % (select count(*) from documents)
 """
 
 REVIEW_ATTEMPTS = r"""
@@ -57,6 +59,7 @@ select p.p_partkey as id, cast(a.k as integer) as attempt,
   else '{"en_ok": true, "da_ok": true, "verdict": "OK"}' end as content,
  case when (p.p_partkey + a.k) % 3 = 0 then 'ERROR: timeout ' || cast(a.k as varchar) end as error
 from part p, (select unnest([0, 1, 2]) as k) a
+where p.p_partkey % 29 <> 0
 """
 
 VIEWS = {

@@ -48,11 +48,11 @@ ORACLE["f1_attach_gold"] = with_views(
 
 ORACLE["g1_accuracy_boxed"] = with_views(
     f"""select model, mode,
-          round(avg(case when p is not null and g is not null and abs(p - g) < 1e-3 then 1.0 else 0.0 end), 6) as accuracy,
-          round(avg(case when b then 1.0 else 0.0 end), 6) as boxed_rate
+          round(sum(case when p is not null and g is not null and abs(p - g) < 1e-3 then 1.0::double else 0.0::double end) / (select count(*) from items), 6) as accuracy,
+          round(sum(case when b then 1.0::double else 0.0::double end) / (select count(*) from items), 6) as boxed_rate
         from (select c.model, c.mode, {boxed_num('c.text')} as p, {boxed_flag('c.text')} as b,
                 case when c.mode = 'en' then {gold_num('i.answer')} else {gold_num('i.da_answer')} end as g
-              from completions c join items i on i.pid = c.pid)
+              from completions c join items i on i.pid = c.pid where c.sample_idx = 0)
         group by model, mode""",
     "items", "completions")
 
@@ -230,10 +230,19 @@ dsrc as (select doc_id as k, {clean_eval('text')} as t from documents),
 
 _DL = ("de", "en", "es", "fr")
 _best = "greatest(" + ", ".join(f"s.s_{x}" for x in _DL) + ")"
-_det = "coalesce(" + ", ".join(f"case when s.s_{x} = {_best} then '{x}' end" for x in _DL) + ")"
+
+
+def _detected(langs, best):
+    """The only language with the best score; null when none is known (all 0) or two tie."""
+    ties = " + ".join(f"(s.s_{x} = {best})::int" for x in langs)
+    name = "coalesce(" + ", ".join(f"case when s.s_{x} = {best} then '{x}' end" for x in langs) + ")"
+    return f"(case when {best} < 0 and {ties} = 1 then {name} end)"
+
+
+_det = _detected(_DL, _best)
 ORACLE["e3_detect_language"] = q(
     f"""select s.k as doc_id, {_det} as detected,
-        (regexp_replace(coalesce(d.text, ''), '\\s', '', 'g') <> '' and {_det} = '{T}') as is_target
+        (regexp_replace(coalesce(d.text, ''), '\\s', '', 'g') <> '' and coalesce({_det} = '{T}', false)) as is_target
         from det s join documents d on d.doc_id = s.k""",
     ctes=f"""{profile_ctes(_DL)},
 dsrc as (select doc_id as k, {clean_eval('text')} as t from documents),
@@ -288,16 +297,16 @@ ORACLE["f4_total_reward"] = q(
     ctes=f"{_RL},\nrla as (select *, {_acc} as acc from rl),\n{profile_ctes((T, O))},\n{reward_ctes('rla')}")
 
 _EM = """select model, mode,
-  avg(case when correct then 1.0 else 0.0 end) as accuracy,
-  avg(case when boxed then 1.0 else 0.0 end) as boxed_rate,
-  case when mode in ('da', 'da_en') then avg(case when lang_label = 'target' then 1.0 else 0.0 end) end as target_rate,
-  case when mode in ('da', 'da_en') then avg(case when lang_label = 'other' then 1.0 else 0.0 end) end as other_rate,
-  case when mode in ('da', 'da_en') then avg(case when lang_label = 'mixed' then 1.0 else 0.0 end) end as mixed_rate,
-  case when mode in ('da', 'da_en') then avg(case when lang_label = 'unclear' then 1.0 else 0.0 end) end as unclear_rate,
-  case when mode in ('da', 'da_en') then avg(case when correct and boxed and lang_label = 'target' then 1.0 else 0.0 end) end as strict_accuracy,
-  case when mode in ('da', 'da_en') then avg(case when correct and lang_label <> 'target' then 1.0 else 0.0 end) end as correct_but_not_target_rate,
-  case when mode in ('da', 'da_en') then avg(coalesce(lang_score, 0.0)) end as avg_target_minus_other
- from scored group by model, mode"""
+  sum(case when correct then 1.0::double else 0.0::double end) / (select count(*) from items) as accuracy,
+  sum(case when boxed then 1.0::double else 0.0::double end) / (select count(*) from items) as boxed_rate,
+  case when mode in ('da', 'da_en') then sum(case when lang_label = 'target' then 1.0::double else 0.0::double end) / (select count(*) from items) end as target_rate,
+  case when mode in ('da', 'da_en') then sum(case when lang_label = 'other' then 1.0::double else 0.0::double end) / (select count(*) from items) end as other_rate,
+  case when mode in ('da', 'da_en') then sum(case when lang_label = 'mixed' then 1.0::double else 0.0::double end) / (select count(*) from items) end as mixed_rate,
+  case when mode in ('da', 'da_en') then sum(case when lang_label = 'unclear' then 1.0::double else 0.0::double end) / (select count(*) from items) end as unclear_rate,
+  case when mode in ('da', 'da_en') then sum(case when correct and boxed and lang_label = 'target' then 1.0::double else 0.0::double end) / (select count(*) from items) end as strict_accuracy,
+  case when mode in ('da', 'da_en') then sum(case when correct and lang_label <> 'target' then 1.0::double else 0.0::double end) / (select count(*) from items) end as correct_but_not_target_rate,
+  case when mode in ('da', 'da_en') then sum(coalesce(lang_score, 0.0::double)) / (select count(*) from items) end as avg_target_minus_other
+ from scored where sample_idx = 0 group by model, mode"""
 
 ORACLE["g2_language_rates"] = q(
     "select model, mode, round(target_rate, 6) as target_rate, round(other_rate, 6) as other_rate, "
@@ -359,10 +368,10 @@ ORACLE["g7_best_of_n_target"] = q(
     "round(oracle_any_correct_other_rate, 6) as oracle_any_correct_other_rate from bon",
     "items", "completions", ctes=_SC10 + ",\n" + _FH)
 
-_WIN = """vv as (select pid, model, mode, sample_idx, round(pred, 6) as vkey, correct, boxed, lang_label,
+_WIN = """vv as (select pid, model, mode, sample_idx, round(pred, 6) as vkey, pred, correct, boxed, lang_label,
    lang_score, unnest(range(sample_idx + 1, 11)) as n from sc10 where pred is not null),
 gr as (select pid, model, mode, n, vkey, count(*) as votes, avg(sample_idx) as avg_idx,
-   min(sample_idx) as first_idx, arg_min(correct, sample_idx) as correct, arg_min(boxed, sample_idx) as boxed,
+   min(sample_idx) as first_idx, arg_min(pred, sample_idx) as pred, arg_min(correct, sample_idx) as correct, arg_min(boxed, sample_idx) as boxed,
    arg_min(lang_label, sample_idx) as lang_label, arg_min(lang_score, sample_idx) as lang_score
    from vv group by pid, model, mode, n, vkey),
 win as (select * from (select *, row_number() over (partition by pid, model, mode, n
@@ -382,7 +391,7 @@ maj as (select g.model, g.mode, g.n,
   group by g.model, g.mode, g.n)"""
 
 ORACLE["g8_majority_winner"] = q(
-    "select pid, model, mode, n, vkey as pred, votes, first_idx as winner_idx, correct, boxed, "
+    "select pid, model, mode, n, pred, votes, first_idx as winner_idx, correct, boxed, "
     "lang_label, round(lang_score, 6) as lang_score from win",
     "items", "completions", ctes=_SC10 + ",\n" + _WIN)
 
@@ -440,9 +449,9 @@ _SERIES = [
 _safe = "regexp_replace(regexp_replace(model, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _parts = [
     "select model, 'best_of_accuracy' as figure, case mode when 'en' then 'English' when 'da' then 'Danish' "
-    "else mode end as series, n, 100.0 * oracle_accuracy as percent from bon",
+    "else mode end as series, n, 100.0 * oracle_accuracy as percent from bon where mode in ('en', 'da')",
     "select model, 'majority_accuracy' as figure, case mode when 'en' then 'English' when 'da' then 'Danish' "
-    "else mode end as series, n, 100.0 * accuracy as percent from maj",
+    "else mode end as series, n, 100.0 * accuracy as percent from maj where mode in ('en', 'da')",
 ] + [f"select model, '{f}' as figure, '{s}' as series, n, 100.0 * {m} as percent from {t} where mode = 'da'"
      for f, s, t, m in _SERIES]
 ORACLE["g13_scaling_series"] = q(
@@ -549,6 +558,7 @@ ORACLE["d11_prepare_modes"] = with_views(_D11, "items")
 ORACLE["b1_split_by_position"] = with_views(
     """select pid, position, case when position < 7473 then 'train' else 'test' end as part
        from (select pid, row_number() over (order by pid) - 1 as position from items)""", "items")
+ORACLE["b1_split_inside"] = ORACLE["b1_split_by_position"].replace("7473", "150")
 ORACLE["b2_head_subset"] = with_views(
     "select pid from (select pid from items order by pid limit 7473) order by pid limit 2000", "items")
 ORACLE["b3_sample_k"] = with_views(
@@ -578,7 +588,7 @@ ORACLE["h1_parse_sections"] = q("select id, attempt, da_q, da_a from h1", "trans
 
 _DLS = ("de", "en", "es", "fr")
 _dbest = "greatest(" + ", ".join(f"s.s_{x}" for x in _DLS) + ")"
-_ddet = "coalesce(" + ", ".join(f"case when s.s_{x} = {_dbest} then '{x}' end" for x in _DLS) + ")"
+_ddet = _detected(_DLS, _dbest)
 _H2 = _H1 + f""",
 {profile_ctes(_DLS)},
 h2p as (select id, attempt, 'q' as part, da_q as raw from h1 where error is null
@@ -651,15 +661,15 @@ h6ok as (select * from (select *, row_number() over (partition by id order by at
          from h5w where parsed) where rn = 1),
 h6last as (select * from (select id, last_msg, row_number() over (partition by id order by attempt desc) as rn
            from h5w) where rn = 1),
-h6 as (select l.id, {", ".join(f"o.{k}" for k in _FL)}, o.name_mismatch, o.severity,
+h6 as (select i.pid as id, {", ".join(f"o.{k}" for k in _FL)}, o.name_mismatch, o.severity,
    case when o.id is not null then o.issues else '[]' end as issues,
-   case when o.id is not null then o.comment else 'Model error: ' || left(l.last_msg, 150) end as comment,
+   case when o.id is not null then o.comment else 'Model error: ' || coalesce(left(l.last_msg, 150), '') end as comment,
    case when o.id is not null then o.verdict else 'ISSUE' end as verdict
-  from h6last l left join h6ok o on o.id = l.id)"""
+  from items i left join h6last l on l.id = i.pid left join h6ok o on o.id = i.pid)"""
 
-ORACLE["h6_first_parseable"] = q("select * from h6", "review_attempts", ctes=_H6)
+ORACLE["h6_first_parseable"] = q("select * from h6", "items", "review_attempts", ctes=_H6)
 ORACLE["h7_is_issue"] = q("select id, verdict, upper(coalesce(verdict, '')) <> 'OK' as is_issue from h6",
-                          "review_attempts", ctes=_H6)
+                          "items", "review_attempts", ctes=_H6)
 ORACLE["h8_issue_report"] = q(
     "select i.pid, i.question, i.answer, i.da_question, i.da_answer, "
     + ", ".join(f"h.{k} as qa_{k}" for k in _FL + ["name_mismatch", "issues", "severity", "comment", "verdict"])

@@ -24,6 +24,9 @@ from ..functions.text import col_
 MIN_CHARS = 15
 THRESHOLD = 0.30
 
+# Profile rows (gram x language) up to which the profile is broadcast.
+BROADCAST_ROWS = 1_000_000
+
 LABEL_TARGET, LABEL_OTHER, LABEL_MIXED, LABEL_UNCLEAR = "target", "other", "mixed", "unclear"
 
 
@@ -103,7 +106,9 @@ def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame,
     # text meets one row (no fan-out by the number of languages).
     wide = profile.where(F.col("lang").isin(langs)).groupBy("gram").agg(
         *[F.max(F.when(F.col("lang") == lg, F.col("logp"))).alias(f"p_{lg}") for lg in langs])
-    j = g.join(F.broadcast(wide), "gram", "left")
+    # Read from a written table, so the count is cheap; beyond the limit a plain join.
+    side = F.broadcast(wide) if profile.count() <= BROADCAST_ROWS else wide
+    j = g.join(side, "gram", "left")
     sums = j.groupBy(key).agg(*[F.sum(f"p_{lg}").alias(f"s_{lg}") for lg in langs])
     return sums.select(key, *[F.coalesce(F.col(f"s_{lg}"), F.lit(0.0)).alias(f"s_{lg}")
                               for lg in langs])
@@ -134,22 +139,22 @@ def language_confidence(df: DataFrame, key: str, text: str, profile: DataFrame,
 def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame,
                     languages: Sequence[str], target: str | None = None,
                     n: int = 3) -> DataFrame:
-    """Most likely language (ties go to the first name in sort order), and
-    ``is_target``; blank text is never the target."""
+    """Most likely language, and ``is_target``.  A text without a known gram, or
+    whose best two languages tie, has no language (null) and is never the target."""
     langs = sorted(set(languages))
-    texts = df.select(key, clean_eval(F.col(text)).alias("_t")).withColumn("_ck", F.md5("_t"))
+    blank = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s", "") == ""
+    texts = df.select(key, clean_eval(F.col(text)).alias("_t"), blank.alias("_blank")).withColumn("_ck", F.md5("_t"))
     # Each distinct cleaned text is scored once.
     s = language_scores(texts.select("_ck", "_t").distinct(), "_ck", "_t", profile, langs, n)
     m = F.greatest(*[F.col(f"s_{lg}") for lg in langs]) if len(langs) > 1 else F.col(f"s_{langs[0]}")
-    detected = F.coalesce(*[F.when(F.col(f"s_{lg}") == m, F.lit(lg)) for lg in langs])
-    out = texts.select(key, "_ck").join(s.select("_ck", detected.alias("detected")), "_ck") \
-        .select(key, "detected")
-    if target is not None:
-        blank = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s", "") == ""
-        out = out.join(df.select(key, blank.alias("_blank")), key) \
-            .withColumn("is_target", ~F.col("_blank") & (F.col("detected") == target)) \
-            .drop("_blank")
-    return out
+    best = F.filter(F.array(*[F.when(F.col(f"s_{lg}") == m, F.lit(lg)) for lg in langs]), lambda x: x.isNotNull())
+    # A text without known grams scores 0 in every language: a tie, unless there is one language only.
+    some = m < 0
+    detected = F.when(some & (F.size(best) == 1), F.element_at(best, 1))
+    out = texts.select(key, "_ck", "_blank").join(s.select("_ck", detected.alias("detected")), "_ck")
+    if target is None:
+        return out.select(key, "detected")
+    return out.select(key, "detected", (~F.col("_blank") & F.coalesce(F.col("detected") == target, F.lit(False))).alias("is_target"))
 
 
 def signal_columns(conf_t: Column, conf_o: Column, cleaned_len: Column,
@@ -194,6 +199,21 @@ def score_texts(texts: DataFrame, key: str, text: str, profile: DataFrame,
     return out.select("*", *[v.alias(k) for k, v in cols.items()])
 
 
+def signal_text(text: Column, exclude_final_line: bool = True) -> Column:
+    """The cleaned text that the language signal of a completion is taken from."""
+    return clean_eval(drop_final_boxed(text) if exclude_final_line else text)
+
+
+def score_cleaned(texts: DataFrame, cleaned: str, profile: DataFrame, target: str, other: str,
+                  min_chars: int = MIN_CHARS, threshold: float = THRESHOLD, n: int = 3) -> DataFrame:
+    """(_ck, lang_score, lang_label) of distinct cleaned texts; ``_ck`` is their md5."""
+    c = texts.select(F.md5(cleaned).alias("_ck"), F.col(cleaned).alias("_c"), F.length(cleaned).alias("cleaned_len"))
+    conf = with_confidences(language_scores(c.select("_ck", "_c"), "_ck", "_c", profile, (target, other), n), (target, other))
+    cols = signal_columns(F.col(f"conf_{target}"), F.col(f"conf_{other}"), F.col("cleaned_len"), min_chars, threshold)
+    out = c.select("_ck", "cleaned_len").join(conf, "_ck")
+    return out.select("_ck", *[v.alias(k) for k, v in cols.items()])
+
+
 def language_signal(df: DataFrame, text: str, profile: DataFrame, target: str, other: str,
                     min_chars: int = MIN_CHARS, threshold: float = THRESHOLD,
                     exclude_final_line: bool = True) -> DataFrame:

@@ -16,17 +16,22 @@ EVAL_TARGET = ["target_rate", "other_rate", "mixed_rate", "unclear_rate", "stric
                "correct_but_not_target_rate", "avg_target_minus_other"]
 
 
-def _rate(e):
-    return F.avg(F.when(e, 1.0).otherwise(0.0))
-
-
-def eval_metrics(scored: DataFrame, target_modes: Sequence[str] = TARGET_MODES_EVAL) -> DataFrame:
+def eval_metrics(scored: DataFrame, items: DataFrame,
+                 target_modes: Sequence[str] = TARGET_MODES_EVAL) -> DataFrame:
     """G1-G4 per (model, mode): accuracy, boxed rate; for target modes the four
     label rates, strict accuracy, correct-but-not-target and mean contrast
-    (over all rows; unclear counts as 0).  One hash aggregation."""
+    (unclear counts as 0).  One hash aggregation.
+
+    A model is asked once for each item and mode: its first sample counts, and
+    the rates are shares of all items, so a missing answer is a miss."""
     lab, c, b = F.col("lang_label"), F.col("correct"), F.col("boxed")
     is_t = F.col("mode").isin(*target_modes)
-    return scored.groupBy("model", "mode").agg(
+    total = items.select(F.count(F.lit(1))).scalar()
+
+    def _rate(e):
+        return F.sum(F.when(e, 1.0).otherwise(0.0)) / F.max("_total")
+
+    return scored.where(F.col("sample_idx") == 0).withColumn("_total", total).groupBy("model", "mode").agg(
         _rate(c).alias("accuracy"), _rate(b).alias("boxed_rate"),
         F.when(is_t, _rate(lab == LABEL_TARGET)).alias("target_rate"),
         F.when(is_t, _rate(lab == LABEL_OTHER)).alias("other_rate"),
@@ -34,7 +39,7 @@ def eval_metrics(scored: DataFrame, target_modes: Sequence[str] = TARGET_MODES_E
         F.when(is_t, _rate(lab == LABEL_UNCLEAR)).alias("unclear_rate"),
         F.when(is_t, _rate(c & b & (lab == LABEL_TARGET))).alias("strict_accuracy"),
         F.when(is_t, _rate(c & (lab != LABEL_TARGET))).alias("correct_but_not_target_rate"),
-        F.when(is_t, F.avg(F.coalesce(F.col("lang_score"), F.lit(0.0)))).alias("avg_target_minus_other"),
+        F.when(is_t, F.sum(F.coalesce(F.col("lang_score"), F.lit(0.0))) / F.max("_total")).alias("avg_target_minus_other"),
     )
 
 
@@ -70,10 +75,10 @@ def eval_columns(modes: Sequence[str], target_modes: Sequence[str] = TARGET_MODE
     return cols
 
 
-def eval_wide(scored: DataFrame, modes: Sequence[str] = ("da", "en"),
+def eval_wide(scored: DataFrame, items: DataFrame, modes: Sequence[str] = ("da", "en"),
               target_modes: Sequence[str] = TARGET_MODES_EVAL) -> DataFrame:
     """G1-G4 then G12: the evaluation result row of every model."""
-    long = metrics_long(eval_metrics(scored, target_modes), ["model", "mode"],
+    long = metrics_long(eval_metrics(scored, items, target_modes), ["model", "mode"],
                         EVAL_BASE + EVAL_TARGET)
     return pivot_metrics(long, eval_columns(modes, target_modes))
 

@@ -339,8 +339,10 @@ def to_messages_en(items: DataFrame) -> DataFrame:
 
 
 def review_requests(items: DataFrame) -> DataFrame:
-    """System text + the four-part user text (a null part renders as '')."""
-    cols = {k: F.col(k) for k in ("question", "answer", "da_question", "da_answer")}
+    """System text + the four-part user text (a null part, or one whose column is
+    missing, renders as '')."""
+    cols = {k: F.col(k) if k in items.columns else F.lit("")
+            for k in ("question", "answer", "da_question", "da_answer")}
     return items.select("pid", F.lit(REVIEW_SYSTEM).alias("system"),
                         fill(REVIEW_USER, cols).alias("user"))
 

@@ -134,10 +134,12 @@ def parse_reviews(attempts: DataFrame) -> DataFrame:
     return out
 
 
-def first_parseable(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def first_parseable(attempts: DataFrame, items: DataFrame,
+                    max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """H6: per item the first parseable review of at most ``max_attempts``; when
     none parses: verdict 'ISSUE' and comment 'Model error: ' + the first 150
-    characters of the last reply (or its error)."""
+    characters of the last reply (or its error; nothing when there is no reply).
+    Every item has a result."""
     p = parse_reviews(attempts.where(F.col("attempt") < max_attempts))
     fields = FLAGS + ["name_mismatch", "issues", "severity", "comment", "verdict"]
     last_msg = F.coalesce(F.col("error"), strip(F.coalesce(F.col("content"), F.lit(""))))
@@ -148,9 +150,9 @@ def first_parseable(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Da
     out = [F.when(ok, F.col(f"w.{f}")).alias(f) for f in FLAGS + ["name_mismatch", "severity"]]
     out.append(F.when(ok, F.col("w.issues")).otherwise(F.lit("[]")).alias("issues"))
     out.append(F.when(ok, F.col("w.comment")).otherwise(
-        F.concat(F.lit("Model error: "), F.substring("_last", 1, ERROR_CHARS))).alias("comment"))
+        F.concat(F.lit("Model error: "), F.coalesce(F.substring("_last", 1, ERROR_CHARS), F.lit("")))).alias("comment"))
     out.append(F.when(ok, F.col("w.verdict")).otherwise(F.lit("ISSUE")).alias("verdict"))
-    return g.select("id", *out)
+    return items.select(F.col("pid").alias("id")).join(g, "id", "left").select("id", *out)
 
 
 def is_issue(verdict: Column) -> Column:

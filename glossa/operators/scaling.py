@@ -60,7 +60,7 @@ def item_total(items: DataFrame):
 
 def _grid(samples: DataFrame, ns: Sequence[int]) -> DataFrame:
     """(model, mode, n) for every model/mode seen and every n."""
-    return samples.select("model", "mode").distinct().select(
+    return samples.where(F.col("sample_idx") < max(ns)).select("model", "mode").distinct().select(
         "model", "mode", F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"))
 
 
@@ -138,24 +138,26 @@ def majority_winner(samples: DataFrame, ns: Sequence[int] = NS, decimals: int =
     """The majority-vote winner of every (item, n) prefix.
 
     Null predictions do not vote; most votes wins, then the lower mean index,
-    then the lower first index; the winner row is the earliest supporter.
+    then the lower first index; the winner row is the earliest supporter, and its
+    own prediction (not the rounded vote key) is returned.
     Items whose prefix has no prediction get no row."""
     max_n = max(ns)
     label_code = F.coalesce(*[F.when(F.col("lang_label") == k, F.lit(v))
                               for k, v in _LABEL_CODE.items()])
     votes = samples.where((F.col("sample_idx") < max_n) & F.col("pred").isNotNull()).select(
-        *ITEM, "sample_idx", vote_key("pred", decimals).alias("vkey"), "correct", "boxed",
+        *ITEM, "sample_idx", vote_key("pred", decimals).alias("vkey"), "pred", "correct", "boxed",
         label_code.alias("lcode"), "lang_score",
         F.explode(F.sequence(F.col("sample_idx") + 1, F.lit(max_n))).alias("n"))
     idx = F.col("sample_idx")
     groups = votes.groupBy(*ITEM, "n", "vkey").agg(
         F.count(F.lit(1)).alias("votes"), F.avg(idx).alias("avg_idx"), F.min(idx).alias("first_idx"),
+        F.min_by("pred", idx).alias("pred"),
         F.min_by("correct", idx).alias("correct"), F.min_by("boxed", idx).alias("boxed"),
         F.min_by("lcode", idx).alias("lcode"), F.min_by("lang_score", idx).alias("lang_score"))
     w = Window.partitionBy(*ITEM, "n").orderBy(F.col("votes").desc(), "avg_idx", "first_idx")
     best = groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
     decode = F.coalesce(*[F.when(F.col("lcode") == v, F.lit(k)) for k, v in _LABEL_CODE.items()])
-    return best.select(*ITEM, "n", F.col("vkey").alias("pred"), "votes",
+    return best.select(*ITEM, "n", "pred", "votes",
                        F.col("first_idx").alias("winner_idx"), "correct", "boxed",
                        decode.alias("lang_label"), "lang_score")
 

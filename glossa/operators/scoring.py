@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import boxed_flag, boxed_number, gold_number, gold_text
-from .language import MIN_CHARS, THRESHOLD, language_reward, score_texts
+from .language import MIN_CHARS, THRESHOLD, language_reward, score_cleaned, signal_text
 
 # Tolerance of a correct answer, and the modes whose gold is the
 # source-language answer.
@@ -53,26 +53,22 @@ def score_completions(completions: DataFrame, items: DataFrame, profile: DataFra
     """F2: boxed, pred, correct for every completion, plus lang_label / lang_score
     for rows whose mode is a target mode (null otherwise).  A null text is ''.
 
-    Every distinct text is parsed and language-scored once (md5 key), then the
-    per-text columns are joined back to the completion rows; the text itself is
-    never carried through the join."""
-    rows = attach_gold(completions, items).withColumn(
-        "text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_tk", F.md5("text"))
-    # One de-duplication pass; a text needs a language score when any of its
-    # rows has a target mode.
-    texts = rows.groupBy("_tk", F.col("text").alias("_t")).agg(
-        F.max(F.col("mode").isin(*target_modes)).alias("_needs_lang"))
-    feats = texts.select("_tk", boxed_flag("_t").alias("boxed"), boxed_number("_t").alias("pred"))
-    lang = score_texts(texts.where("_needs_lang"), "_tk", "_t", profile, target, other, "eval",
-                       True, min_chars, threshold).select("_tk", "lang_label", "lang_score")
-    feats = feats.join(lang, "_tk", "left")
+    Parsing is a projection of the row.  Only rows of target modes go to the
+    language step, where each distinct cleaned text is scored once; the score
+    comes back by the row's hash of its cleaned text, no text in the join."""
     is_target = F.col("mode").isin(*target_modes)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cleaned = signal_text(text)
+    rows = attach_gold(completions, items).select(
+        *KEY, "gold", boxed_flag(text).alias("boxed"), boxed_number(text).alias("pred"),
+        F.when(is_target, F.md5(cleaned)).alias("_ck"))
+    wanted = completions.where(is_target).select(cleaned.alias("_c")).distinct()
+    lang = score_cleaned(wanted, "_c", profile, target, other, min_chars, threshold)
     return (
-        rows.select(*KEY, "gold", "_tk").join(feats, "_tk")
+        rows.join(lang.select("_ck", "lang_label", "lang_score"), "_ck", "left")
         .select(*KEY, "gold", "boxed", "pred",
                 correct_expr(F.col("pred"), F.col("gold")).alias("correct"),
-                F.when(is_target, F.col("lang_label")).alias("lang_label"),
-                F.when(is_target, F.col("lang_score")).alias("lang_score"))
+                "lang_label", "lang_score")
     )
 
 

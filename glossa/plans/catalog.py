@@ -85,7 +85,7 @@ def f1(spark, sf):
 
 @query("g1_accuracy_boxed")
 def g1(spark, sf):
-    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
+    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL), X.items(spark, sf))
     return m.select("model", "mode", r6("accuracy").alias("accuracy"),
                     r6("boxed_rate").alias("boxed_rate"))
 
@@ -208,21 +208,21 @@ def f4(spark, sf):
 
 @query("g2_language_rates")
 def g2(spark, sf):
-    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
+    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL), X.items(spark, sf))
     return m.select("model", "mode", *[r6(k).alias(k) for k in
                                        ["target_rate", "other_rate", "mixed_rate", "unclear_rate"]])
 
 
 @query("g3_strict_accuracy")
 def g3(spark, sf):
-    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
+    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL), X.items(spark, sf))
     return m.select("model", "mode", r6("strict_accuracy").alias("strict_accuracy"),
                     r6("correct_but_not_target_rate").alias("correct_but_not_target_rate"))
 
 
 @query("g4_mean_contrast")
 def g4(spark, sf):
-    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL))
+    m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL), X.items(spark, sf))
     return m.select("model", "mode", r6("avg_target_minus_other").alias("avg_target_minus_other"))
 
 
@@ -237,7 +237,7 @@ def _samples(spark, sf):
     """Scored rows written once (lineage cut in the shared checkpoint folder);
     the best-of-N, majority and mix jobs all read this table instead of
     re-running the scoring in each of their branches."""
-    return G.prefix_samples(L.written(scored(spark, sf), "scored"), max(NS))
+    return L.written(scored(spark, sf), "scored")
 
 
 def _round_all(df, keys):
@@ -260,7 +260,7 @@ def g7(spark, sf):
 
 @query("g8_majority_winner")
 def g8(spark, sf):
-    w = G.majority_winner(_samples(spark, sf), NS)
+    w = G.majority_winner(G.prefix_samples(_samples(spark, sf), max(NS)), NS)
     return w.select("pid", "model", "mode", F.col("n").cast("long").alias("n"), "pred",
                     F.col("votes").cast("long").alias("votes"), "winner_idx", "correct", "boxed",
                     "lang_label", r6("lang_score").alias("lang_score"))
@@ -268,7 +268,7 @@ def g8(spark, sf):
 
 def _majority(spark, sf):
     s = _samples(spark, sf)
-    return G.majority_metrics(G.majority_winner(s, NS), s, X.items(spark, sf), NS)
+    return G.majority_metrics(G.majority_winner(G.prefix_samples(s, max(NS)), NS), s, X.items(spark, sf), NS)
 
 
 @query("g9_majority_metrics")
@@ -293,7 +293,7 @@ def g11(spark, sf):
 
 @query("g12_pivot_metrics")
 def g12(spark, sf):
-    w = M.eval_wide(scored(spark, sf, S.TARGET_MODES_EVAL), ("da", "en"))
+    w = M.eval_wide(scored(spark, sf, S.TARGET_MODES_EVAL), X.items(spark, sf), ("da", "en"))
     return _round_all(w, ["model"])
 
 
@@ -302,7 +302,7 @@ def scaling_long(spark, sf):
     items = X.items(spark, sf)
     best = G.best_of_n(s, items, NS)
     mix = G.sample_language_mix(s, items, NS)
-    maj = G.majority_metrics(G.majority_winner(s, NS), s, items, NS)
+    maj = G.majority_metrics(G.majority_winner(G.prefix_samples(s, max(NS)), NS), s, items, NS)
     return G.scaling_long(best, mix, maj)
 
 
@@ -341,10 +341,9 @@ def d2(spark, sf):
 @query("d3_render_chats")
 def d3(spark, sf):
     conv = X.table(spark, sf, "conversations")
-    train = D.render_chats(conv, add_generation_prompt=False)
-    prompt = D.render_chats(conv, add_generation_prompt=True)
-    return train.join(prompt.withColumnRenamed("chat", "chat_prompt"), "conv_id") \
-        .select("conv_id", F.col("chat").alias("chat_train"), "chat_prompt")
+    # the prompt text is the rendered chat and the generation prompt: one pass
+    return D.render_chats(conv).select("conv_id", F.col("chat").alias("chat_train"), F.concat(
+        "chat", F.lit(D.CHATML["generation_prompt"])).alias("chat_prompt"))
 
 
 @query("d4_expand_paired")
@@ -404,10 +403,17 @@ def b1(spark, sf):
     return s.select("pid", F.col("position").cast("long").alias("position"), "part")
 
 
+@query("b1_split_inside")
+def b1_inside(spark, sf):
+    """The same split with a cut inside the data at every scale."""
+    s = B.split_by_position(X.items(spark, sf).select("pid"), "pid", 150)
+    return s.select("pid", F.col("position").cast("long").alias("position"), "part")
+
+
 @query("b2_head_subset")
 def b2(spark, sf):
-    train = B.split_by_position(X.items(spark, sf).select("pid"), "pid", TRAIN_ROWS, "train")
-    return B.head_subset(train.select("pid"), "pid", 2000)
+    # the head of the training part: one bounded top-k, no positions
+    return B.head_subset(X.items(spark, sf).select("pid"), "pid", min(2000, TRAIN_ROWS))
 
 
 @query("b3_sample_k")
@@ -463,17 +469,17 @@ def h5(spark, sf):
 
 @query("h6_first_parseable")
 def h6(spark, sf):
-    return H.first_parseable(X.review_attempts(spark, sf))
+    return H.first_parseable(X.review_attempts(spark, sf), X.items(spark, sf))
 
 
 @query("h7_is_issue")
 def h7(spark, sf):
-    r = H.first_parseable(X.review_attempts(spark, sf))
+    r = H.first_parseable(X.review_attempts(spark, sf), X.items(spark, sf))
     return r.select("id", "verdict", H.is_issue(F.col("verdict")).alias("is_issue"))
 
 
 def issue_report(spark, sf):
-    return H.issue_report(X.items(spark, sf), H.first_parseable(X.review_attempts(spark, sf)))
+    return H.issue_report(X.items(spark, sf), H.first_parseable(X.review_attempts(spark, sf), X.items(spark, sf)))
 
 
 @query("h8_issue_report")

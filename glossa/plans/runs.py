@@ -44,7 +44,7 @@ def evaluation_run(items: DataFrame, completions: DataFrame, profile: DataFrame,
     comp = completions.join(test.select("pid"), "pid", "left_semi")
     scored = _persist(S.score_completions(comp, test, profile, target, other,
                                           S.TARGET_MODES_EVAL), "eval-scored")
-    wide = M.eval_wide(scored, modes)
+    wide = M.eval_wide(scored, test, modes)
     IO.write_metrics(wide, out_dir)
     return wide
 
@@ -56,10 +56,9 @@ def scaling_run(items: DataFrame, completions: DataFrame, profile: DataFrame,
     comp = completions.join(test.select("pid"), "pid", "left_semi")
     scored = _persist(S.score_completions(comp, test, profile, target, other,
                                           S.TARGET_MODES_SCALING), "scaling-scored")
-    samples = G.prefix_samples(scored, max(ns))
-    best = G.best_of_n(samples, test, ns)
-    mix = G.sample_language_mix(samples, test, ns)
-    maj = G.majority_metrics(G.majority_winner(samples, ns), samples, test, ns)
+    best = G.best_of_n(scored, test, ns)
+    mix = G.sample_language_mix(scored, test, ns)
+    maj = G.majority_metrics(G.majority_winner(G.prefix_samples(scored, max(ns)), ns), scored, test, ns)
     long = _persist(G.scaling_long(best, mix, maj), "scaling-long")
     wide = M.pivot_metrics(long, scaling_columns(modes, ns))
     IO.write_metrics(wide, out_dir)

@@ -48,6 +48,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext.getCheckpointDir() or conf
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _SCRATCH_ROOT is None:
         # Unset only in tests / local runs: a fresh folder per process.
         _SCRATCH_ROOT = tempfile.mkdtemp(prefix="glossa-ckpt-")

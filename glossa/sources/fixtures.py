@@ -10,8 +10,7 @@ so that every job's work grows with them:
 * ``review_attempts``       <- part, 3 attempts each
 * ``labelled_text``         <- documents (doc_id, text, lang)
 
-Documents joined here are the 200 with ``doc_id < 200`` (present at every
-scale); that side is bounded by construction, so it is broadcast.
+All documents are joined, by a key modulo their number, with a plain join.
 Completion and attempt texts hold the whole document text.
 """
 
@@ -20,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOC_POOL = 200  # documents with doc_id < 200 exist at every scale
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,10 +40,11 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def _doc_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") < DOC_POOL)
-    # At most DOC_POOL rows: safe to broadcast at any scale.
-    return F.broadcast(docs.select("doc_id", "text"))
+def _with_document(df: DataFrame, key: Column, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows joined to the document numbered ``key`` modulo the number of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = docs.select(F.count(F.lit(1))).scalar()
+    return df.withColumn("_doc", F.pmod(key, n)).join(docs, F.col("_doc") == docs["doc_id"]).drop("_doc")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,20 +96,21 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(li).select(
         F.col("l_partkey").alias("pid"),
         F.concat(F.lit("m"), _s(F.col("l_suppkey") % 2)).alias("model"),
-        F.when(F.col("l_returnflag") == "R", "da").otherwise("en").alias("mode"),
+        F.when(F.col("l_returnflag") == "R", F.when(F.col("l_orderkey") % 13 == 0, "da_en").otherwise("da"))
+        .otherwise("en").alias("mode"),
         *_LINE_ORDER,
     )
     # Numbering happens on narrow line columns, before any text is attached.
     # A (pid, model, mode) group is one prompt's samples, so it is small.
     w = Window.partitionBy("pid", "model", "mode").orderBy(*_LINE_ORDER)
     li = li.withColumn("sample_idx", (F.row_number().over(w) - 1).cast("long"))
-    docs = _doc_pool(spark, sf_dir)
-    joined = li.join(docs, docs["doc_id"] == F.col("l_orderkey") % DOC_POOL)
+    joined = _with_document(li, F.col("l_orderkey"), spark, sf_dir)
     k = _s(F.col("l_quantity").cast("int") % 5)
     d, nl, box = F.col("text"), F.lit("\n"), F.lit("\\boxed{")
     ln = F.col("l_linenumber")
     text = (
-        F.when(ln == 3, F.concat(d, nl, F.lit("Answer "), k))
+        F.when((ln == 1) & (F.col("l_orderkey") % 11 == 0), F.concat(F.lit("\\boxed{"), k, F.lit(".12345678}")))
+        .when(ln == 3, F.concat(d, nl, F.lit("Answer "), k))
         .when(ln == 2, F.concat(d, nl, box, k, F.lit(",0}"), nl))
         .when(ln == 4, F.concat(F.lit("\\boxed{ "), k, F.lit(" kr}")))
         .when(ln == 5, F.concat(d, F.lit(" \\boxed{x} \\boxed{"), k, F.lit("}")))
@@ -124,13 +123,13 @@ def translation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, attempt, content, error: three replies per item in several shapes."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     p = p.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    docs = _doc_pool(spark, sf_dir)
-    j = p.join(docs, docs["doc_id"] == (F.col("id") * 3 + F.col("attempt")) % DOC_POOL)
+    j = _with_document(p, F.col("id") * 3 + F.col("attempt"), spark, sf_dir)
     r = F.col("id") + F.col("attempt")
     d, nl = F.col("text"), F.lit("\n")
     qlab, alab = F.lit("Danish Question:"), F.lit("Danish Answer:")
     content = (
         F.when(r % 7 == 0, F.lit(None).cast("string"))
+        .when(F.col("id") % 23 == 0, F.concat(qlab, F.lit(" 12 + 4?"), nl, alab, F.lit(" 16")))
         .when(r % 5 == 0, F.concat(d, nl, alab, nl, d))
         .when(r % 5 == 1, F.concat(d, nl, d))
         .when(r % 5 == 2, F.concat(qlab, nl, d, nl, alab, nl))
@@ -144,6 +143,8 @@ def translation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, attempt, content, error: review replies (fenced, prose, cut-off, ...)."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    # items without any reply
+    p = p.where(F.col("id") % 29 != 0)
     p = p.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     i, r = F.col("id"), F.col("id") + F.col("attempt")
     content = (

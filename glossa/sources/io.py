@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.splits import with_position
+
 ITEMS_SCHEMA = T.StructType([
     T.StructField("pid", T.LongType()),
     T.StructField("question", T.StringType()),
@@ -38,10 +41,27 @@ def _csv_options(sep: str) -> dict[str, str]:
 
 def read_items(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ",",
                schema: T.StructType = ITEMS_SCHEMA) -> DataFrame:
-    """A1 / A2: read an item table with a declared schema (no inference)."""
+    """A1 / A2: read an item table; columns are matched by the names in the header.
+
+    Columns in another order and further columns are fine, absent text columns are
+    null, and a file without the id column (the first of ``schema``) gets the row
+    position as id.  Quoted line breaks make a file one task; convert large files to
+    Parquet once."""
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    return spark.read.schema(schema).options(**_csv_options(sep)).csv(path)
+    raw = spark.read.options(**_csv_options(sep)).csv(path)
+    names = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
+    first = schema.fields[0]
+    texts = [f for f in schema.fields[1:] if f.name in names]
+    if not texts:
+        raise ValueError(f"none of the columns {[f.name for f in schema.fields]} in {path}")
+    if first.name not in names:
+        # one row number for each file split, in order; ranked to 0, 1, 2, ...
+        raw = with_position(raw.withColumn("_m", F.monotonically_increasing_id()), "_m")
+        names[first.name] = "position"
+    return raw.select(*[
+        F.col(f"`{names[f.name]}`").cast(f.dataType).alias(f.name) if f.name in names
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_items(df: DataFrame, path: str, sep: str = ",") -> None:

@@ -63,6 +63,14 @@ def test_detect_blank_is_never_target(spark, texts):
     assert got == {0: False, 1: False}
 
 
+def test_text_without_a_language_is_not_accepted(spark, texts):
+    de, _, prof = texts
+    cases = [(0, "42"), (1, "#### 42"), (2, "3 + 4 = 7"), (3, "qq"), (4, de)]
+    df = spark.createDataFrame(cases, "k long, t string")
+    got = {r.k: (r.detected, r.is_target) for r in L.detect_language(df, "k", "t", prof, LANGS, "de").collect()}
+    assert got == {0: (None, False), 1: (None, False), 2: (None, False), 3: (None, False), 4: ("de", True)}
+
+
 def test_reviews(spark):
     fenced = '```json\n{"en_ok": false, "issues": [{"target": "EN", "type": "t", "brief": "b"}], "verdict": "ISSUE"}\n```'
     attempts = spark.createDataFrame([
@@ -73,7 +81,9 @@ def test_reviews(spark):
         (5, 0, "not json", None), (5, 1, None, "ERROR: boom"), (5, 2, "x" * 200, None),
         (6, 0, "nope", None), (6, 1, '{"verdict": "OK"}', None), (6, 3, '{"verdict": "ISSUE"}', None),
     ], "id long, attempt int, content string, error string")
-    r = {x.id: x for x in H.first_parseable(attempts).collect()}
+    asked = spark.createDataFrame([(i,) for i in range(1, 8)], "pid long")
+    r = {x.id: x for x in H.first_parseable(attempts, asked).collect()}
+    assert r[7].verdict == "ISSUE" and r[7].comment == "Model error: "   # no reply at all
     assert r[1].en_ok == "false" and r[1].verdict == "ISSUE"
     assert r[1].issues == '[{"target":"EN","type":"t","brief":"b"}]'
     assert r[2].verdict == "ok" and r[2].issues == "[]" and r[2].name_mismatch == "false"
@@ -83,5 +93,5 @@ def test_reviews(spark):
     assert r[5].issues == "[]" and r[5].en_ok is None
     assert r[6].verdict == "OK"   # attempt 3 is beyond the three tries
     issues = {x.id: x.is_issue for x in
-              H.first_parseable(attempts).select("id", H.is_issue(F.col("verdict")).alias("is_issue")).collect()}
-    assert issues == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False}
+              H.first_parseable(attempts, asked).select("id", H.is_issue(F.col("verdict")).alias("is_issue")).collect()}
+    assert issues == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False, 7: True}

@@ -31,6 +31,15 @@ def make_rows(seed=7, items=40):
     return out
 
 
+def beats(a, b):
+    """Whether the answer given at indexes ``a`` wins over the one at ``b``."""
+    if len(a) != len(b):
+        return len(a) > len(b)
+    if sum(a) != sum(b):
+        return sum(a) < sum(b)
+    return min(a) < min(b)
+
+
 def restate(rows, items):
     groups = {}
     for r in rows:
@@ -53,18 +62,15 @@ def restate(rows, items):
                     for x in prefix:
                         s["lab"][LABELS.index(x[7])] += 1
                         s["ssum"] += x[8]
-                votes = {}
-                for i, x in enumerate(prefix):
-                    if x[5] is None:
-                        continue
-                    k = round(x[5], 6)
-                    g = votes.setdefault(k, {"rows": [], "sum": 0.0, "first": i})
-                    g["rows"].append(x)
-                    g["sum"] += i
-                if votes:
-                    ranked = sorted((-len(g["rows"]), g["sum"] / len(g["rows"]), g["first"], k)
-                                    for k, g in votes.items())
-                    w = votes[ranked[0][3]]["rows"][0]
+                supporters = {}
+                for x in prefix:
+                    if x[5] is not None:
+                        supporters.setdefault(f"{x[5]:.6f}", []).append(x[3])
+                winner = [k for k in supporters if not any(beats(supporters[o], supporters[k])
+                                                           for o in supporters if o != k)]
+                if winner:
+                    assert len(winner) == 1
+                    w = next(x for x in prefix if x[3] == min(supporters[winner[0]]))
                     m["parsed"] += 1
                     m["acc"] += w[6]
                     m["box"] += w[4]
@@ -166,3 +172,11 @@ def test_majority_plan_shape(data):
         ._jdf.queryExecution().executedPlan().toString()
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan
+
+
+def test_winner_keeps_its_own_prediction(spark):
+    rows = [(1, "m", "da", 0, True, 1.23456789, False, "other", 0.1), (1, "m", "da", 1, True, 1.2345681, False, "other", 0.2)]
+    schema = ("pid long, model string, mode string, sample_idx long, boxed boolean, pred double, "
+              "correct boolean, lang_label string, lang_score double")
+    got = G.majority_winner(spark.createDataFrame(rows, schema), (1, 2)).orderBy("n").collect()
+    assert [(r.n, r.pred, r.votes) for r in got] == [(1, 1.23456789, 1), (2, 1.23456789, 2)]
