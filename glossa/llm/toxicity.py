@@ -31,6 +31,7 @@ GRAMS = (3, 4, 5)
 PRIOR = 40
 SAMPLE_ROWS = 5000
 SAMPLE_CHARS = 50_000
+LEAST_STEPS = 1000
 
 
 @dataclass
@@ -133,7 +134,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int =
     bias = np.log(np.array([np.mean(label == 0), np.mean(label == 1)]))
     emb_sq = np.full((BUCKETS, dim), 1e-3, np.float32)
     soft_sq, bias_sq = np.full((dim, 2), 1e-4), np.full(2, 1e-4)
-    for _ in range(epochs):
+    # few labels get as many steps as a sample of a few thousand does
+    for _ in range(max(epochs, -(-LEAST_STEPS * 64 // len(rank)))):
         order = rank[rng.permutation(len(rank))]
         for at in range(0, len(order), 64):
             rows_at = order[at:at + 64]
