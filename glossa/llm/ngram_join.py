@@ -11,12 +11,15 @@ without words).  Two documents link if the Jaccard similarity of their sets is a
 * For the others, m is chosen per node by estimated candidate cost.  Posting lists of more than ``LONG`` nodes are
   passed over; with s of them in a prefix, a partner must be met m - s times in the others, so that about
   hits / (m - s) candidates are left.  The m of least cost is taken: frequent phrases cost their documents a longer
-  prefix, not candidates.  Only nodes that no m frees of long lists use them.
+  prefix, not candidates.  Prefixes grow by up to 10 % of the set first; only for nodes that are still held by
+  long lists are they grown up to the whole set.  Nodes that no m frees (members of large groups of near copies)
+  use the long lists.
 * First each node is verified against one leader, the node of most shared prefix that leads most of its lists, so that
   a large group of near copies costs pairs in proportion to its size.
 * Then the rest is finished exactly: pairs between different components that are met often enough in the short lists
-  are verified, and in long lists that a node cannot pass over, nodes outside the list's largest component are compared
-  with all of the list, in blocks of bounded size that return at most one link per node and component.
+  are verified.  Long lists that a node cannot pass over are taken together by their largest component, so that a
+  set is sent once for all lists of a large group: nodes outside that component are compared with all nodes
+  of these lists, in blocks of bounded size that return a spanning forest of their links.
 
 No pair within one component is looked at again, and no candidate is dropped.  Links are complete
 up to transitivity: components are exact.
@@ -41,7 +44,7 @@ WORDS = 5
 #: Similarity as a fraction of integers.
 NUM, DEN = 80, 100
 #: Shingles (with repeats) of one side of a block.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: Pairs of one leader in one group of a join.
 SALT = 200
 #: Nodes of a posting list beyond which prefixes grow to pass over it.
@@ -88,7 +91,8 @@ def full_sets(docs: DataFrame, rows: DataFrame, k: int = WORDS) -> DataFrame:
     return in_arrow(texts, "node long, n long, shingles array<long>", run)
 
 
-def _choose(long: int):
+def _choose(long: int, whole: bool):
+    """m of least cost per node; ``whole``: prefixes may grow to the whole set."""
     def run(batch):
         lists = batch.column("tokens")
         flat = lists.flatten()
@@ -100,9 +104,9 @@ def _choose(long: int):
             a, b = cuts[x], cuts[x + 1]
             order = np.argsort(rank[a:b])
             r, t, f = rank[a:b][order], token[a:b][order], freq[a:b][order]
-            m = np.arange(1, min(_need(n[x]), 1 + -(-n[x] // 10)) + 1)
+            m = np.arange(1, (_need(n[x]) if whole else min(_need(n[x]), 1 + -(-n[x] // 10))) + 1)
             end = np.searchsorted(r, n[x] - _need(n[x]) + m)  # shared shingles in the prefix of each m
-            if (end < m).any():  # fewer than m: no partner
+            if not whole and (end < m).any():  # fewer than m: no partner (all nodes bring prefixes of this length)
                 continue
             passed = np.concatenate([[0], np.cumsum(f > long)])[end]
             hits = np.concatenate([[0], np.cumsum(np.where(f > long, 0, f - 1))])[end]
@@ -117,6 +121,12 @@ def _choose(long: int):
     return run
 
 
+def _with_frequency(tokens: DataFrame, freq: DataFrame, whole: bool) -> DataFrame:
+    side = F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq
+    shared = tokens.join(side, "token").groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "freq")).alias("tokens"))
+    return in_arrow(shared, "token long, node long, n long, m long, passed long, weight long", _choose(LONG, whole))
+
+
 def postings(sets: DataFrame) -> DataFrame:
     """(token, node, n, m, passed, weight): shared prefix shingles of nodes, with m chosen per node.
 
@@ -125,9 +135,19 @@ def postings(sets: DataFrame) -> DataFrame:
     longest = F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 + least(({NUM} * n + {DEN - 1}) div {DEN}, 1 + (n + 9) div 10) as int)")
     tokens = sets.select("node", "n", F.posexplode(F.slice("shingles", 1, longest)).alias("rank", "token"))
     freq = written(tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1"), "join-frequencies")
-    side = F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq
-    shared = tokens.join(side, "token").groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "freq")).alias("tokens"))
-    return in_arrow(shared, "token long, node long, n long, m long, passed long, weight long", _choose(LONG))
+    some = written(_with_frequency(tokens, freq, False), "join-postings")
+    # nodes still held by long lists: their prefixes may grow to the whole set
+    held = written(some.filter("passed >= m").select("node").distinct(), "join-held")
+    free = keep_keys(some, held, "node", "left_anti")
+    grown = keep_keys(sets, held, "node").select("node", "n", F.posexplode("shingles").alias("rank", "token"))
+    freq = written(free.select("token", F.lit(False).alias("grown")).unionByName(grown.select("token", F.lit(True).alias("grown")))
+                   .groupBy("token").agg(F.count("*").alias("freq"), F.max("grown").alias("grown")).filter("grown and freq > 1").drop("grown"), "join-frequencies")
+    lists = written(free.unionByName(_with_frequency(grown, freq, True)).drop("passed"), "join-postings")
+    # what is long, by the lists as they are now
+    long = written(lists.groupBy("token").count().filter(F.col("count") > LONG).select("token"), "join-long")
+    passed = written(keep_keys(lists, long, "token").groupBy("node").agg(F.count("*").alias("passed")), "join-passed")
+    side = F.broadcast(passed) if passed.count() <= BROADCAST_ROWS else passed
+    return lists.join(side, "node", "left").withColumn("passed", F.coalesce("passed", F.lit(0)))
 
 
 def _similar(size_a: str, size_b: str, both: str) -> str:
@@ -149,7 +169,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links of one block: outsiders against members, at most one per outsider and component."""
+    """Links of one block: outsiders against members, as few as join what is similar here."""
     lists = table.column("shingles").combine_chunks()
     node, comp, n, outside = (table.column(c).to_numpy() for c in ("node", "component", "n", "outside"))
     cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -158,6 +178,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     members = np.flatnonzero(~outside)
     spread = np.concatenate([code[cuts[m]:cuts[m + 1]] for m in members]) if len(members) else code[:0]
     first = np.concatenate([[0], np.cumsum(n[members])])[:-1].astype(np.int64)
+    _, root = np.unique(comp, return_inverse=True)  # the component of each row, merged as links are found
     a, b = [], []
     for x in np.flatnonzero(outside):
         if not len(members):
@@ -165,8 +186,9 @@ def _block_links(table: pa.Table) -> pa.Table:
         seen[code[cuts[x]:cuts[x + 1]]] = 1
         both = np.add.reduceat(seen[spread], first)
         seen[code[cuts[x]:cuts[x + 1]]] = 0
-        ok = np.flatnonzero((DEN * both >= NUM * (n[x] + n[members] - both)) & (comp[members] != comp[x]))
-        _, lead = np.unique(comp[members][ok], return_index=True)
+        ok = np.flatnonzero((DEN * both >= NUM * (n[x] + n[members] - both)) & (root[members] != root[x]))
+        joined, lead = np.unique(root[members][ok], return_index=True)
+        root[np.isin(root, joined)] = root[x]
         a.append(np.full(len(lead), node[x]))
         b.append(node[members][ok[lead]])
     return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -174,12 +196,13 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 def finish(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between different components of posting lists (token, node, n, m, passed, component)."""
-    per_comp = lists.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.max((F.col("passed") >= F.col("m")).cast("int")).alias("stuck"))
-    shape = written(per_comp.groupBy("token").agg(F.sum("c").alias("rows"), F.sum("s").alias("size"), F.max_by("component", F.struct("c", "component")).alias("top"),
-                                                  F.max_by("s", F.struct("c", "component")).alias("top_size"), F.count("*").alias("parts"), F.max("stuck").alias("stuck"))
-                    .filter("parts > 1"), "join-open")
+    stuck = F.col("passed") >= F.col("m")
+    per_comp = lists.groupBy("token", "component").agg(F.count("*").alias("c"), F.max(stuck).alias("stuck"))
+    shape = written(per_comp.groupBy("token").agg(F.sum("c").alias("rows"), F.max_by("component", F.struct("c", "component")).alias("top"), F.max_by("stuck", F.struct("c", "component")).alias("top_stuck"),
+                                                  F.count("*").alias("parts"), F.max("stuck").alias("stuck"))
+                    .filter(f"parts > 1 and (rows <= {LONG} or stuck)").drop("parts", "stuck"), "join-open")
     side = F.broadcast(shape) if shape.count() <= BROADCAST_ROWS else shape
-    open_lists = written(lists.join(side, "token").filter(f"rows <= {LONG} or stuck = 1"), "join-lists")
+    open_lists = written(lists.join(side, "token"), "join-lists")
     short = open_lists.filter(f"rows <= {LONG}").select("token", "node", "n", "m", "passed", "component")
     x, y = short.alias("x"), short.alias("y")
     met = x.join(y, F.expr(f"x.token = y.token and x.node < y.node and x.component <> y.component and {DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)"))
@@ -189,14 +212,18 @@ def finish(lists: DataFrame, sets: DataFrame) -> DataFrame:
                      F.expr(f"{overlap} - greatest({beyond.format(s='x')}, {beyond.format(s='y')}) - least(x.passed, y.passed)").alias("least"))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("least").alias("least")).filter("times >= least").select("a", "b")
     near = verify(pairs, sets)
-    long = (open_lists.filter(f"rows > {LONG}").withColumn("outside", F.col("component") != F.col("top"))
-            .withColumn("out_blocks", F.ceil((F.col("size") - F.col("top_size")) / BLOCK).cast("int")).withColumn("all_blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+    # a pair needs a long list only if one of it is stuck
+    nodes = written(open_lists.filter(f"rows > {LONG}").groupBy("top", "node").agg(
+        F.first("component").alias("component"), F.first("n").alias("n"), F.max((F.col("component") != F.col("top")) & (F.col("top_stuck") | stuck)).alias("outside")), "join-grouped")
+    sizes = written(nodes.groupBy("top").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / BLOCK).cast("int").alias("out_blocks"))
+                    .filter("out_blocks > 0"), "join-blocks")
+    long = nodes.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "top")
     where = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    members = long.select("token", "node", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), where("all_blocks").alias("j"))
-    outside = long.filter("outside").select("token", "node", "component", "outside", where("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
+    members = long.select("top", "node", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), where("all_blocks").alias("j"))
+    outside = long.filter("outside").select("top", "node", "component", "outside", where("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
     blocks = members.unionByName(outside).join(sets, "node")
     ship(lists.sparkSession)
-    far = blocks.groupBy("token", "i", "j").applyInArrow(_block_links, "a long, b long")
+    far = blocks.groupBy("top", "i", "j").applyInArrow(_block_links, "a long, b long")
     return near.unionByName(far)
 
 
