@@ -122,8 +122,7 @@ def _choose(long: int, whole: bool):
 
 
 def _with_frequency(tokens: DataFrame, freq: DataFrame, whole: bool) -> DataFrame:
-    side = F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq
-    shared = tokens.join(side, "token").groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "freq")).alias("tokens"))
+    shared = tokens.join(freq.hint("merge"), "token").groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "freq")).alias("tokens"))
     return in_arrow(shared, "token long, node long, n long, m long, passed long, weight long", _choose(LONG, whole))
 
 
@@ -160,7 +159,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     hot = written(pairs.groupBy("b").count().filter(F.col("count") > SALT).select("b", F.ceil(F.col("count") / SALT).cast("int").alias("salts")), "join-hot")
     side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     salted = pairs.join(side, "b", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")))
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
+    left = keep_keys(sets, pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = (sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
              .join(side, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts"))
     both = salted.select("a", "b", "salt").join(left, "a").join(right, ["b", "salt"])
@@ -221,7 +220,8 @@ def finish(lists: DataFrame, sets: DataFrame) -> DataFrame:
     where = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     members = long.select("top", "node", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), where("all_blocks").alias("j"))
     outside = long.filter("outside").select("top", "node", "component", "outside", where("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
-    blocks = members.unionByName(outside).join(sets, "node")
+    used = written(long.select("node").distinct(), "join-used")
+    blocks = members.unionByName(outside).join(keep_keys(sets, used, "node"), "node")
     ship(lists.sparkSession)
     far = blocks.groupBy("top", "i", "j").applyInArrow(_block_links, "a long, b long")
     return near.unionByName(far)
@@ -232,7 +232,8 @@ def clusters(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, DataFrame]:
     sig = written(signatures(docs, k), "join-signatures")
     tokens = sig.select("node", F.explode("prefix").alias("token"))
     shared = written(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "join-shared")
-    met = keep_keys(tokens, shared, "token").groupBy("node").agg(F.count("*").alias("met"))
+    # shared shingles grow with the corpus: joined by a shuffle at every size
+    met = tokens.join(shared.hint("merge"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
     # each copy of a node brings the same shared shingles
     copies = sig.filter("n > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"))
     active = written(copies.join(met, "node").filter("met >= copies * (1 + n div 20)").select("node", "row_key"), "join-active")
