@@ -129,23 +129,24 @@ def with_confidences(scores: DataFrame, languages: Sequence[str]) -> DataFrame:
 
 
 def language_confidence(df: DataFrame, key: str, text: str, profile: DataFrame,
-                        languages: Sequence[str] = ("de", "en"), n: int = 3) -> DataFrame:
+                        languages: Sequence[str] = ("de", "en"), n: int = 3,
+                        letters: str = DEFAULT_LETTERS) -> DataFrame:
     """(key, conf_<lang>...) for each row of ``df``."""
     texts = df.select(key, F.col(text).alias("_t"))
-    return with_confidences(language_scores(texts, key, "_t", profile, languages, n), languages) \
+    return with_confidences(language_scores(texts, key, "_t", profile, languages, n, letters), languages) \
         .select(key, *[f"conf_{lg}" for lg in sorted(set(languages))])
 
 
 def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame,
                     languages: Sequence[str], target: str | None = None,
-                    n: int = 3) -> DataFrame:
+                    n: int = 3, letters: str = DEFAULT_LETTERS) -> DataFrame:
     """Most likely language, and ``is_target``.  A text without a known gram, or
     whose best two languages tie, has no language (null) and is never the target."""
     langs = sorted(set(languages))
     blank = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s", "") == ""
-    texts = df.select(key, clean_eval(F.col(text)).alias("_t"), blank.alias("_blank")).withColumn("_ck", F.md5("_t"))
+    texts = df.select(key, clean_eval(F.col(text), letters).alias("_t"), blank.alias("_blank")).withColumn("_ck", F.md5("_t"))
     # Each distinct cleaned text is scored once.
-    s = language_scores(texts.select("_ck", "_t").distinct(), "_ck", "_t", profile, langs, n)
+    s = language_scores(texts.select("_ck", "_t").distinct(), "_ck", "_t", profile, langs, n, letters)
     m = F.greatest(*[F.col(f"s_{lg}") for lg in langs]) if len(langs) > 1 else F.col(f"s_{langs[0]}")
     best = F.filter(F.array(*[F.when(F.col(f"s_{lg}") == m, F.lit(lg)) for lg in langs]), lambda x: x.isNotNull())
     # A text without known grams scores 0 in every language: a tie, unless there is one language only.
@@ -172,7 +173,7 @@ def signal_columns(conf_t: Column, conf_o: Column, cleaned_len: Column,
 def score_texts(texts: DataFrame, key: str, text: str, profile: DataFrame,
                 target: str, other: str, cleaner: str = "eval",
                 exclude_final_line: bool = True, min_chars: int = MIN_CHARS,
-                threshold: float = THRESHOLD, n: int = 3) -> DataFrame:
+                threshold: float = THRESHOLD, n: int = 3, letters: str = DEFAULT_LETTERS) -> DataFrame:
     """Language signal for a (key, text) table with unique keys.
 
     cleaner='eval' is E4 (clean_eval), cleaner='reward' is E5's cleaning (clean_reward).
@@ -180,14 +181,14 @@ def score_texts(texts: DataFrame, key: str, text: str, profile: DataFrame,
     t = F.col(text)
     if exclude_final_line:
         t = drop_final_boxed(t)
-    cleaned = clean_eval(t) if cleaner == "eval" else clean_reward(t)
+    cleaned = clean_eval(t, letters) if cleaner == "eval" else clean_reward(t)
     c = texts.select(key, cleaned.alias("_c")).withColumn("cleaned_len", F.length("_c")) \
         .withColumn("_ck", F.md5("_c"))
     # Texts that clean to the same string are scored once.  No length filter
     # here: it would be pushed below the de-duplication and clean every row;
     # the short-text gate is applied to the result instead.
     uniq = c.select("_ck", "_c").distinct()
-    conf = with_confidences(language_scores(uniq, "_ck", "_c", profile, (target, other), n),
+    conf = with_confidences(language_scores(uniq, "_ck", "_c", profile, (target, other), n, letters),
                             (target, other))
     short = F.col("cleaned_len") < min_chars
     out = c.join(conf, "_ck", "left").select(
@@ -199,16 +200,17 @@ def score_texts(texts: DataFrame, key: str, text: str, profile: DataFrame,
     return out.select("*", *[v.alias(k) for k, v in cols.items()])
 
 
-def signal_text(text: Column, exclude_final_line: bool = True) -> Column:
+def signal_text(text: Column, exclude_final_line: bool = True, letters: str = DEFAULT_LETTERS) -> Column:
     """The cleaned text that the language signal of a completion is taken from."""
-    return clean_eval(drop_final_boxed(text) if exclude_final_line else text)
+    return clean_eval(drop_final_boxed(text) if exclude_final_line else text, letters)
 
 
 def score_cleaned(texts: DataFrame, cleaned: str, profile: DataFrame, target: str, other: str,
-                  min_chars: int = MIN_CHARS, threshold: float = THRESHOLD, n: int = 3) -> DataFrame:
+                  min_chars: int = MIN_CHARS, threshold: float = THRESHOLD, n: int = 3,
+                  letters: str = DEFAULT_LETTERS) -> DataFrame:
     """(_ck, lang_score, lang_label) of distinct cleaned texts; ``_ck`` is their md5."""
     c = texts.select(F.md5(cleaned).alias("_ck"), F.col(cleaned).alias("_c"), F.length(cleaned).alias("cleaned_len"))
-    conf = with_confidences(language_scores(c.select("_ck", "_c"), "_ck", "_c", profile, (target, other), n), (target, other))
+    conf = with_confidences(language_scores(c.select("_ck", "_c"), "_ck", "_c", profile, (target, other), n, letters), (target, other))
     cols = signal_columns(F.col(f"conf_{target}"), F.col(f"conf_{other}"), F.col("cleaned_len"), min_chars, threshold)
     out = c.select("_ck", "cleaned_len").join(conf, "_ck")
     return out.select("_ck", *[v.alias(k) for k, v in cols.items()])
@@ -216,25 +218,25 @@ def score_cleaned(texts: DataFrame, cleaned: str, profile: DataFrame, target: st
 
 def language_signal(df: DataFrame, text: str, profile: DataFrame, target: str, other: str,
                     min_chars: int = MIN_CHARS, threshold: float = THRESHOLD,
-                    exclude_final_line: bool = True) -> DataFrame:
+                    exclude_final_line: bool = True, letters: str = DEFAULT_LETTERS) -> DataFrame:
     """E4 on any table: adds cleaned_len, conf_target, conf_other, lang_score,
     lang_label.  Each distinct text is scored once (md5 key), then joined back."""
     keyed = df.withColumn("_tk", F.md5(F.coalesce(F.col(text), F.lit(""))))
     distinct = keyed.select("_tk", F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
     scored = score_texts(distinct, "_tk", "_t", profile, target, other, "eval",
-                         exclude_final_line, min_chars, threshold)
+                         exclude_final_line, min_chars, threshold, letters=letters)
     return keyed.join(scored, "_tk").drop("_tk")
 
 
 def language_reward(df: DataFrame, text: str, profile: DataFrame, target: str, other: str,
                     weight: float = 1.0, exclude_final_line: bool = True,
-                    min_chars: int = MIN_CHARS) -> DataFrame:
+                    min_chars: int = MIN_CHARS, letters: str = DEFAULT_LETTERS) -> DataFrame:
     """E5: adds ``language_reward`` = weight * (conf_target - conf_other); 0.0 when the
     reward-cleaned text is shorter than ``min_chars``."""
     keyed = df.withColumn("_tk", F.md5(F.coalesce(F.col(text), F.lit(""))))
     distinct = keyed.select("_tk", F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
     scored = score_texts(distinct, "_tk", "_t", profile, target, other, "reward",
-                         exclude_final_line, min_chars)
+                         exclude_final_line, min_chars, letters=letters)
     reward = F.when(F.col("cleaned_len") < min_chars, F.lit(0.0)).otherwise(
         F.lit(weight) * (F.col("conf_target") - F.col("conf_other")))
     return keyed.join(scored.select("_tk", reward.alias("language_reward")), "_tk").drop("_tk")

@@ -257,6 +257,20 @@ CHATML = {"prefix": "<|im_start|>{role}\n", "suffix": "<|im_end|>\n",
           "generation_prompt": "<|im_start|>assistant\n"}
 
 
+def render_messages(column: str | Column, layout: dict[str, str] = CHATML,
+                    add_generation_prompt: bool = False) -> Column:
+    """D3 for a message array (D2): the chat text, a projection of the row.  A null
+    array renders as null, a null content or role as ''."""
+    def turn(m):
+        parts = layout["prefix"].split("{role}")
+        named = [x for i, part in enumerate(parts)
+                 for x in ([F.lit(part)] + ([F.coalesce(m["role"], F.lit(""))] if i < len(parts) - 1 else []))]
+        return F.concat(*named, F.coalesce(m["content"], F.lit("")), F.lit(layout["suffix"]))
+    col = F.col(column) if isinstance(column, str) else column
+    text = F.array_join(F.transform(col, turn), "")
+    return F.concat(text, F.lit(layout["generation_prompt"])) if add_generation_prompt else text
+
+
 def render_chats(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text", layout: dict[str, str] = CHATML,
                  add_generation_prompt: bool = False, chunk: int = 256) -> DataFrame:

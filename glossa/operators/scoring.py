@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import boxed_flag, boxed_number, gold_number, gold_text
+from ..functions.answers import DEFAULT_LETTERS, boxed_flag, boxed_number, gold_number, gold_text
 from .language import MIN_CHARS, THRESHOLD, language_reward, score_cleaned, signal_text
 
 # Tolerance of a correct answer, and the modes whose gold is the
@@ -49,7 +49,8 @@ def correct_expr(pred, gold):
 def score_completions(completions: DataFrame, items: DataFrame, profile: DataFrame,
                       target: str, other: str,
                       target_modes: Sequence[str] = TARGET_MODES_SCALING,
-                      min_chars: int = MIN_CHARS, threshold: float = THRESHOLD) -> DataFrame:
+                      min_chars: int = MIN_CHARS, threshold: float = THRESHOLD,
+                      letters: str = DEFAULT_LETTERS) -> DataFrame:
     """F2: boxed, pred, correct for every completion, plus lang_label / lang_score
     for rows whose mode is a target mode (null otherwise).  A null text is ''.
 
@@ -58,12 +59,12 @@ def score_completions(completions: DataFrame, items: DataFrame, profile: DataFra
     comes back by the row's hash of its cleaned text, no text in the join."""
     is_target = F.col("mode").isin(*target_modes)
     text = F.coalesce(F.col("text"), F.lit(""))
-    cleaned = signal_text(text)
+    cleaned = signal_text(text, letters=letters)
     rows = attach_gold(completions, items).select(
         *KEY, "gold", boxed_flag(text).alias("boxed"), boxed_number(text).alias("pred"),
         F.when(is_target, F.md5(cleaned)).alias("_ck"))
     wanted = completions.where(is_target).select(cleaned.alias("_c")).distinct()
-    lang = score_cleaned(wanted, "_c", profile, target, other, min_chars, threshold)
+    lang = score_cleaned(wanted, "_c", profile, target, other, min_chars, threshold, letters=letters)
     return (
         rows.join(lang.select("_ck", "lang_label", "lang_score"), "_ck", "left")
         .select(*KEY, "gold", "boxed", "pred",

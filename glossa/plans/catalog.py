@@ -541,14 +541,17 @@ def _drop_files(spark, sf, base):
     return [(first, f"{base}/drop_1"), (rest, f"{base}/drop_2")]
 
 
-def _stream_scored(spark, sf):
+def _stream_scored(spark, sf, metrics=False):
     base = scratch_dir(spark, "stream")
     src, sink, ckpt = f"{base}/in", f"{base}/scored", f"{base}/ckpt-score"
     items, prof = X.items(spark, sf), _fitted_profile(spark, sf)
     for df, path in _drop_files(spark, sf, src):
         df.write.mode("overwrite").parquet(path)
-        # A restart per arrival: the checkpoint skips files already scored.
-        ST.stream_score(spark, f"{src}/*", sink, ckpt, items, prof, TARGET, OTHER)
+        # A restart per arrival: the checkpoints skip files already read.
+        ST.stream_score(spark, f"{src}/*", sink, ckpt, items, prof, TARGET, OTHER,
+                        counters_dir=f"{base}/language" if metrics else None)
+        if metrics:
+            ST.stream_metrics(spark, f"{src}/*", f"{base}/metrics", f"{base}/ckpt-metrics", items)
     return base, ST.read_scored(spark, sink)
 
 
@@ -560,11 +563,9 @@ def s1(spark, sf):
 
 @query("s2_stream_metrics")
 def s2(spark, sf):
-    base, scored_rows = _stream_scored(spark, sf)
-    src, sink, ckpt = f"{base}/in", f"{base}/metrics", f"{base}/ckpt-metrics"
-    ST.stream_metrics(spark, f"{src}/*", sink, ckpt, X.items(spark, sf))
-    counts = spark.read.parquet(sink)
-    lang = ST.language_counters(scored_rows)
+    base, _ = _stream_scored(spark, sf, metrics=True)
+    counts = ST.read_metrics(spark, f"{base}/metrics")
+    lang = ST.running_language(spark, f"{base}/language")
     return counts.join(lang, ["model", "mode"], "left").select(
         "model", "mode", "rows", "correct", "boxed", "target", "other", "mixed", "unclear",
         r6("score_sum").alias("score_sum"))

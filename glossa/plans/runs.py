@@ -4,7 +4,8 @@
   row per model -> JSON + CSV.
 * ``scaling_run``: test split -> score once -> best-of-N, majority, language mix
   for N = 1..10 -> wide row per model, long series for figures -> JSON + CSV.
-* ``unpaired_training_set``: the unpaired bilingual set with its row gates.
+* ``*_training_set``: the paired, target-only, unpaired, RL and English sets, rendered.
+* ``translation_run``, ``review_run``: replies to accepted translations, and to the issue report.
 
 Scored rows are written once below the shared scratch folder and read back, so
 the metric jobs do not recompute the language scores and a lost executor only
@@ -15,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import prompts as D
+from ..operators import review as H
 from ..operators import scaling as G
 from ..operators import scoring as S
 from ..operators import splits as B
@@ -81,9 +83,80 @@ def scaling_columns(modes: Sequence[str], ns: Sequence[int],
     return cols
 
 
-def unpaired_training_set(items: DataFrame, seed: int = 42, train_rows: int = 7473) -> DataFrame:
-    train = B.split_by_position(items, "pid", train_rows, "train").drop("position", "part")
-    rows = D.expand_unpaired(train, seed)
+def _train_items(items: DataFrame, train_rows: int) -> DataFrame:
+    # the first rows by id: a bounded top-k, no ranks needed
+    return items.orderBy("pid").limit(train_rows)
+
+
+def _chat(family: str, lang: str, reasoning: bool) -> Column:
+    """System, user and assistant turn of (q, a) columns as one chat text."""
+    system, user = D.template(family, lang, reasoning)
+    asked = D.fill(user, {k: F.col("q") for k in D.question_columns(lang)})
+    return D.render_messages(D.messages(F.lit(system), asked, F.col("a")))
+
+
+def _with_chat(rows: DataFrame, family: str, reasoning: bool) -> DataFrame:
+    """Adds the chat ``text`` of (lang, q, a) rows."""
+    return rows.withColumn("text", F.when(F.col("lang") == "da", _chat(family, "da", reasoning))
+                           .otherwise(_chat(family, "en", reasoning)))
+
+
+def paired_training_set(items: DataFrame, seed: int = 42, train_rows: int = 7473,
+                        reasoning: bool = True) -> DataFrame:
+    """Both languages of every training item, with the chat text."""
+    return _with_chat(D.expand_paired(_train_items(items, train_rows), seed), "sft_paired", reasoning)
+
+
+def target_training_set(items: DataFrame, seed: int = 42, train_rows: int = 7473,
+                        reasoning: bool = True) -> DataFrame:
+    """The target language of every training item, with the chat text."""
+    rows = D.expand_single(_train_items(items, train_rows), seed)
+    return rows.withColumn("text", _chat("sft_da", "da", reasoning))
+
+
+def unpaired_training_set(items: DataFrame, seed: int = 42, train_rows: int = 7473,
+                          reasoning: bool = True) -> DataFrame:
+    """Each language in its own order, blank rows left out, with the chat text; all
+    three row gates hold."""
+    rows = D.expand_unpaired(_train_items(items, train_rows), seed)
     B.require_rows(rows.where(F.col("lang") == "da"), "target-language examples")
     B.require_rows(rows.where(F.col("lang") == "en"), "source-language examples")
-    return rows
+    return B.require_rows(_with_chat(rows, "sft_unpaired", reasoning), "training set")
+
+
+def rl_training_set(items: DataFrame, mode: str = "da_en", reasoning: bool = True,
+                    train_rows: int = 7473, subset: int | None = 2000) -> DataFrame:
+    """Prompts and boxed solutions of the first ``subset`` training items (all if None)."""
+    train = _train_items(items, min(train_rows, subset) if subset else train_rows)
+    return D.to_rl_set(train, mode, reasoning)
+
+
+def english_training_set(items: DataFrame) -> DataFrame:
+    """The source language of all items, with the chat text."""
+    rows = D.to_messages_en(items)
+    return rows.select("pid", "messages", D.render_messages("messages").alias("text"))
+
+
+def evaluation_subset(items: DataFrame, k: int, seed: int = 42, train_rows: int = 7473) -> DataFrame:
+    """``k`` test items of a seeded shuffle."""
+    return B.sample_k(_test_items(items, train_rows), "pid", k, seed)
+
+
+def translation_run(source: DataFrame, attempts: DataFrame, done: DataFrame | None, profile: DataFrame,
+                    target: str, languages: Sequence[str]) -> DataFrame:
+    """Items translated so far and those of ``source`` (pid, question, answer) still
+    pending, each with its first accepted attempt or empty target texts."""
+    cols = ["id", "question", "answer", "da_question", "da_answer"]
+    if done is None:
+        return H.first_accepted(source, attempts, profile, target, languages).select(*cols)
+    open_items = H.pending_items(source.withColumn("id", F.col("pid")), done)
+    todo = attempts.join(open_items.select("id"), "id", "left_semi")
+    return done.select(*cols).unionByName(
+        H.first_accepted(open_items, todo, profile, target, languages).select(*cols))
+
+
+def review_run(items: DataFrame, attempts: DataFrame, out_dir: str) -> DataFrame:
+    """The issue report of all items, written as CSV."""
+    report = _persist(H.issue_report(items, H.first_parseable(attempts, items)), "issues")
+    IO.write_items(report, out_dir)
+    return report

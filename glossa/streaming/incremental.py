@@ -7,7 +7,7 @@ rewrites the same files: the sink stays exactly-once although
 ``foreachBatch`` is at-least-once.
 
 S2 keeps running sums and counts (never ratios) in streaming state
-(``complete`` mode), and takes the language counters from S1's batch folders.
+(``complete`` mode), and adds up the language sums that each batch of S1 leaves.
 """
 
 from __future__ import annotations
@@ -25,14 +25,21 @@ from ..sources.io import COMPLETIONS_SCHEMA
 
 def stream_score(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint: str,
                  items: DataFrame, profile: DataFrame, target: str, other: str,
-                 target_modes: Sequence[str] = TARGET_MODES_SCALING) -> None:
+                 target_modes: Sequence[str] = TARGET_MODES_SCALING,
+                 counters_dir: str | None = None) -> None:
     """Score all completion files that arrived since the last run, then stop
-    (``availableNow``); the checkpoint makes a restart skip finished files."""
+    (``availableNow``); the checkpoint makes a restart skip finished files.
+
+    With ``counters_dir``, each batch also leaves its own language sums there (S2)."""
     sink = sink_dir.rstrip("/")
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         scored = score_completions(batch, items, profile, target, other, target_modes)
-        scored.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        path = f"{sink}/batch_id={batch_id}"
+        scored.write.mode("overwrite").parquet(path)
+        if counters_dir:
+            sums = language_counters(spark.read.schema(scored.schema).parquet(path))
+            sums.write.mode("overwrite").parquet(f"{counters_dir.rstrip('/')}/batch_id={batch_id}")
 
     q = (spark.readStream.schema(COMPLETIONS_SCHEMA).parquet(src_dir)
          .writeStream.foreachBatch(score_batch)
@@ -48,7 +55,8 @@ def read_scored(spark: SparkSession, sink_dir: str) -> DataFrame:
 def stream_metrics(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint: str,
                    items: DataFrame) -> None:
     """Running (rows, correct, boxed) per (model, mode) as streaming state;
-    each trigger overwrites the sink with the complete current table."""
+    each trigger writes the complete current table as a version of its own, so that
+    a failure leaves the version before (``read_metrics`` takes the last)."""
     sink = sink_dir.rstrip("/")
     rows = attach_gold(spark.readStream.schema(COMPLETIONS_SCHEMA).parquet(src_dir), items)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -60,7 +68,8 @@ def stream_metrics(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint:
             F.sum(F.col("boxed").cast("long")).alias("boxed"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        # one row per (model, mode): one small file, which appears as a whole
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{sink}/version={batch_id}")
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(save)
          .option("checkpointLocation", checkpoint)
@@ -68,6 +77,29 @@ def stream_metrics(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint:
     q.awaitTermination()
 
 
+def read_metrics(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The last version of S2's running table."""
+    versions = spark.read.parquet(sink_dir)
+    last = versions.select(F.max("version")).scalar()
+    return versions.where(F.col("version") == last).drop("version")
+
+
+def running_language(spark: SparkSession, counters_dir: str) -> DataFrame:
+    """The language sums of all batches so far, from each batch's own sums."""
+    sums = spark.read.parquet(counters_dir)
+    return sums.groupBy("model", "mode").agg(
+        *[F.sum(c).alias(c) for c in ("target", "other", "mixed", "unclear", "score_sum")])
+
+
+def rates(counts: DataFrame, language: DataFrame) -> DataFrame:
+    """Running rates per (model, mode), from the sums (never kept as ratios)."""
+    rows = F.col("rows")
+    return counts.join(language, ["model", "mode"], "left").select(
+        "model", "mode", "rows", (F.col("correct") / rows).alias("accuracy"), (F.col("boxed") / rows).alias("boxed_rate"),
+        *[(F.col(c) / rows).alias(f"{c}_rate") for c in ("target", "other", "mixed", "unclear")],
+        (F.col("score_sum") / rows).alias("mean_score"))
+
+
 def language_counters(scored: DataFrame) -> DataFrame:
     """Label counts and contrast sum per (model, mode) from S1's scored rows."""
     lab = F.col("lang_label")
