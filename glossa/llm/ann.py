@@ -7,8 +7,9 @@ A vector's bucket in a table is its nearest signed axis.  Queries probe, in ever
 nearest to them; the candidates of all tables are ranked by exact inner products of the original vectors.
 
 Every vector is indexed in every table.  Only ``probes`` is fitted, on at most ``SAMPLE`` vectors (the first by a hash
-of vec_id): the least number that finds ``RECALL`` of the true neighbours there.  A larger
-index has nearer neighbours, so that its recall is higher.  Buckets are cut into blocks of vectors and of
+of vec_id): the least number that finds ``RECALL`` of the true neighbours there.  It can grow to all buckets of a
+table, which finds every neighbour, so that the recall is always reached; a bucket is one signed axis at every size of the index.
+A larger index has nearer neighbours, so that its recall is higher.  Buckets are cut into blocks of vectors and of
 queries; a block returns its best ``k + 1`` vectors for each query, ties included in order, which loses none of the
 best k of all candidates.
 
@@ -32,18 +33,16 @@ from .common import in_arrow, ship, written
 
 TABLES, RECALL, SAMPLE, SAMPLE_QUERIES = 8, 0.95, 10_000, 100
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Vectors up to which a bucket is one signed axis, else a pair of axes of two rotations.
-ONE_AXIS = 1 << 20
 
 
 class Hasher:
-    """Pseudo-rotations of ``tables`` tables; ``axes`` of them make one bucket."""
+    """Pseudo-rotations of ``tables`` tables."""
 
-    def __init__(self, dim: int, largest: float, tables: int = TABLES, axes: int = 1, seed: int = 11):
-        self.dim, self.largest, self.tables, self.axes = dim, largest, tables, axes
+    def __init__(self, dim: int, largest: float, tables: int = TABLES, seed: int = 11):
+        self.dim, self.largest, self.tables = dim, largest, tables
         self.size = 1 << (dim).bit_length()  # at least dim + 1
         rng = np.random.default_rng(seed)
-        self.signs = rng.choice(np.array([-1.0, 1.0]), (tables, axes, 3, self.size))
+        self.signs = rng.choice(np.array([-1.0, 1.0]), (tables, 3, self.size))
 
     def place(self, x: np.ndarray, query: bool) -> np.ndarray:
         out = np.zeros((len(x), self.size))
@@ -55,36 +54,22 @@ class Hasher:
             out[:, self.dim] = np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))
         return out
 
-    def rotated(self, placed: np.ndarray, table: int, axis: int) -> np.ndarray:
+    def rotated(self, placed: np.ndarray, table: int) -> np.ndarray:
         y = placed
-        for signs in self.signs[table, axis]:
+        for signs in self.signs[table]:
             y = hadamard(y * signs)
         return y
 
     def bucket(self, placed: np.ndarray, table: int) -> np.ndarray:
-        out = np.zeros(len(placed), np.int64)
-        for axis in range(self.axes):
-            y = self.rotated(placed, table, axis)
-            best = np.abs(y).argmax(1)
-            out = out * (2 * self.size) + 2 * best + (y[np.arange(len(y)), best] < 0)
-        return out
+        y = self.rotated(placed, table)
+        best = np.abs(y).argmax(1)
+        return 2 * best + (y[np.arange(len(y)), best] < 0)
 
     def probed(self, placed: np.ndarray, table: int, probes: int) -> np.ndarray:
         """(rows, probes) buckets, nearest first."""
-        code, near = None, None
-        for axis in range(self.axes):
-            y = self.rotated(placed, table, axis)
-            signed = np.concatenate([y, -y], 1)
-            order = np.argsort(-signed, axis=1, kind="stable")[:, :probes]
-            here = 2 * (order % self.size) + (order >= self.size)
-            value = np.take_along_axis(signed, order, 1)
-            if code is None:
-                code, near = here, value
-            else:
-                code = (code[:, :, None] * (2 * self.size) + here[:, None, :]).reshape(len(y), -1)
-                near = (near[:, :, None] + value[:, None, :]).reshape(len(y), -1)
-        best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-        return np.take_along_axis(code, best, 1)
+        y = self.rotated(placed, table)
+        order = np.argsort(-np.concatenate([y, -y], 1), axis=1, kind="stable")[:, :probes]
+        return 2 * (order % self.size) + (order >= self.size)
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:
@@ -141,10 +126,8 @@ def fit_probes(sample: np.ndarray, hasher: Hasher, k: int) -> int:
         probes = hasher.probed(asked, table, most)
         same = bucket[true][:, :, None] == probes[:, None, :]
         rank = np.minimum(rank, np.where(same.any(2), same.argmax(2), most))
-    for probes in range(1, most + 1):
-        if (rank < probes).mean() >= RECALL:
-            return probes
-    return most
+    # ``most`` probes are all buckets, so that the last turn finds every neighbour
+    return next(probes for probes in range(1, most + 1) if (rank < probes).mean() >= RECALL)
 
 
 def _search(k: int):
@@ -174,8 +157,8 @@ def nearest(vectors: DataFrame, queries_mod: int = 20, k: int = 20, tables: int
     pts, dim = points(vectors, k)
     if not dim:
         return pts.select(F.col("point").alias("query_id"), F.lit(1).alias("rank"), F.col("point").alias("vec_id"), F.lit(0.0).alias("score"))
-    n, largest = pts.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    hasher = Hasher(dim, largest * (1 + 1e-12), tables, 1 if n <= ONE_AXIS else 2)
+    largest = pts.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    hasher = Hasher(dim, largest * (1 + 1e-12), tables)
     sample = pts.select("v", F.xxhash64("point").alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow()
     probes = fit_probes(_matrix(sample.column("v").combine_chunks()), hasher, k)
     ship(spark)

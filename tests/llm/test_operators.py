@@ -180,6 +180,22 @@ def test_neighbours(spark):
     assert set(got) == {i for i in v if i % 20 == 0} and hits / total >= 0.9
 
 
+def test_neighbours_of_an_index_of_any_size(spark, monkeypatch):
+    # an index of more points than this once had buckets of two axes, with too few probes for them
+    monkeypatch.setattr(ann, "ONE_AXIS", 100, raising=False)
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    got = {}
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 2000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & got.get(q, set()))
+    assert hits / 2000 >= 0.9
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(toxicity.labelled_rows(docs, labels))
