@@ -7,8 +7,10 @@ one: a document that contains the item has at least one of them, however long th
 length on both sides, compared for Jaccard similarity, lose short items in long documents.)  Documents with a sketch
 shingle are candidates, and the exact shingle containment of each candidate pair decides.
 
-Documents are read once and never shuffled: the items' hashes go to the documents, in blocks of at most
-``block`` hashes, one pass a block, so that what is sent is bounded whatever the number of items.
+Documents are never shuffled: the items' hashes go to the documents, in blocks of about ``block`` hashes, one pass
+a block, so that what is sent is bounded whatever the number of items.  All shingles of an item's text are in
+one block (an item of more than ``block`` shingles makes its block larger), so that a block alone can tell
+the candidates of its items, and the number of blocks does not change the result.
 
 Defined cases: items of 1 to 4 words are one shingle of their own length; items and texts that are null or
 without words match nothing; repeated rows and copies are decided by their text; equal items each match;
@@ -29,10 +31,11 @@ BLOCK = 2_000_000
 
 
 def item_shingles(items: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, item, n, need, words, hash, sketch): the shingles of each item; ``item`` tells equal ids apart."""
+    """(item_id, item, text_key, n, need, words, hash, sketch): the shingles of each item; ``item`` tells equal ids apart."""
     def run(batch):
         ids = batch.column("item_id").to_pylist()
         keys = batch.column("item").to_pylist()
+        text_keys = batch.column("text_key").to_numpy()
         for i, j, data, offsets in K.texts(batch.column("text")):
             hashes, first, count = K.shingle_sets(data, offsets, k)
             n = np.diff(first)
@@ -42,11 +45,12 @@ def item_shingles(items: DataFrame, k: int = WORDS, threshold: float = THRESHOLD
             size = np.maximum(n - need + 1, np.minimum(n, top - np.ceil(threshold * top - 1e-9).astype(np.int64) + 1))
             rank = np.arange(len(hashes)) - np.repeat(first[:-1], n)
             yield {"item_id": np.repeat(np.array(ids[i:j], object), n).tolist(), "item": np.repeat(np.array(keys[i:j], np.int64), n),
+                   "text_key": np.repeat(text_keys[i:j], n),
                    "n": np.repeat(n, n), "need": np.repeat(need, n), "words": np.repeat(np.minimum(count, k), n).astype(np.int32),
                    "hash": K.signed(hashes), "sketch": rank < np.repeat(size, n)}
 
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.col("item_id"), text_of()).alias("item"), "text").dropDuplicates(["item"])
-    return in_arrow(rows, "item_id long, item long, n long, need long, words int, hash long, sketch boolean", run)
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.col("item_id"), text_of()).alias("item"), F.xxhash64(text_of()).alias("text_key"), "text").dropDuplicates(["item"])
+    return in_arrow(rows, "item_id long, item long, text_key long, n long, need long, words int, hash long, sketch boolean", run)
 
 
 class Probe:
@@ -71,14 +75,14 @@ class Probe:
 
 def candidates(docs: DataFrame, shingles: DataFrame, k: int = WORDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, hash): item shingles in the documents that have a sketch shingle."""
-    wanted = shingles.groupBy("hash", "words").agg(F.max("sketch").alias("sketch"))
-    total = wanted.count()
-    blocks = max(1, -(-total // block))
+    wanted = shingles.groupBy("text_key", "hash", "words").agg(F.max("sketch").alias("sketch"))
+    blocks = max(1, -(-wanted.count() // block))
     rows = docs.select(F.col("doc_id"), F.xxhash64(text_of()).alias("text_key"), "text")
     out = None
     spark = docs.sparkSession
     for b in range(blocks):
-        part = wanted.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b).toArrow()  # at most about `block` hashes
+        mine = wanted.filter(F.pmod(F.xxhash64("text_key"), F.lit(blocks)) == b)  # whole items, about `block` hashes
+        part = mine.groupBy("hash", "words").agg(F.max("sketch").alias("sketch")).toArrow()
         hashes = part["hash"].to_numpy().view(np.uint64)
         length, sketch = part["words"].to_numpy(), part["sketch"].to_numpy(zero_copy_only=False)
         shared = spark.sparkContext.broadcast({int(n): Probe(hashes[length == n], sketch[length == n]) for n in np.unique(length)})
@@ -130,7 +134,8 @@ def contained(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: floa
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     shingles = written(item_shingles(items, k, threshold), "decon-items")
     found = candidates(docs, shingles, k, block)
-    side = F.broadcast(shingles) if shingles.count() <= BROADCAST_ROWS else shingles
+    side = shingles.drop("text_key")
+    side = F.broadcast(side) if shingles.count() <= BROADCAST_ROWS else side
     # a candidate pair is one with a sketch hit; the count over all of the item's shingles verifies it
     pairs = (found.distinct().join(side, "hash").groupBy("doc_id", "text_key", "item_id", "item", "n", "need")
              .agg(F.count("*").alias("n_found"), F.max("sketch").alias("candidate")))

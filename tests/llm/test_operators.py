@@ -162,6 +162,17 @@ def test_decontamination(spark):
     assert got == want and (1, 1) in got and (4, 2) in got
 
 
+@pytest.mark.parametrize("block", [3, 20])
+def test_decontamination_in_blocks(spark, block):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"v{w}" for w in rng.integers(0, 1000, int(n))) for n in rng.integers(3, 40, 30)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100, texts[0])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"a b {t} c {texts[-i]} d") for i, t in enumerate(texts)], DOCS)
+    found = lambda n: {tuple(r) for r in decontaminate.contained(docs, items, block=n).collect()}
+    whole = found(decontaminate.BLOCK)
+    assert {(r[0], r[2]) for r in whole} >= {(i, i) for i in range(30)} and found(block) == whole
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
