@@ -8,10 +8,12 @@ they redirect to (meta refresh), declare as canonical (link rel=canonical, og:ur
 (scheme, ``www.`` and ``m.``, fragment, tracking parameters, trailing slash, index page, ``.html``),
 and connected components of these edges are classes.  Within a class an explicit allow of any member takes
 precedence over blocks of others; a class without any rule, and a page without an address, is allowed.
+Every member has a vote, link targets that are no rows of the table too.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule and verdict allow; null
-html has no links; repeated rows are judged row by row; relative link targets are resolved only
-if they start with ``/``, others are no edges; an empty table gives an empty result.
+html has no links; repeated rows are judged row by row; relative link targets are resolved against the
+page's url, and are no edges if it has none; targets without a host (``mailto:``) are no edges; a tag that is never
+closed is none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,30 +57,80 @@ def address(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(F.lit("//"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
+# Linear in the text: loops are possessive, and a tag that is never closed is taken to the end of the text once.
+TAG = r"""(?i)<(?:link|meta)\b(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\z)"""
+ATTRIBUTE = r"""(?<![^\s"'<>/=])[^\s"'<>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+BLANKS = " \t\r\n\f"
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of that name without its quotes, or an empty string."""
+    first = F.get(F.filter(attributes, lambda a: a.rlike(rf"^(?i){name}\s*+=")), F.lit(0))
+    value = F.regexp_extract(F.coalesce(first, F.lit("")), r"(?s)=\s*+(.*)$", 1)
+    return F.btrim(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"), F.lit(BLANKS))
+
+
+def _target(tag: Column) -> Column:
+    """What a redirect or canonical tag points to, as it is written; an empty string for other tags."""
+    attributes = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0)
+    content = _attribute(attributes, "content")
+    # a delay, perhaps a separator, perhaps `url=`, and the target, perhaps in quotes of its own
+    after = F.regexp_extract(content, r"(?is)^[\d.]*+\s*+[;,]?+\s*+(?:url\s*+=\s*+)?+(.*)$", 1)
+    after = F.btrim(F.regexp_replace(after, r"""(?s)^(["'])(.*?)(?:\1.*)?$""", "$2"), F.lit(BLANKS))
+    link = tag.rlike(r"^(?i)<link")
+    return (F.when(link & _attribute(attributes, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), _attribute(attributes, "href"))
+            .when(~link & _attribute(attributes, "http-equiv").rlike(r"^(?i)refresh$"), after)
+            .when(~link & (_attribute(attributes, "property").rlike(r"^(?i)og:url$") | _attribute(attributes, "name").rlike(r"^(?i)og:url$")), content)
+            .otherwise(F.lit("")))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` parts."""
+    parts = F.split(path, "/")
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(ends, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1))))
+                       .when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    return F.array_join(kept, "/")
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """A link target as an absolute url; ``url`` is that of the page.  Null where the page's url is needed and has no host."""
+    scheme = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?:)//", 1)
+    base = F.when(host_of(url) != "", F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?://[^/?#]*)", 1))
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.regexp_extract(path_of(url), r"(?s)^(.*)/", 1), F.lit("/"))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+:"), target)
+            .when(target.startswith("//"), F.concat(F.when(scheme != "", scheme).otherwise(F.lit("http:")), target))
+            .when(target.startswith("/"), F.concat(base, _without_dots(path), rest))
+            .when(path == "", F.concat(base, path_of(url), rest))
+            .otherwise(F.concat(base, _without_dots(F.concat(folder, path)), rest)))
+
+
 def link_targets(url: Column, html: Column) -> Column:
     """Targets of redirect and canonical links in a page, absolute."""
-    tag = r"(?is)(<(?:link|meta)\b[^>]{0,2000}>)"
-    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(tag), 1),
-                    lambda t: t.rlike(r"(?i)canonical|refresh|og:url"))
-    found = F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)(?:href=["']?|content=["']?(?:\s*\d+\s*;\s*url=)?["']?)\s*((?:https?://|/)[^"'\s>]+)""", 1))
-    base = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.transform(F.filter(found, lambda t: t != ""), lambda t: F.when(t.startswith("/") & ~t.startswith("//"), F.concat(base, t)).otherwise(t))
+    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TAG), 0),
+                    lambda t: t.endswith(">") & t.rlike(r"(?i)canonical|refresh|og:url"))
+    found = F.filter(F.transform(tags, _target), lambda t: (t != "") & ~t.startswith("#"))
+    return F.transform(found, lambda t: resolved(url, t))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, component) for every row of ``pages``."""
     url = F.col("url")
     seen = (pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"),
-                         F.array_distinct(F.transform(link_targets(url, F.col("html")), address)).alias("targets"))
+                         link_targets(url, F.col("html")).alias("targets"))
+            .withColumn("targets", F.array_distinct(F.filter(F.transform("targets", lambda t: F.struct(
+                address(t).alias("address"), rule_of(host_of(t), path_of(t), rules).alias("_rule"))), lambda t: t["address"].isNotNull())))
             .withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)))
     seen = written(seen, "url-pages")
     # nodes are addresses: spellings of one address meet in it without an edge table of their own
-    edges = seen.select(F.col("address").alias("a"), F.explode("targets").alias("b")).filter("a <> b").distinct()
+    edges = seen.select(F.col("address").alias("a"), F.explode("targets.address").alias("b")).filter("a <> b").distinct()
     classes = written(components(edges, "url-edges"), "url-classes")
     # one row per address and kind of rule, then per class: combined before each shuffle
-    votes = seen.filter("address is not null and _rule is not null").groupBy("address").agg(
+    voters = seen.select("address", "_rule").unionByName(seen.filter("address is not null").select(F.explode("targets").alias("t")).select("t.*"))
+    votes = voters.filter("address is not null and _rule is not null").groupBy("address").agg(
         F.max(F.col("_rule.verdict") == "allow").alias("allow"), F.max(F.col("_rule.verdict") == "block").alias("block"))
-    known = seen.filter("address is not null").select("address").distinct()
+    known = voters.filter("address is not null").select("address").distinct()
     placed = known.join(classes.withColumnRenamed("node", "address"), "address", "left").withColumn("component", F.coalesce("component", "address"))
     placed = written(placed.join(votes, "address", "left"), "url-votes")
     decided = placed.groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block")).select(

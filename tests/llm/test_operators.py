@@ -162,6 +162,31 @@ def test_decontamination(spark):
     assert got == want and (1, 1) in got and (4, 2) in got
 
 
+def test_url_targets_outside_the_table_vote(spark):
+    rows = [(1, "http://alias.info/p", '<link rel="canonical" href="http://x.net/a">'), (2, "https://www.alias.info/p/", None),
+            (3, "http://twin.info/", '<meta http-equiv=refresh content="0.5;url=//x.net/b">'), (4, "http://far.info/", "<link rel=canonical data-x='" + "y" * 5000 + "' href=http://x.net/c>"),
+            (5, "http://both.info/", '<meta property="og:url" content="http://x.net/d"><link href="http://a.org/fr/x" rel="canonical">'),
+            (6, "http://free.info/", '<link rel="stylesheet" href="http://x.net/refresh.css"><meta name="description" content="canonical x.net/e">'),
+            (7, None, '<link rel=canonical href="http://x.net/f">'), (8, "http://open.info/", '<link rel="canonical" href="http://x.net/g"'),
+            (9, "http://example.org/q/login?x", None), (10, "http://none.info/", '<link rel=canonical href="mailto:a@x.net">')]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow"}
+
+
+def test_url_link_targets(spark):
+    page = "http://h.info/a/b/c.html?x=1#f"
+    cases = [("0;url=login.html", "http://h.info/a/b/login.html"), ("0.5;url=../d", "http://h.info/a/d"), ("3; URL='/z/./y/../w?q#r' ", "http://h.info/z/w?q#r"),
+             ("0;url=?p=2", "http://h.info/a/b/c.html?p=2"), ("1, //o.info/x", "http://o.info/x"), ("0 ; url = https://o.info/it's", "https://o.info/it's"),
+             ("0;url=../../../../e/", "http://h.info/e/"), ("0;url=..", "http://h.info/a/"), ("5", None), ("0;url=#top", None)]
+    rows = [(i, page, f'<p><META content="{c}"\nHTTP-EQUIV="Refresh">') for i, (c, _) in enumerate(cases)]
+    rows += [(50, "http://h.info", "<link rel='x canonical' href=y>"), (51, None, "<link rel=canonical href=y>"), (52, page, '<meta content="a > b" property=og:url><link href="/a>b" rel=canonical>'),
+             (53, page, "<link =\"" * 30_000), (54, page, "<meta a" * 30_000)]
+    frame = spark.createDataFrame(rows, "i long, url string, html string")
+    got = {r.i: r.t for r in frame.select("i", url_filter.link_targets(frame.url, frame.html).alias("t")).collect()}
+    assert got == {**{i: [w] if w else [] for i, (_, w) in enumerate(cases)}, 50: ["http://h.info/y"], 51: [None],
+                   52: ["http://h.info/a/b/a > b", "http://h.info/a>b"], 53: [], 54: []}
+
+
 @pytest.mark.parametrize("block", [3, 20])
 def test_decontamination_in_blocks(spark, block):
     rng = np.random.default_rng(4)
