@@ -1,12 +1,14 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-Seeds are the matches of the base patterns.  Each seed and each further token that looks like an identifier
-(it holds a digit or ``@``) is an instance; the words around it are lexical patterns (the word before,
-the two words before, the word before with the word after).  Patterns and instances form a bipartite graph per
-kind and shape, scored in turns: a pattern's confidence is the smoothed mean score of its distinct instances, an
-instance's score is the best confidence of its patterns (1 for seeds).  After ``ROUNDS`` turns, tokens whose
-score reaches ``CONFIDENT`` by a pattern with at least ``SUPPORT`` distinct seeds, and whose shape is one of the
-kind's seeds, are added as ``ctx_<kind>``.  All of it is DataFrame work.
+Seeds are the matches of the base patterns.  Each seed, each further token that looks like an identifier
+(it holds a digit or ``@``) and each run of such tokens between single spaces is an instance; the words around it are
+lexical patterns (the word before, the two words before, the word before with the word after).  Patterns and
+instances form a bipartite graph per kind, scored in turns: a pattern's confidence is the smoothed mean score of its
+distinct instances, those of any form, and a shape's weight is that of the instances with the shape.  An
+instance's score is 1 for seeds; else the best confidence of its patterns, which counts in full once it reaches ``CONFIDENT`` and
+before that by the weight of the instance's shape.  After ``ROUNDS`` turns, tokens and runs of any shape whose
+score reaches ``CONFIDENT`` by a pattern with at least ``SUPPORT`` distinct seeds are added as ``ctx_<kind>``; one
+inside another is not.  All of it is DataFrame work.
 
 Defined cases: null and empty texts have no spans; repeated rows and copies share a blob and its spans; a token
 that overlaps a base span is no candidate; an empty table gives an empty result; ties in score go to the first kind.
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import text_of, written
+from .common import BROADCAST_ROWS, text_of, written
 from .spans import Kind, digest, find, per_blob, shown
 
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 5
@@ -57,50 +59,78 @@ def _shape(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]+", "9")
 
 
-def _patterns(found: DataFrame) -> DataFrame:
+def _patterns(found: DataFrame, starts_run: Column | None = None) -> DataFrame:
+    """``found`` with the patterns around each instance; the words before the first token of a run belong to the run."""
+    starts_run = F.lit(False) if starts_run is None else starts_run
     words_before = F.filter(F.split(F.lower("left"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     words_after = F.filter(F.split(F.lower("right"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     out = found.withColumn("_b", words_before).withColumn("_a", words_after)
     one = F.element_at("_b", -1)
-    pats = F.array(F.when(F.size("_b") >= 1, F.concat(F.lit("1 "), one)),
-                   F.when(F.size("_b") >= 2, F.concat(F.lit("2 "), F.element_at("_b", -2), F.lit(" "), one)),
+    pats = F.array(F.when(~starts_run & (F.size("_b") >= 1), F.concat(F.lit("1 "), one)),
+                   F.when(~starts_run & (F.size("_b") >= 2), F.concat(F.lit("2 "), F.element_at("_b", -2), F.lit(" "), one)),
                    F.when((F.size("_b") >= 1) & (F.size("_a") >= 1), F.concat(F.lit("3 "), one, F.lit(" _ "), F.element_at("_a", 1))))
-    return out.select("blob", "kind", "ord", "start", "end", "value", _shape(F.col("value")).alias("shape"), F.array_compact(pats).alias("patterns"))
+    return out.withColumn("patterns", F.array_compact(pats)).drop("_b", "_a", "left", "right")
 
 
-def discover(base: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Spans (blob, start, end, kind, ord) that patterns learned from ``base`` find among ``tokens``."""
-    seeds = written(_patterns(base), "pii-seeds")
-    # tokens that touch no base span: base spans end before them and begin after them
-    both = (seeds.select("blob", "start", "end", F.lit(True).alias("is_base"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("shape"), F.lit(None).cast("array<string>").alias("patterns"))
-            .unionByName(_patterns(tokens).select("blob", "start", "end", F.lit(False).alias("is_base"), "value", "shape", "patterns")))
+def candidates(base: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(blob, start, end, value, patterns): tokens that touch no base span, and runs of them between single spaces."""
+    both = (base.select("blob", "start", "end", F.lit(True).alias("is_base"), *[F.lit(None).cast("string").alias(c) for c in ("value", "left", "right")])
+            .unionByName(tokens.select("blob", "start", "end", F.lit(False).alias("is_base"), "value", "left", "right")))
+    # base spans end before them and begin after them
     order = W.partitionBy("blob").orderBy("start", F.desc("is_base"), "end")
     before = F.max(F.when(F.col("is_base"), F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, 0))
     after = F.first(F.when(F.col("is_base"), F.col("start")), ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
     free = (both.withColumn("_b", before).withColumn("_a", after)
             .filter(~F.col("is_base") & (F.coalesce("_b", F.lit(0)) <= F.col("start")) & (F.col("_a").isNull() | (F.col("_a") >= F.col("end")))))
-    free = written(free.select("blob", "start", "end", "value", "shape", "patterns"), "pii-tokens")
-    shapes = seeds.groupBy("kind", "ord", "shape").agg(F.count_distinct("value").alias("n")).filter(F.col("n") >= SUPPORT).select("kind", "ord", "shape")
-    # the graph: distinct (pattern, kind, instance); a token may be of each kind that has its shape
-    seed_edges = seeds.select("kind", "value", F.explode("patterns").alias("pattern"), F.lit(1.0).alias("seed")).distinct()
-    token_edges = free.join(shapes, "shape").select("kind", "value", F.explode("patterns").alias("pattern"), F.lit(0.0).alias("seed")).distinct()
-    edges = written(seed_edges.unionByName(token_edges).groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed")), "pii-graph")
-    scores = edges.groupBy("kind", "value").agg(F.max("seed").alias("score"))
+    line = W.partitionBy("blob").orderBy("start")
+    follows = (F.lag("end").over(line) + 1 == F.col("start")) & F.lag("right").over(line).startswith(" ")
+    free = (free.withColumn("_follows", F.coalesce(follows, F.lit(False)))
+            .withColumn("_run", F.sum((~F.col("_follows")).cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
+            .withColumn("_heads", ~F.col("_follows") & F.coalesce(F.lead("_follows").over(line), F.lit(False))))
+    free = written(free.select("blob", "start", "end", "value", "left", "right", "_run", "_follows", "_heads"), "pii-free")
+    inside = free.filter(F.col("_follows") | F.col("_heads")).groupBy("blob", "_run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda t: t["value"]), " ").alias("value"),
+        F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"))
+    cols = ["blob", "start", "end", "value", "patterns"]
+    return _patterns(free, F.col("_heads")).select(*cols).unionByName(_patterns(inside).select(*cols))
+
+
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def discover(base: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Spans (blob, start, end, kind, ord) that patterns learned from ``base`` find among ``tokens``."""
+    seeds = _patterns(base)
+    free = written(candidates(base, tokens), "pii-tokens")
+    # the graph: distinct (pattern, kind, instance); a token may be of each kind that has enough seeds in its pattern
+    seed_edges = written(seeds.select("kind", "ord", "value", F.explode("patterns").alias("pattern"), F.lit(1.0).alias("seed")).distinct(), "pii-seeds")
+    supported = written(seed_edges.groupBy("kind", "ord", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("kind", "ord", "pattern"), "pii-supported")
+    open_edges = free.select("blob", "start", "end", "value", F.explode("patterns").alias("pattern")).join(_small(supported), "pattern")
+    open_edges = written(open_edges, "pii-open")
+    edges = written(seed_edges.drop("ord").unionByName(open_edges.select("kind", "value", "pattern", F.lit(0.0).alias("seed")).distinct())
+                    .groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed")), "pii-graph")
+    shape = _shape(F.col("value")).alias("shape")
+    scores = edges.groupBy("kind", "value").agg(F.max("seed").alias("score")).select("kind", "value", shape, "score")
+    scores = written(scores, "pii-scores")
     for _ in range(ROUNDS):
         confident = (edges.join(scores, ["kind", "value"]).groupBy("kind", "pattern")
                      .agg((F.sum("score") / (F.count("*") + SMOOTH)).alias("confidence"), F.sum("seed").alias("support"))
                      .filter(F.col("support") >= SUPPORT))
         confident = written(confident, "pii-patterns")
-        scores = edges.join(confident, ["kind", "pattern"], "left").groupBy("kind", "value").agg(
-            F.greatest(F.max("seed"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"))
+        weights = written(scores.groupBy("kind", "shape").agg((F.sum("score") / (F.count("*") + SMOOTH)).alias("weight")), "pii-shapes")
+        best = edges.join(_small(confident), ["kind", "pattern"], "left").groupBy("kind", "value").agg(
+            F.max("seed").alias("seed"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("c"))
+        of_others = F.when(F.col("c") >= CONFIDENT, F.col("c")).otherwise(F.col("c") * F.col("weight"))
+        scores = (best.select("kind", "value", "seed", "c", shape).join(_small(weights), ["kind", "shape"])
+                  .select("kind", "value", "shape", F.greatest("seed", of_others).alias("score")))
         scores = written(scores, "pii-scores")
-    ords = shapes.select("kind", "ord").distinct()
-    chosen = scores.filter(F.col("score") >= CONFIDENT).join(ords, "kind").select("value", "kind", "ord")
-    # a value is taken where one of its own patterns is confident
-    hits = (free.select("blob", "start", "end", "value", "shape", F.explode("patterns").alias("pattern"))
-            .join(confident.filter(F.col("confidence") >= CONFIDENT), "pattern").join(chosen, ["value", "kind"])
-            .join(shapes.select("kind", "shape"), ["kind", "shape"]))
+    # an instance is taken where one of its own patterns is confident
+    hits = open_edges.join(_small(confident.filter(F.col("confidence") >= CONFIDENT)), ["kind", "pattern"])
     best = hits.groupBy("blob", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("ord"))).alias("_k"), F.max_by("ord", F.struct("confidence", -F.col("ord"))).alias("_o"))
+    outer = W.partitionBy("blob").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+    best = best.withColumn("_in", F.max("end").over(outer)).filter(F.col("_in").isNull() | (F.col("_in") < F.col("end")))
     return best.select("blob", "start", "end", F.concat(F.lit("ctx_"), F.col("_k")).alias("kind"), (F.col("_o") + 100).alias("ord"))
 
 

@@ -102,6 +102,18 @@ def test_pii_contexts_and_redaction(spark):
     assert len(out) == 15 and out[0] == "word0 contact number [PHONE] end" and out[51] == "no data" and out[52] is None
 
 
+def test_pii_contexts_find_unseen_forms(spark):
+    rows = [(i, f"word{i} contact number +1 (555) 010-{1000 + i} end") for i in range(30)]
+    rows += [(100 + i, f"reach them at mail{i}@host.org today") for i in range(30)] + [(200 + i, f"costs about {i} coins") for i in range(30)]
+    rows += [(300, "contact number 0171-2345678 now"), (301, "a contact number 123 45 6789"), (302, "contact number none, costs about 77 coins"), (303, "reach them at x(a)y7 today")]
+    frame = spark.createDataFrame(rows, DOCS)
+    out = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert out[300] == "contact number [PHONE] now" and out[301] == "a contact number [PHONE]" and out[302] == rows[-2][1]
+    assert out[303] == "reach them at [EMAIL] today" and all(out[i] == t for i, t in rows if 200 <= i < 300)
+    spans = {r.doc_id: r.spans for r in pii.report(frame).collect()}
+    assert spans[300] == "ctx_phone:15:27" and spans[301] == "ctx_phone:17:28" and spans[303] == "ctx_email:14:20"
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 30))), s) for i, s in enumerate(rng.choice(["a", "b", "B", "é", None], 400, p=[.6, .1, .1, .1, .1]))]
