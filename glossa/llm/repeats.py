@@ -40,6 +40,8 @@ class Setting:
     nodes: tuple[int, ...]
     ordered: bool
     by_bytes: bool
+    #: windows of one piece of a long document; PIECE if not given
+    piece: int | None = None
 
     @property
     def side(self) -> int:
@@ -67,15 +69,19 @@ def _hash(sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return K.mix((sums[e] - sums[s]) * K.powers(INVERSE, len(sums))[s] + (e - s).astype(K.U) * K.U(K.BASE))
 
 
-def _pieces(v: np.ndarray, first: np.ndarray, length: int):
+def _pieces(v: np.ndarray, first: np.ndarray, length: int, piece: int | None = None):
     """(values, first, text of each segment, start of each segment in its text): long texts in pieces that overlap by length - 1."""
+    piece = piece or PIECE
     n = np.diff(first)
-    if len(n) > 1 or len(n) and n[0] <= 2 * PIECE:
+    if not len(n):
+        return
+    if n.max() <= 2 * piece:
         yield v, first, np.arange(len(n)), np.zeros(len(n), np.int64)
-    elif len(n):
-        for at in range(0, int(n[0]) - length + 1, PIECE):
-            part = v[at:at + PIECE + length - 1]
-            yield part, np.array([0, len(part)]), np.zeros(1, np.int64), np.array([at])
+        return
+    for i, size in enumerate(n.tolist()):
+        for at in range(0, size - length + 1, piece):
+            part = v[first[i] + at:min(first[i] + at + piece + length - 1, first[i + 1])]
+            yield part, np.array([0, len(part)]), np.array([i]), np.array([at])
 
 
 ROW = "core long, reach long, doc_id long, row_key long, pos long, meta long"
@@ -91,7 +97,7 @@ def anchors(rows: DataFrame, s: Setting) -> DataFrame:
     def run(batch):
         ids, keys = batch.column("doc_id"), batch.column("row_key").to_numpy()
         for i, j, values, start in sequences(batch.column("text"), s.by_bytes):
-            for v, first, text, base in _pieces(values, start, s.length):
+            for v, first, text, base in _pieces(values, start, s.length, s.piece):
                 if len(v) < s.length:
                     continue
                 sums = _sums(v)
@@ -163,6 +169,11 @@ def covered(rows: DataFrame, s: Setting) -> DataFrame:
     ``rows`` is what ``keyed`` gives.
     """
     place = F.struct("doc_id", "row_key", "pos")
+    # A place next to the cut of a long text has two entries with parts of its windows: its range is the one that spans
+    # both.  All else in meta is equal for a kind.
+    bits = lambda shift: F.shiftright("meta", shift).bitwiseAND(1023)
+    from_lo, to_hi = (F.min(F.struct("doc_id", "row_key", "pos", w.alias("w")))["w"] for w in (bits(10), -bits(0)))
+    meta = F.shiftleft(F.shiftrightunsigned(F.min_by("meta", place), 20), 20) + F.shiftleft(from_lo, 10) - to_hi
     level = written(anchors(rows, s), "repeat-anchors")
     twice = written(level.groupBy("core").count().filter("count > 1").select("core"), "repeat-cores")
     level = written(keep_keys(level, twice, "core"), "repeat-level")
@@ -177,7 +188,7 @@ def covered(rows: DataFrame, s: Setting) -> DataFrame:
             level = written(level, "repeat-nodes")
         alone = F.xxhash64("core", "doc_id", "row_key", "pos")
         level = level.withColumn("kind", F.coalesce("reach", alone))
-        same = written(level.groupBy("core", "kind").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("meta", place).alias("meta"),
+        same = written(level.groupBy("core", "kind").agg(F.min(place).alias("first"), F.max(place).alias("last"), meta.alias("meta"),
                                                          F.max(F.col("reach").isNotNull()).alias("real")), "repeat-kinds")
         repeat = same.filter("real and first <> last").select(F.col("kind").alias("k2"), F.col("core").alias("c2"), "first")
         hit = level.join(written(repeat, "repeat-hits"), (F.col("core") == F.col("c2")) & (F.col("kind") == F.col("k2")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 
 import numpy as np
@@ -71,6 +72,18 @@ def test_long_texts_go_in_pieces(monkeypatch):
     assert all(len(part) <= 699 for part, _, _, _ in pieces)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_results_do_not_depend_on_pieces(spark, monkeypatch, seed):
+    docs = byte_docs(seed)
+    rng = random.Random(seed)
+    docs += [(200 + i, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 90))) + "".join(t or "" for _, t in docs[i:i + 3])) for i in range(20)]
+    whole = suffix.setting()
+    for piece in (57, 300):
+        monkeypatch.setattr(suffix, "setting", lambda *_, piece=piece: dataclasses.replace(whole, piece=piece))
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.report(spark.createDataFrame(docs, SCHEMA)).collect()}
+        assert got == brute.suffix(docs)
+
+
 def test_empty_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     empty = spark.createDataFrame([], SCHEMA)
