@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, and their DuckDB statements."""
+"""The registered queries of the thirteen operators and of the pipeline, and their DuckDB statements."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, mix, ngram_join, pii, secrets, substring, suffix, toxicity, url_filter
+from . import (ann, decontaminate, mix, ngram_join, pii, prefix_trie, secrets, spelling, statements, subspace, substring, suffix, toxicity,
+               url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secrets, op4_url_filter, op5_neighbours, op6_mixture,
-                            op7_ngram_join, op8_substring_dedup, op9_suffix_dedup, op10_pii, pipeline)}
+                            op7_ngram_join, op8_substring_dedup, op9_suffix_dedup, op10_pii, op11_near_vectors, op12_spelling, op13_prefix_trie,
+                            pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -79,6 +93,9 @@ d as (select doc_id, {_WORDS} w from documents),
 h as (select distinct doc_id, array_to_string(w[k:k+4], ' ') g from (select doc_id, w, unnest(generate_series(1, len(w) - 4)) k from d where len(w) >= 5))
 select h.doc_id, s.item_id, n.n as n_shingles, count(*) as n_found, count(*) / n.n as containment
 from h join s using (g) join n using (item_id) group by 1, 2, 3 having 10 * count(*) >= 8 * n.n""",
+    "op11_near_vectors": statements.NEAR_VECTORS,
+    "op12_spelling": statements.SPELLING,
+    "op13_prefix_trie": statements.PREFIX_TRIE,
     # the water level is reached in as many steps as there are sources; documents in the order of a hash that DuckDB
     # does not have, so only the rows' sums by source could be compared: no statement for op6
 }
