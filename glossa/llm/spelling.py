@@ -1,14 +1,14 @@
 """Spelling variants: near words (one edit apart) found by pivotal grams, and the usual form of each word.
 
 A word's bigrams, with their positions, are put in one global order, rarest first.  Its *prefix* is the three rarest
-and all that equal the last of them; its *pivots* are two disjoint bigrams of the prefix with the least sum of frequencies, chosen by
+and the next that equal the last of them (``TIES``); its *pivots* are two disjoint ones of the three with the least sum of frequencies, chosen by
 dynamic programming over the positions.  One edit spoils at most one of two disjoint bigrams, so a pivot of the word whose prefix ends earlier in the
-order stands in the prefix of every near word, moved by one place at most.  Pivots are looked up in the
-prefixes by (bigram, position, length): a replaced code point keeps length and position, an inserted one
-lengthens by one and moves by 0 or 1, a deleted one the other way.  Candidates are settled by an edit distance cut off at one.
+order stands in the prefix of every near word, moved by one place at most.  The edit then lies on one side of it.  Pivots are looked up in the
+prefixes by position, length, the whole other side, and one half of the edited side (``stored_keys``), as bigrams alone are
+too few to tell many words apart.  Candidates are settled by an edit distance cut off at one.
 
 All steps are DataFrame expressions.  The table of bigram frequencies is bounded by the alphabet: 26 letters and the 64 code points U+00C0 to
-U+00FF give at most 90 * 90 rows, whatever the corpus, which is what its broadcast rests on.  Long lists of one (bigram, position, length) are cut
+U+00FF give at most 90 * 90 rows, whatever the corpus, which is what its broadcast rests on.  Long lists of one key are cut
 into blocks of ``LIST`` words, so that no key is one task.  Only verified pairs leave the lookup.
 
 Defined cases: null and empty texts hold no words; a null doc_id counts as empty text before the colon; a run of one code point
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import BROADCAST_ROWS, text_of, written
 
 LEAST_LENGTH, LEAST_COUNT, FACTOR = 7, 2, 10
 #: Fixed values of the contract: the runs of letters, and one run in 31 that loses a code point.
@@ -29,8 +29,9 @@ RUN, DROP_ONE_IN = r"[A-Za-zÀ-ÿ]+", 31
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of one list that one task compares with the pivots that meet them.
 LIST = 4096
-#: Grams of a prefix: one edit spoils two bigrams at most, and a third must be left.
-PREFIX = 3
+#: Grams of a prefix: one edit spoils two bigrams at most, and a third must be left.  A pivot has at most PREFIX - 1 equal
+#: bigrams before it, and an edit makes two more at most, so that the first TIES occurrences of a prefix's last bigram are enough.
+PREFIX, TIES = 3, 5
 
 
 def runs(documents: DataFrame) -> DataFrame:
@@ -85,25 +86,67 @@ def indexed(words: DataFrame) -> DataFrame:
     freq = grams.groupBy("gram").agg(F.count("*").alias("freq"))
     each = grams.join(F.broadcast(freq), "gram")  # at most 90 * 90 rows
     rows = each.groupBy("word", "len").agg(F.array_sort(F.collect_list(F.struct("freq", "gram", "pos"))).alias("g"))
+    first = F.slice("g", 1, PREFIX)
     last = F.element_at("g", PREFIX)
-    prefix = F.filter("g", lambda x: (x["freq"] < last["freq"]) | ((x["freq"] == last["freq"]) & (x["gram"] <= last["gram"])))
-    rows = rows.select("word", "len", prefix.alias("prefix"))
-    return rows.select("word", "len", "prefix", pivots(F.col("prefix")).alias("pivots"))
+    rarer = F.filter(first, lambda x: (x["freq"] < last["freq"]) | (x["gram"] < last["gram"]))
+    ties = F.slice(F.filter("g", lambda x: x["gram"] == last["gram"]), 1, TIES)
+    return rows.select("word", "len", F.concat(rarer, ties).alias("prefix"), pivots(first).alias("pivots"))
+
+
+def _key(side: str, length: Column, pos: Column, *texts: Column) -> Column:
+    """What two words have in common if the edit lies on one side of a shared bigram; 64-bit hashes, as candidates are verified."""
+    return F.xxhash64(F.lit(side), length.cast("int"), pos.cast("int"), *texts)
+
+
+def _cut(word: Column, start: Column, length: Column) -> Column:
+    return F.substring(word, start.cast("int") + 1, F.greatest(length, F.lit(0)).cast("int"))
+
+
+def stored_keys(word: Column, length: Column, pos: Column) -> Column:
+    """The keys under which a word stands for a bigram of its prefix at ``pos``.
+
+    The edit that a near word has lies right or left of the bigram.  The other side is the same in both words; of the
+    edited side, cut in two halves, one half is the same, counted from its own end of the word."""
+    right, left = F.floor((length - pos - 2) / 2), F.floor(pos / 2)
+    return F.array(_key("right, first half", length, pos, _cut(word, F.lit(0), pos + 2 + right)),
+                   _key("right, second half", length, pos, _cut(word, F.lit(0), pos + 2), _cut(word, pos + 2 + right, length)),
+                   _key("left, first half", length, pos, _cut(word, F.lit(0), left), _cut(word, pos, length)),
+                   _key("left, second half", length, pos, _cut(word, left, length)))
+
+
+def asked_keys(word: Column, length: Column, pos: Column) -> Column:
+    """The keys of all words one edit from ``word`` that keep its pivot at ``pos``: as long as it, or one code point shorter or longer."""
+    keys = []
+    for more in (-1, 0, 1):
+        other = length + more
+        # right of the pivot: it stands at the same place
+        edited = other - pos - 2
+        half = F.floor(edited / 2)
+        keys += [F.when(edited >= 0, _key("right, first half", other, pos, _cut(word, F.lit(0), pos + 2 + half))),
+                 F.when(edited >= 0, _key("right, second half", other, pos, _cut(word, F.lit(0), pos + 2), _cut(word, length - edited + half, length)))]
+        # left of the pivot: it moves as the length does
+        edited = pos + more
+        half = F.floor(edited / 2)
+        keys += [F.when(edited >= 0, _key("left, first half", other, edited, _cut(word, F.lit(0), half), _cut(word, pos, length))),
+                 F.when(edited >= 0, _key("left, second half", other, edited, _cut(word, F.greatest(pos - edited + half, F.lit(0)), length)))]
+    return F.array_compact(F.array(*keys))
 
 
 def near_pairs(words: DataFrame, list_words: int = LIST) -> DataFrame:
     """(a, b), a < b: the words one edit apart; each pair once."""
     index = written(indexed(words), "spelling-index")
-    key = ["gram", "pos", "len"]
-    stored = index.select("word", "len", F.explode("prefix").alias("g")).select(F.col("word").alias("b"), "g.gram", "g.pos", "len")
-    # where a pivot can stand in a near word: (moved, longer by)
-    moves = F.array(*[F.struct(F.lit(m).alias("move"), F.lit(g).alias("more")) for m, g in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))])
-    asked = (index.select("word", "len", F.explode("pivots").alias("g")).select("word", "len", "g", F.explode(moves).alias("m"))
-             .select(F.col("word").alias("a"), "g.gram", (F.col("g.pos") + F.col("m.move")).alias("pos"), (F.col("len") + F.col("m.more")).alias("len")))
-    lists = stored.groupBy(*key).agg(F.ceil(F.count("*") / list_words).cast("int").alias("blocks"))
-    left = stored.join(lists, key).select(*key, F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
-    right = asked.join(lists, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "a")
-    met = right.join(left, key + ["block"]).filter("a <> b").filter(F.levenshtein("a", "b", 1) == 1)
+    word, length, pos = F.col("word"), F.col("len"), F.col("pos")
+    stored = index.select("word", "len", F.explode("prefix.pos").alias("pos")).select(F.explode(stored_keys(word, length, pos)).alias("key"), F.col("word").alias("b"))
+    asked = index.select("word", "len", F.explode("pivots.pos").alias("pos")).select(F.explode(asked_keys(word, length, pos)).alias("key"), F.col("word").alias("a"))
+    # lists of very many words are cut into blocks; there are fewer such keys than stored rows / list_words
+    long = written(stored.groupBy("key").agg(F.ceil(F.count("*") / list_words).cast("int").alias("blocks")).filter("blocks > 1"), "spelling-long-lists")
+    n_long = long.count()
+    if n_long:
+        side = F.broadcast(long) if n_long <= BROADCAST_ROWS else long
+        blocks = F.coalesce("blocks", F.lit(1))
+        stored = stored.join(side, "key", "left").select("key", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), "b")
+        asked = asked.join(side, "key", "left").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "a")
+    met = asked.join(stored, ["key", "block"] if n_long else "key").filter("a <> b").filter(F.levenshtein("a", "b", 1) == 1)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
