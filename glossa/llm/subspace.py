@@ -42,10 +42,12 @@ COSINE, BLOCKS = 0.95, 8
 CELL, CELL_BYTES = 32_768, 1 << 27
 #: Rounding slack of squared distances that only decide what is verified.
 SLACK = 1e-9
+#: That of the first test of a block, which is done in single precision.
+LOOSE = 1e-5
 #: Copies of (key, result) rows by which rows of one vector are spread when ids are joined back.
 SALT = 8
-#: Rows of the left side that are compared with a cell at a time, and pairs that are verified at a time.
-STRIP, BATCH = 128, 65_536
+#: Rows of both sides that are compared at a time, and pairs that are verified at a time.
+STRIP, WIDE, BATCH = 128, 16_384, 65_536
 
 
 class Subspaces:
@@ -191,6 +193,7 @@ def _compare(space: Subspaces, block: int, table: pa.Table) -> pa.Table:
     turned = space.rotated(unit)
     stored = np.flatnonzero((side == 1) | (side == 2))
     asking = np.flatnonzero(side != 1)
+    split = bool((side == 3).any() or (side == 1).any())
     # a vector that is here on both sides is one node of the forest
     same = {}
     first_of = np.arange(len(side))
@@ -199,25 +202,42 @@ def _compare(space: Subspaces, block: int, table: pa.Table) -> pa.Table:
     linked = np.zeros(len(side), np.int64)
     up = np.arange(len(side))
     x = turned[:, block * space.width:(block + 1) * space.width]
-    norms = (x * x).sum(1)
-    limit = space.r2 / space.blocks
-    right = np.ascontiguousarray(x[stored])
-    for at in range(0, len(asking), STRIP):
-        rows = asking[at:at + STRIP]
-        far = norms[rows][:, None] + norms[stored][None, :] - 2.0 * (x[rows] @ right.T)
-        a, b = np.nonzero(far <= limit + 2 * SLACK)
-        a, b = rows[a], stored[b]
-        lives = side[a] != 0
-        # own pairs once: two blocks of one cell meet twice (i, j) and (j, i), so that the keys' order decides
-        first = (k1[a] < k1[b]) | ((k1[a] == k1[b]) & (k2[a] < k2[b]))
-        keep = ~lives | first
-        a, b = a[keep], b[keep]
-        for cut in range(0, len(a), BATCH):
-            p, q = _verified(space, block, unit, turned, a[cut:cut + BATCH], b[cut:cut + BATCH])
-            if len(p):
-                np.add.at(linked, p, copies[q])
-                np.add.at(linked, q, copies[p])
-                _hook(up, first_of[p], first_of[q])
+    # half the squared distance less the asking side's norm is one matrix product of lengthened rows; single precision is enough for a
+    # test that is only looser than the budget
+    ones, half = np.ones(len(x)), (x * x).sum(1) / 2
+    limit = space.r2 / space.blocks / 2 + LOOSE
+    ask, have = np.column_stack([x, ones]).astype(np.float32), np.column_stack([x, -half]).astype(np.float32)
+    # rows in the order of the first coordinate that is no grid coordinate: partners lie in a window of it
+    line = x[:, min(space.grid, space.width - 1)]
+    stored = stored[np.argsort(line[stored], kind="stable")]
+    asking = asking[np.argsort(line[asking], kind="stable")]
+    right, at_right = have[stored], line[stored]
+    reach = space.radius + SLACK
+    for lives in (True, False):
+        rows_of = asking[(side[asking] != 0) == lives]
+        for at in range(0, len(rows_of), STRIP):
+            rows = rows_of[at:at + STRIP]
+            low = np.searchsorted(at_right, line[rows[0]] - reach, "left")
+            high = np.searchsorted(at_right, line[rows[-1]] + reach, "right")
+            if lives and not split:
+                low = at  # both sides are the same rows in the same order: those before have met these already
+            for start in range(low, high, WIDE):
+                cols = slice(start, min(high, start + WIDE))
+                a, b = np.nonzero(ask[rows] @ right[cols].T >= (half[rows] - limit).astype(np.float32)[:, None])
+                if lives and not split:
+                    later = b + start > a + at
+                    a, b = a[later], b[later]
+                a, b = rows[a], stored[cols][b]
+                if lives and split:
+                    # two blocks of one cell meet twice, so that the keys' order decides
+                    later = (k1[a] < k1[b]) | ((k1[a] == k1[b]) & (k2[a] < k2[b]))
+                    a, b = a[later], b[later]
+                for cut in range(0, len(a), BATCH):
+                    p, q = _verified(space, block, unit, turned, a[cut:cut + BATCH], b[cut:cut + BATCH])
+                    if len(p):
+                        np.add.at(linked, p, copies[q])
+                        np.add.at(linked, q, copies[p])
+                        _hook(up, first_of[p], first_of[q])
     root = _roots(up)
     root = root[first_of]
     out = np.flatnonzero(linked > 0)
