@@ -56,6 +56,10 @@ select p.p_partkey as id, cast(a.k as integer) as attempt,
   when p.p_partkey % 8 = 4 then '{"en_ok": true, "verdict": null}'
   when p.p_partkey % 8 = 5 then '{"da_ok": true}'
   when p.p_partkey % 8 = 6 then '{"en_ok": true, "verdict": "OK"'
+  when p.p_partkey % 40 = 7 then '{"en_ok": false, "verdict": "ISSUE", "en_ok": true, "verdict": "OK"}'
+  when p.p_partkey % 40 = 15 then '{"en_ok": true, "math_ok_en": NaN, "name_mismatch": -Infinity, "verdict": "NaN or \"OK\""}'
+  when p.p_partkey % 40 = 23 then '{"en_ok": true} {"verdict": "OK"}'
+  when p.p_partkey % 40 = 31 then '{"en_ok": "yes, \\ \"q\"", "issues": [{"brief": "a \\", "n": [NaN, null]}], "issues": null, "comment": 3, "severity": "{}"}'
   else '{"en_ok": true, "da_ok": true, "verdict": "OK"}' end as content,
  case when (p.p_partkey + a.k) % 3 = 0 then 'ERROR: timeout ' || cast(a.k as varchar) end as error
 from part p, (select unnest([0, 1, 2]) as k) a

@@ -115,10 +115,10 @@ def profile_ctes(langs, p="pf") -> str:
     ll = ", ".join(f"'{x}'" for x in sorted(langs))
     return f"""{p}_docs as (select lang, {clean_eval('text')} as t from documents where lang in ({ll})),
 {p}_grams as ({grams_of(f'{p}_docs', 'lang', 't')}),
-{p}_counts as (select lang, gram, count(*) as c from {p}_grams group by lang, gram),
+{p}_counts as materialized (select lang, gram, count(*) as c from {p}_grams group by lang, gram),
 {p}_vocab as (select distinct gram from {p}_counts),
 {p}_totals as (select lang, sum(c) as total from {p}_counts group by lang),
-{p} as (select g.gram, g.lang,
+{p} as materialized (select g.gram, g.lang,
    ln((coalesce(pc.c, 0) + 1.0) / (coalesce(t.total, 0) + (select count(*) from {p}_vocab))) as logp
   from (select gram, unnest([{ll}]) as lang from {p}_vocab) g
   left join {p}_counts pc on pc.gram = g.gram and pc.lang = g.lang
@@ -131,9 +131,11 @@ def score_ctes(src: str, langs, out: str, p="pf") -> str:
     langs = sorted(langs)
     sums = ", ".join(f"sum(case when p.lang = '{x}' then p.logp end) as s_{x}" for x in langs)
     co = ", ".join(f"coalesce(ss.s_{x}, 0.0) as s_{x}" for x in langs)
-    return f"""{out}_g as ({grams_of(src, 'k', 't')}),
-{out}_s as (select g.k, {sums} from {out}_g g join {p} p on p.gram = g.gram group by g.k),
-{out} as (select st.k, {co} from {src} st left join {out}_s ss on ss.k = st.k)"""
+    # texts are numbered, so that a gram's row carries a number and not a text
+    return f"""{out}_n as materialized (select row_number() over () as no, k, t from {src}),
+{out}_g as ({grams_of(f'{out}_n', 'no', 't')}),
+{out}_s as materialized (select g.no, {sums} from {out}_g g join {p} p on p.gram = g.gram group by g.no),
+{out} as (select st.k, {co} from {out}_n st left join {out}_s ss on ss.no = st.no)"""
 
 
 def conf2(s: str, t: str, o: str):
@@ -618,18 +620,27 @@ ORACLE["h4_pending_items"] = q("select i.pid as id from items i where i.pid not
                                "(select id from h3 where da_question <> '')",
                                "items", "translation_attempts", ctes=_H3)
 
+ORACLE["h3_translation_log"] = ORACLE["h3_first_accepted"]
+ORACLE["h4_pending_after_a_run"] = q("select pid as id from items where pid % 3 <> 0", "items")
+
 _S0 = strip("coalesce(content, '')")
 _FL = ["en_ok", "da_ok", "math_ok_en", "math_ok_da", "crosslang_ok"]
 
 
 def _jflag(k):
-    return (f"case when json_exists(js, '$.{k}') and json_type(js, '$.{k}') <> 'NULL' "
-            f"then json_extract(js, '$.{k}')::varchar end")
+    return f"(case when t_{k} <> 'NULL' then v_{k} end)"
 
 
 def _jstr(k, default):
-    return (f"case when not json_exists(js, '$.{k}') then '{default}' when json_type(js, '$.{k}') = 'NULL' "
-            f"then null else json_extract_string(js, '$.{k}') end")
+    # json_extract_string of the value itself: a string's content, other values as they are
+    return f"case when t_{k} is null then '{default}' when t_{k} = 'NULL' then null else json_extract_string(v_{k}, '$') end"
+
+
+_KEYS = _FL + ["name_mismatch", "issues", "severity", "comment", "verdict"]
+# the last of repeated keys: json_each lists them in their order
+_FIELDS = ("fields as (select r.id, r.attempt, " + ", ".join(
+    f"arg_max(e.value::varchar, e.id) filter (where e.key = '{k}') as v_{k}, arg_max(e.type, e.id) filter (where e.key = '{k}') as t_{k}" for k in _KEYS)
+    + " from r4 r, json_each(r.js) e group by r.id, r.attempt)")
 
 
 _H5 = f"""r0 as (select id, attempt, content, error, {_S0} as s0 from review_attempts),
@@ -640,16 +651,17 @@ r2 as (select *, case when regexp_matches(s1, '(?s)\\{{.*\\}}') then regexp_extr
 r3 as (select *, (error is null and content is not null and coalesce(case when json_valid(s2) then json_type(s2) = 'OBJECT' end, false)) as parsed
        from r2),
 r4 as (select *, case when parsed then s2 else '{{}}' end as js from r3),
+{_FIELDS},
+r5 as (select r4.*, fields.* exclude (id, attempt) from r4 left join fields using (id, attempt)),
 h5 as (select id, attempt, parsed,
   {", ".join(f"case when parsed then {_jflag(k)} end as {k}" for k in _FL)},
-  case when parsed then (case when not json_exists(js, '$.name_mismatch') then 'false' else {_jflag('name_mismatch')} end) end as name_mismatch,
-  case when parsed then (case when not json_exists(js, '$.issues') then '[]' when json_type(js, '$.issues') = 'NULL'
-       then 'null' else json_extract(js, '$.issues')::varchar end) end as issues,
+  case when parsed then (case when t_name_mismatch is null then 'false' else {_jflag('name_mismatch')} end) end as name_mismatch,
+  case when parsed then (case when t_issues is null then '[]' when t_issues = 'NULL' then 'null' else v_issues end) end as issues,
   case when parsed then {_jstr('severity', '')} end as severity,
   case when parsed then {_jstr('comment', '')} end as comment,
   case when parsed then {_jstr('verdict', 'ISSUE')} end as verdict,
   coalesce(error, {_S0}) as last_msg
- from r4)"""
+ from r5)"""
 
 ORACLE["h5_parse_reviews"] = q(
     "select id, attempt, parsed, " + ", ".join(_FL) + ", name_mismatch, issues, severity, comment, verdict from h5",
@@ -693,3 +705,15 @@ ORACLE["s2_stream_metrics"] = q(
          round(sum(coalesce(lang_score, 0.0)), 6) as score_sum
        from scored group by model, mode""",
     "items", "completions", ctes=scored_ctes())
+
+# ---- S3: the results of G6, G7, G9-G11, and of G8, while completions arrive ----
+_S3_MAJ = ["accuracy", "boxed_rate", "parsed_rate", "strict_accuracy", "correct_but_not_target_rate", "selected_target_rate", "selected_other_rate",
+           "selected_mixed_rate", "selected_unclear_rate", "selected_avg_target_minus_other"]
+_S3_BEST = ["oracle_accuracy", "oracle_boxed_rate", "oracle_strict_accuracy", "oracle_correct_but_not_target_rate", "oracle_any_correct_rate",
+            "oracle_any_correct_target_rate", "oracle_any_correct_other_rate"]
+_S3_MIX = ["sample_target_rate", "sample_other_rate", "sample_mixed_rate", "sample_unclear_rate", "sample_avg_target_minus_other"]
+ORACLE["s3_running_scaling"] = q(
+    "select model, mode, n, " + ", ".join(f"round({k}, 6) as {k}" for k in _S3_BEST + _S3_MAJ + _S3_MIX)
+    + " from bon join maj using (model, mode, n) left join mix using (model, mode, n)",
+    "items", "completions", ctes=_SC10 + ",\n" + _FH + ",\n" + _WIN + ",\n" + _MIX)
+ORACLE["s4_running_winners"] = ORACLE["g8_majority_winner"]

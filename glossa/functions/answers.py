@@ -89,10 +89,8 @@ def clean_eval(text: str | Column, letters: str = DEFAULT_LETTERS) -> Column:
     s = F.coalesce(col_(text), F.lit(""))
     s = F.regexp_replace(s, r"(?s)\\boxed\s*\{.*?\}", " ")
     s = F.regexp_replace(s, r"\\[a-zA-Z]+", " ")
-    s = F.regexp_replace(s, r"\d+", " ")
-    s = F.regexp_replace(s, f"[^{letters}\\s]", " ")
-    s = F.regexp_replace(s, r"\s+", " ")
-    return F.lower(strip(s))
+    # digits, other signs and whitespace all become spaces, and spaces collapse: one pass
+    return F.lower(F.trim(F.regexp_replace(s, f"[^{letters}]+", " ")))
 
 
 def clean_reward(text: str | Column) -> Column:

@@ -1,24 +1,27 @@
 """Language identification: a character n-gram naive-Bayes model.
 
-The model is *fitted by a Spark job* on labelled text and applied with an
-explode -> broadcast join -> grouped sum, so scoring is a plain distributed
-aggregation.
+The model is *fitted by a Spark job* on labelled text.  Scoring is a projection of the row: the log-probabilities
+of a language are one dense array, a gram's index is arithmetic on its symbols, and the sum over a text's grams is
+an ``aggregate`` inside the row.  No gram becomes a row and no text is shuffled, however often a text repeats.
 
 Size bound of the profile: grams are taken from text normalised to the
 ``letters`` class plus a space, so a profile holds at most
 ``(len(alphabet) + 1) ** n * len(languages)`` rows (30 symbols, n=3: 27,000 per
-language) whatever the corpus size.  That bound is what makes the broadcast safe.
+language) whatever the corpus size.  That bound is what makes the array a literal of the plan.  Beyond ``DENSE_SIZE``
+entries (long grams, large alphabets) grams are exploded and joined to the profile instead, with the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import DEFAULT_LETTERS, clean_eval, clean_reward, drop_final_boxed
 from ..functions.text import col_
+from ..session import written
 
 # Gates of the language signal.
 MIN_CHARS = 15
@@ -26,6 +29,8 @@ THRESHOLD = 0.30
 
 # Profile rows (gram x language) up to which the profile is broadcast.
 BROADCAST_ROWS = 1_000_000
+# Entries of a dense table of log-probabilities.
+DENSE_SIZE = 300_000
 
 LABEL_TARGET, LABEL_OTHER, LABEL_MIXED, LABEL_UNCLEAR = "target", "other", "mixed", "unclear"
 
@@ -58,11 +63,20 @@ def fit_profile(df: DataFrame, text: str = "text", lang: str = "lang",
     logp = ln((count(lang, gram) + 1) / (total(lang) + |vocabulary|)).
     """
     langs = sorted(set(languages))
-    exploded = explode_grams(df.where(F.col(lang).isin(langs)).select(
-        F.col(lang).alias("lang"), clean_eval(text, letters).alias("_c")), ["lang"],
-        F.col("_c"), n, letters)
-    counts = written(exploded.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")),
-                     "profile-counts")
+    rows = df.where(F.col(lang).isin(langs)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return written(profile_of_counts(gram_counts(rows, n, letters), langs), "profile")
+
+
+def gram_counts(df: DataFrame, n: int = 3, letters: str = DEFAULT_LETTERS) -> DataFrame:
+    """(lang, gram, c) of (text, lang) rows; tables of several inputs add up."""
+    rows = df.select("lang", clean_eval("text", letters).alias("_c"))
+    return explode_grams(rows, ["lang"], F.col("_c"), n, letters).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
+
+
+def profile_of_counts(counts: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """(gram, lang, logp) from the counts of all grams, one row for each (lang, gram)."""
+    langs = sorted(set(languages))
+    counts = written(counts, "profile-counts")
     # |vocabulary| and the per-language totals: len(langs) + 1 numbers read from
     # the small written count table.
     totals = {r["lang"]: r["total"] for r in
@@ -74,22 +88,11 @@ def fit_profile(df: DataFrame, text: str = "text", lang: str = "lang",
     # Vocabulary x languages: a fan-out by the fixed language list, no cross join.
     vocab = counts.groupBy("gram").agg(
         F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by_lang"))
-    prof = vocab.select("gram", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"),
+    return vocab.select("gram", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"),
                         "by_lang").select(
         "gram", "lang",
         F.log((F.coalesce(F.element_at("by_lang", F.col("lang")), F.lit(0)) + 1.0) / denom)
         .alias("logp"))
-    return written(prof, "profile")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a (small) model table below the shared checkpoint folder and read it
-    back: fitted once, lineage cut, nothing recomputed by later jobs."""
-    from ..session import scratch_dir
-
-    path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
 
 
 def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame,
@@ -128,13 +131,114 @@ def with_confidences(scores: DataFrame, languages: Sequence[str]) -> DataFrame:
     return out.drop("_m", "_z", *[f"_e_{lg}" for lg in langs])
 
 
+def alphabet(letters: str) -> list[str] | None:
+    """The symbols of normalised text: the lower-case characters of a class like ``A-Za-zæ`` and the space.
+    None for a class with other syntax than characters and ranges."""
+    chars, i = set(), 0
+    while i < len(letters):
+        if letters[i] in "\\[]^&-":
+            return None
+        a_range = letters[i + 1:i + 2] == "-" and i + 2 < len(letters)
+        last = letters[i + 2] if a_range else letters[i]
+        chars.update(chr(c) for c in range(ord(letters[i]), ord(last) + 1))
+        i += 3 if a_range else 1
+    return sorted({c for c in chars if c.lower() == c} | {" "})
+
+
+@dataclass(frozen=True)
+class DenseModel:
+    """Log-probabilities by gram index, of one alphabet.  Symbol 0 is none of the alphabet's and has no grams."""
+
+    symbols: tuple[str, ...]
+    n: int
+    tables: dict[str, list[float]]
+
+    @property
+    def base(self) -> int:
+        return len(self.symbols) + 1
+
+    def indexes(self, text: Column) -> Column:
+        """The indexes of all grams of a normalised text, in order."""
+        codes = [0] * (max(map(ord, self.symbols)) + 1)
+        for at, c in enumerate(self.symbols, 1):
+            codes[ord(c)] = at
+        code = _array(codes, "int")
+        out = chars = F.transform(F.split(text, ""), lambda c: F.get(code, F.ascii(c)))
+        for i in range(2, self.n + 1):
+            out = F.zip_with(out, F.slice(chars, i, F.greatest(F.size(chars), F.lit(1))), lambda a, b: a * self.base + b)
+        return out
+
+    def total(self, indexes: Column, table: list[float]) -> Column:
+        """The sum of the table's entries; the last n - 1 places have no gram (null) and add nothing."""
+        values = _array(table, "double")
+        return F.aggregate(indexes, F.lit(0.0), lambda s, k: s + F.coalesce(F.get(values, k), F.lit(0.0)))
+
+
+def _array(values: list, kind: str) -> Column:
+    """A literal array: one text constant that the optimizer folds, not an expression for each element."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def dense_model(profile: DataFrame, languages: Sequence[str], n: int = 3, letters: str = DEFAULT_LETTERS) -> DenseModel | None:
+    """The profile as dense tables; None where they would pass ``DENSE_SIZE`` entries.
+
+    What comes to the driver is bounded by the alphabet, not by the corpus."""
+    symbols = alphabet(letters)
+    if symbols is None or (len(symbols) + 1) ** n > DENSE_SIZE:
+        return None
+    code = {c: at for at, c in enumerate(symbols, 1)}
+    base = len(symbols) + 1
+    tables = {lg: [0.0] * base ** n for lg in sorted(set(languages))}
+    rows = profile.where(F.col("lang").isin(list(tables)) & (F.length("gram") == n)).select("lang", "gram", "logp")
+    for lang, gram, logp in rows.toLocalIterator():
+        if all(c in code for c in gram):
+            at = 0
+            for c in gram:
+                at = at * base + code[c]
+            tables[lang][at] = logp
+    return DenseModel(tuple(symbols), n, tables)
+
+
+def with_language_sums(df: DataFrame, text: Column, profile: DataFrame, languages: Sequence[str], n: int = 3,
+                       letters: str = DEFAULT_LETTERS) -> DataFrame:
+    """Adds ``s_<lang>``: the summed log-probability of the known grams of ``text`` (0 where there is none)."""
+    langs = sorted(set(languages))
+    model = dense_model(profile, langs, n, letters)
+    if model is not None:
+        out = df.withColumn("_grams", model.indexes(gram_text(text, letters)))
+        return out.select(*df.columns, *[model.total(F.col("_grams"), model.tables[lg]).alias(f"s_{lg}") for lg in langs])
+    keyed = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_key", F.md5("_text"))
+    sums = language_scores(keyed.select("_key", "_text").distinct(), "_key", "_text", profile, langs, n, letters)
+    return keyed.drop("_text").join(sums, "_key").drop("_key")
+
+
+def with_pair_confidences(df: DataFrame, text: Column, profile: DataFrame, target: str, other: str, n: int = 3,
+                          letters: str = DEFAULT_LETTERS) -> DataFrame:
+    """Adds ``conf_target`` and ``conf_other``, null where ``text`` is null.
+
+    The softmax of two sums depends on their difference alone, so that one table of differences is summed."""
+    model = dense_model(profile, (target, other), n, letters)
+    if model is not None:
+        ahead = [t - o for t, o in zip(model.tables[target], model.tables[other])]
+        grams = F.when(text.isNotNull(), model.indexes(gram_text(text, letters)))
+        out = df.withColumn("_ahead", model.total(grams, ahead))
+        one = F.lit(1.0)
+        return out.select(*df.columns, (one / (one + F.exp(-F.col("_ahead")))).alias("conf_target"), (one / (one + F.exp("_ahead"))).alias("conf_other"))
+    out = with_confidences(with_language_sums(df.withColumn("_known", text.isNotNull()), text, profile, (target, other), n, letters), (target, other))
+    return out.select(*df.columns, *[F.when(F.col("_known"), F.col(f"conf_{lg}")).alias(c) for lg, c in ((target, "conf_target"), (other, "conf_other"))])
+
+
 def language_confidence(df: DataFrame, key: str, text: str, profile: DataFrame,
                         languages: Sequence[str] = ("de", "en"), n: int = 3,
                         letters: str = DEFAULT_LETTERS) -> DataFrame:
     """(key, conf_<lang>...) for each row of ``df``."""
-    texts = df.select(key, F.col(text).alias("_t"))
-    return with_confidences(language_scores(texts, key, "_t", profile, languages, n, letters), languages) \
-        .select(key, *[f"conf_{lg}" for lg in sorted(set(languages))])
+    langs = sorted(set(languages))
+    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    if len(langs) == 2:
+        out = with_pair_confidences(rows, F.col("_t"), profile, langs[0], langs[1], n, letters)
+        return out.select(key, F.col("conf_target").alias(f"conf_{langs[0]}"), F.col("conf_other").alias(f"conf_{langs[1]}"))
+    return with_confidences(with_language_sums(rows, F.col("_t"), profile, langs, n, letters), langs) \
+        .select(key, *[f"conf_{lg}" for lg in langs])
 
 
 def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame,
@@ -144,15 +248,13 @@ def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame,
     whose best two languages tie, has no language (null) and is never the target."""
     langs = sorted(set(languages))
     blank = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s", "") == ""
-    texts = df.select(key, clean_eval(F.col(text), letters).alias("_t"), blank.alias("_blank")).withColumn("_ck", F.md5("_t"))
-    # Each distinct cleaned text is scored once.
-    s = language_scores(texts.select("_ck", "_t").distinct(), "_ck", "_t", profile, langs, n, letters)
+    texts = df.select(F.col(key), clean_eval(F.col(text), letters).alias("_t"), blank.alias("_blank"))
+    s = with_language_sums(texts, F.col("_t"), profile, langs, n, letters)
     m = F.greatest(*[F.col(f"s_{lg}") for lg in langs]) if len(langs) > 1 else F.col(f"s_{langs[0]}")
     best = F.filter(F.array(*[F.when(F.col(f"s_{lg}") == m, F.lit(lg)) for lg in langs]), lambda x: x.isNotNull())
     # A text without known grams scores 0 in every language: a tie, unless there is one language only.
     some = m < 0
-    detected = F.when(some & (F.size(best) == 1), F.element_at(best, 1))
-    out = texts.select(key, "_ck", "_blank").join(s.select("_ck", detected.alias("detected")), "_ck")
+    out = s.select(key, "_blank", F.when(some & (F.size(best) == 1), F.element_at(best, 1)).alias("detected"))
     if target is None:
         return out.select(key, "detected")
     return out.select(key, "detected", (~F.col("_blank") & F.coalesce(F.col("detected") == target, F.lit(False))).alias("is_target"))
@@ -170,73 +272,44 @@ def signal_columns(conf_t: Column, conf_o: Column, cleaned_len: Column,
     return {"lang_score": score, "lang_label": label}
 
 
-def score_texts(texts: DataFrame, key: str, text: str, profile: DataFrame,
-                target: str, other: str, cleaner: str = "eval",
-                exclude_final_line: bool = True, min_chars: int = MIN_CHARS,
-                threshold: float = THRESHOLD, n: int = 3, letters: str = DEFAULT_LETTERS) -> DataFrame:
-    """Language signal for a (key, text) table with unique keys.
-
-    cleaner='eval' is E4 (clean_eval), cleaner='reward' is E5's cleaning (clean_reward).
-    Returns key, cleaned_len, conf_target, conf_other, lang_score, lang_label."""
-    t = F.col(text)
-    if exclude_final_line:
-        t = drop_final_boxed(t)
-    cleaned = clean_eval(t, letters) if cleaner == "eval" else clean_reward(t)
-    c = texts.select(key, cleaned.alias("_c")).withColumn("cleaned_len", F.length("_c")) \
-        .withColumn("_ck", F.md5("_c"))
-    # Texts that clean to the same string are scored once.  No length filter
-    # here: it would be pushed below the de-duplication and clean every row;
-    # the short-text gate is applied to the result instead.
-    uniq = c.select("_ck", "_c").distinct()
-    conf = with_confidences(language_scores(uniq, "_ck", "_c", profile, (target, other), n, letters),
-                            (target, other))
-    short = F.col("cleaned_len") < min_chars
-    out = c.join(conf, "_ck", "left").select(
-        key, "cleaned_len",
-        F.when(short, F.lit(0.0)).otherwise(F.col(f"conf_{target}")).alias("conf_target"),
-        F.when(short, F.lit(0.0)).otherwise(F.col(f"conf_{other}")).alias("conf_other"))
-    cols = signal_columns(F.col("conf_target"), F.col("conf_other"), F.col("cleaned_len"),
-                          min_chars, threshold)
-    return out.select("*", *[v.alias(k) for k, v in cols.items()])
-
-
 def signal_text(text: Column, exclude_final_line: bool = True, letters: str = DEFAULT_LETTERS) -> Column:
     """The cleaned text that the language signal of a completion is taken from."""
     return clean_eval(drop_final_boxed(text) if exclude_final_line else text, letters)
 
 
-def score_cleaned(texts: DataFrame, cleaned: str, profile: DataFrame, target: str, other: str,
-                  min_chars: int = MIN_CHARS, threshold: float = THRESHOLD, n: int = 3,
-                  letters: str = DEFAULT_LETTERS) -> DataFrame:
-    """(_ck, lang_score, lang_label) of distinct cleaned texts; ``_ck`` is their md5."""
-    c = texts.select(F.md5(cleaned).alias("_ck"), F.col(cleaned).alias("_c"), F.length(cleaned).alias("cleaned_len"))
-    conf = with_confidences(language_scores(c.select("_ck", "_c"), "_ck", "_c", profile, (target, other), n, letters), (target, other))
-    cols = signal_columns(F.col(f"conf_{target}"), F.col(f"conf_{other}"), F.col("cleaned_len"), min_chars, threshold)
-    out = c.select("_ck", "cleaned_len").join(conf, "_ck")
-    return out.select("_ck", *[v.alias(k) for k, v in cols.items()])
+def with_signal(df: DataFrame, cleaned: Column, profile: DataFrame, target: str, other: str,
+                min_chars: int = MIN_CHARS, threshold: float = THRESHOLD, n: int = 3,
+                letters: str = DEFAULT_LETTERS) -> DataFrame:
+    """Adds cleaned_len, conf_target, conf_other, lang_score and lang_label of a cleaned text;
+    all are null where it is null.  Texts under ``min_chars`` are not scored."""
+    base = df.withColumn("_cleaned", cleaned)
+    base = base.withColumn("cleaned_len", F.length("_cleaned"))
+    short = F.col("cleaned_len") < min_chars
+    scored = with_pair_confidences(base, F.when(~short, F.col("_cleaned")), profile, target, other, n, letters).drop("_cleaned")
+    for c in ("conf_target", "conf_other"):
+        scored = scored.withColumn(c, F.when(short, F.lit(0.0)).otherwise(F.col(c)))
+    cols = signal_columns(F.col("conf_target"), F.col("conf_other"), F.col("cleaned_len"), min_chars, threshold)
+    known = F.col("cleaned_len").isNotNull()
+    return scored.select("*", *[F.when(known, v).alias(k) for k, v in cols.items()])
 
 
 def language_signal(df: DataFrame, text: str, profile: DataFrame, target: str, other: str,
                     min_chars: int = MIN_CHARS, threshold: float = THRESHOLD,
                     exclude_final_line: bool = True, letters: str = DEFAULT_LETTERS) -> DataFrame:
     """E4 on any table: adds cleaned_len, conf_target, conf_other, lang_score,
-    lang_label.  Each distinct text is scored once (md5 key), then joined back."""
-    keyed = df.withColumn("_tk", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    distinct = keyed.select("_tk", F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
-    scored = score_texts(distinct, "_tk", "_t", profile, target, other, "eval",
-                         exclude_final_line, min_chars, threshold, letters=letters)
-    return keyed.join(scored, "_tk").drop("_tk")
+    lang_label.  A projection: texts stay in their rows."""
+    cleaned = signal_text(F.coalesce(F.col(text), F.lit("")), exclude_final_line, letters)
+    return with_signal(df, cleaned, profile, target, other, min_chars, threshold, letters=letters)
 
 
 def language_reward(df: DataFrame, text: str, profile: DataFrame, target: str, other: str,
                     weight: float = 1.0, exclude_final_line: bool = True,
                     min_chars: int = MIN_CHARS, letters: str = DEFAULT_LETTERS) -> DataFrame:
     """E5: adds ``language_reward`` = weight * (conf_target - conf_other); 0.0 when the
-    reward-cleaned text is shorter than ``min_chars``."""
-    keyed = df.withColumn("_tk", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    distinct = keyed.select("_tk", F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
-    scored = score_texts(distinct, "_tk", "_t", profile, target, other, "reward",
-                         exclude_final_line, min_chars, letters=letters)
-    reward = F.when(F.col("cleaned_len") < min_chars, F.lit(0.0)).otherwise(
-        F.lit(weight) * (F.col("conf_target") - F.col("conf_other")))
-    return keyed.join(scored.select("_tk", reward.alias("language_reward")), "_tk").drop("_tk")
+    reward-cleaned text is shorter than ``min_chars``.  A projection, as E4."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    cleaned = clean_reward(drop_final_boxed(t) if exclude_final_line else t)
+    base = df.withColumn("_cleaned", cleaned)
+    scored = with_pair_confidences(base, F.when(F.length("_cleaned") >= min_chars, F.col("_cleaned")), profile, target, other, letters=letters)
+    reward = F.coalesce(F.lit(weight) * (F.col("conf_target") - F.col("conf_other")), F.lit(0.0))
+    return scored.select(*df.columns, reward.alias("language_reward"))

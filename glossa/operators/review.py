@@ -96,42 +96,65 @@ def _clean_reply(c: Column) -> Column:
     return F.when(s.rlike(r"(?s)\{.*\}"), F.regexp_extract(s, r"(?s)(\{.*\})", 1)).otherwise(s)
 
 
+#: Marks put before the text of a JSON string, and of a number that is none, while an object is taken apart; signs
+#: that JSON text cannot hold as they are stand in for escaped backslashes and quotes.
+_TEXT, _NO_NUMBER, _BACKSLASH, _QUOTE = "\\u0003", "\\u0004", "\u0001", "\u0002"
+
+
+def json_fields(text: Column) -> Column:
+    """The (key, value) pairs of a JSON object in order, repeated keys too; null if ``text`` is no JSON object.
+
+    Accepts what a lenient reader does: repeated keys, and NaN, Infinity and -Infinity as values.  A
+    value is null for JSON null; it begins with U+0003 if it is a string (its content follows), and is JSON text otherwise.
+
+    The text is cut at its quotes once, which tells strings from the rest without a loop in a pattern, so that
+    long replies cost their length."""
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    marked = F.array_join(F.transform(F.split(hidden, '"', -1), lambda part, i: F.when(i % 2 == 1, F.concat(F.lit(_TEXT), part)).otherwise(
+        F.regexp_replace(part, r"-?Infinity|NaN", '"' + _NO_NUMBER.replace("\\", "\\\\") + '$0"'))), '"')
+    shown = F.replace(F.replace(marked, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    # in brackets, so that anything after the object is an error or a second element
+    objects = F.from_json(F.concat(F.lit("["), shown, F.lit("]")), "array<map<string,string>>", options)
+    one = F.when(~text.rlike("[\u0001\u0002]") & (F.size(objects) == 1), F.element_at(objects, 1))
+    clean = lambda v: F.when(F.ascii(v) == 3, v).otherwise(F.regexp_replace(
+        F.replace(v, F.lit(_TEXT), F.lit("")), r'^\x04(.*)$|"\\u0004(-?Infinity|NaN)"', "$1$2"))
+    return F.transform(F.map_entries(one), lambda e: F.struct(F.substring(e["key"], 2, 2 ** 31 - 1).alias("key"), clean(e["value"]).alias("value")))
+
+
 def parse_reviews(attempts: DataFrame) -> DataFrame:
     """H5: parse each reply: strip a code fence, keep first '{' to last '}', parse
-    as a JSON object; ``parsed`` is false otherwise.  Missing keys take their
-    defaults; an explicit null stays null.  Flags are kept as JSON text."""
-    s = _clean_reply(F.col("content"))
-    x = attempts.withColumn("_s", s).withColumn("_v", F.try_parse_json("_s"))
-    is_obj = F.col("_v").isNotNull() & F.expr("startswith(schema_of_variant(_v), 'OBJECT')")
-    parsed = F.col("error").isNull() & F.col("content").isNotNull() & F.coalesce(is_obj, F.lit(False))
-
-    def raw(k):
-        return F.try_variant_get(F.col("_v"), f"$.{k}", "variant")
+    as a JSON object; ``parsed`` is false otherwise.  The last of repeated keys counts, and NaN is a
+    number.  Missing keys take their defaults; an explicit null stays null.  Flags are kept as JSON text."""
+    x = attempts.withColumn("_s", _clean_reply(F.col("content"))).withColumn("_f", json_fields(F.col("_s")))
+    parsed = F.col("error").isNull() & F.col("content").isNotNull() & F.col("_f").isNotNull()
+    # one lookup for each key: the value in an array, empty if the key is missing
+    for k in [*FLAGS, "name_mismatch", "issues", "severity", "comment", "verdict"]:
+        name = F.lit(k)
+        found = F.transform(F.filter("_f", lambda e: e["key"] == name), lambda e: e["value"])  # noqa: B023
+        x = x.withColumn(f"_{k}", F.slice(found, F.greatest(F.size(found), F.lit(1)), 1))
 
     def present(k):
-        return raw(k).isNotNull()
-
-    def is_null(k):
-        return F.is_variant_null(raw(k))
-
-    def text_or_null(k):
-        return F.when(present(k) & ~is_null(k), F.to_json(raw(k)))
-
-    def string_field(k, default):
-        return F.when(~present(k), F.lit(default)).when(is_null(k), F.lit(None).cast("string")) \
-            .otherwise(F.try_variant_get(F.col("_v"), f"$.{k}", "string"))
-
-    cols = {f: text_or_null(f) for f in FLAGS}
-    cols["name_mismatch"] = F.when(~present("name_mismatch"), F.lit("false")).otherwise(
-        text_or_null("name_mismatch"))
-    cols["issues"] = F.when(~present("issues"), F.lit("[]")).when(is_null("issues"), F.lit("null")) \
-        .otherwise(F.get_json_object("_s", "$.issues"))
-    cols["severity"] = string_field("severity", "")
-    cols["comment"] = string_field("comment", "")
-    cols["verdict"] = string_field("verdict", "ISSUE")
-    out = x.select("id", "attempt", "content", "error", parsed.alias("parsed"),
-                   *[F.when(parsed, c).alias(k) for k, c in cols.items()])
-    return out
+        return F.size(f"_{k}") > 0
+
+    def value(k):
+        return F.get(f"_{k}", F.lit(0))
+
+    def content(k):
+        """A string's content; JSON text of another value."""
+        return F.when(F.ascii(value(k)) == 3, F.substring(value(k), 2, 2 ** 31 - 1)).otherwise(value(k))
+
+    def json_text(k):
+        as_json = F.to_json(F.array(content(k)))
+        return F.when(F.ascii(value(k)) == 3, F.substring(as_json, F.lit(2), F.length(as_json) - 2)).otherwise(value(k))
+
+    cols = {f: json_text(f) for f in FLAGS}
+    cols["name_mismatch"] = F.when(~present("name_mismatch"), F.lit("false")).otherwise(json_text("name_mismatch"))
+    cols["issues"] = F.when(~present("issues"), F.lit("[]")).otherwise(F.coalesce(content("issues"), F.lit("null")))
+    for k, default in (("severity", ""), ("comment", ""), ("verdict", "ISSUE")):
+        cols[k] = F.when(~present(k), F.lit(default)).otherwise(content(k))
+    return x.select("id", "attempt", "content", "error", parsed.alias("parsed"),
+                    *[F.when(parsed, c).alias(k) for k, c in cols.items()])
 
 
 def first_parseable(attempts: DataFrame, items: DataFrame,

@@ -10,6 +10,10 @@ Query shapes (all distributed, no per-item Python):
   and the winner is the first row of a window ordered by the tie-break rules.
 * Sample language mix (G11): pre-aggregated per sample index, then spread.
 
+Each of them is split in two: a small table that can be merged (``first_hits``, ``vote_groups``, ``sample_counts``; a merger is a
+minimum or a sum by key, so that it may be taken in any order and in parts), and the rates read from it.
+Batch results take the table of all samples, running results (``streaming.scaling``) the merger of the arrivals' tables.
+
 Scored rows are clustered once by (pid, model, mode); the per-item steps reuse
 that clustering, so only tiny per-(model, mode, n) aggregates shuffle afterwards.
 A (pid, model, mode) group holds at most ``max_n`` samples after the prefix
@@ -59,8 +63,11 @@ def item_total(items: DataFrame):
 
 
 def _grid(samples: DataFrame, ns: Sequence[int]) -> DataFrame:
-    """(model, mode, n) for every model/mode seen and every n."""
-    return samples.where(F.col("sample_idx") < max(ns)).select("model", "mode").distinct().select(
+    """(model, mode, n) for every model/mode seen and every n; ``samples`` are scored
+    rows or a table made of them."""
+    if "sample_idx" in samples.columns:
+        samples = samples.where(F.col("sample_idx") < max(ns))
+    return samples.select("model", "mode").distinct().select(
         "model", "mode", F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"))
 
 
@@ -68,34 +75,45 @@ def _with_total(df: DataFrame, items: DataFrame) -> DataFrame:
     return df.withColumn("total", item_total(items))
 
 
+HITS = ["oracle_accuracy", "oracle_boxed_rate", "oracle_strict_accuracy", "oracle_correct_but_not_target_rate",
+        "oracle_any_correct_target_rate", "oracle_any_correct_other_rate"]
+
+
+def first_hits(samples: DataFrame, max_n: int) -> DataFrame:
+    """Per item the index of the first sample that hits, for every flag of ``HITS`` (null: none)."""
+    lab, idx = F.col("lang_label"), F.col("sample_idx")
+    correct, boxed = F.col("correct"), F.col("boxed")
+    hits = [correct, boxed, correct & boxed & (lab == LABEL_TARGET), correct & (lab != LABEL_TARGET),
+            correct & (lab == LABEL_TARGET), correct & (lab == LABEL_OTHER)]
+    return samples.where(idx < max_n).groupBy(*ITEM).agg(
+        *[F.min(F.when(c, idx)).alias(k) for k, c in zip(HITS, hits)])
+
+
+def merge_first_hits(tables: DataFrame) -> DataFrame:
+    return tables.groupBy(*ITEM).agg(*[F.min(k).alias(k) for k in HITS])
+
+
 def best_of_n(samples: DataFrame, items: DataFrame, ns: Sequence[int] = NS,
               target_modes: Sequence[str] = TARGET_MODES_SCALING) -> DataFrame:
     """G6 + G7: per (model, mode, n) the share of items with a hit in the first n
     samples.  Target-language rates are null for other modes."""
+    return best_of_hits(first_hits(samples, max(ns)), _grid(samples, ns), items, ns, target_modes)
+
+
+def best_of_hits(first: DataFrame, grid: DataFrame, items: DataFrame, ns: Sequence[int] = NS,
+                 target_modes: Sequence[str] = TARGET_MODES_SCALING) -> DataFrame:
+    """G6 + G7 from the first hits of every item, which may be those of longer prefixes."""
     max_n = max(ns)
-    lab = F.col("lang_label")
-    idx = F.col("sample_idx")
-    correct, boxed = F.col("correct"), F.col("boxed")
-    hits = {
-        "oracle_accuracy": correct,
-        "oracle_boxed_rate": boxed,
-        "oracle_strict_accuracy": correct & boxed & (lab == LABEL_TARGET),
-        "oracle_correct_but_not_target_rate": correct & (lab != LABEL_TARGET),
-        "oracle_any_correct_target_rate": correct & (lab == LABEL_TARGET),
-        "oracle_any_correct_other_rate": correct & (lab == LABEL_OTHER),
-    }
-    first = samples.where(idx < max_n).groupBy(*ITEM).agg(
-        *[F.min(F.when(c, idx)).alias(k) for k, c in hits.items()])
+    hits = HITS
     # Histogram of first hits per (model, mode, metric, first index).
     stacked = first.select("model", "mode", F.explode(F.array(*[
         F.struct(F.lit(k).alias("metric"), F.col(k).alias("f")) for k in hits])).alias("h")) \
-        .select("model", "mode", "h.metric", "h.f").where(F.col("f").isNotNull())
+        .select("model", "mode", "h.metric", "h.f").where(F.col("f") < max_n)
     hist = stacked.groupBy("model", "mode", "metric", "f").agg(F.count(F.lit(1)).alias("c"))
     spread = hist.select("model", "mode", "metric", "c",
                          F.explode(F.sequence(F.col("f") + 1, F.lit(max_n))).alias("n")) \
         .groupBy("model", "mode", "n").pivot("metric", list(hits)).agg(F.sum("c"))
-    grid = _with_total(_grid(samples, ns), items)
-    out = grid.join(spread, ["model", "mode", "n"], "left")
+    out = _with_total(grid, items).join(spread, ["model", "mode", "n"], "left")
     is_t = F.col("mode").isin(*target_modes)
 
     def rate(k):
@@ -110,23 +128,36 @@ def best_of_n(samples: DataFrame, items: DataFrame, ns: Sequence[int] = NS,
     return out.select("model", "mode", "n", *cols)
 
 
-def sample_language_mix(samples: DataFrame, items: DataFrame, ns: Sequence[int] = NS,
-                        target_modes: Sequence[str] = TARGET_MODES_SCALING) -> DataFrame:
-    """Label rates and mean contrast over the first n samples of every item;
-    denominator total * n (short lists included)."""
-    max_n = max(ns)
+def sample_counts(samples: DataFrame, max_n: int, target_modes: Sequence[str] = TARGET_MODES_SCALING) -> DataFrame:
+    """Label counts and contrast sum by (model, mode, sample_idx) of the target modes."""
     lab = F.col("lang_label")
-    per_idx = samples.where(F.col("mode").isin(*target_modes) & (F.col("sample_idx") < max_n)) \
+    return samples.where(F.col("mode").isin(*target_modes) & (F.col("sample_idx") < max_n)) \
         .groupBy("model", "mode", "sample_idx").agg(
             F.sum(F.when(lab == LABEL_TARGET, 1).otherwise(0)).alias("t"),
             F.sum(F.when(lab == LABEL_OTHER, 1).otherwise(0)).alias("o"),
             F.sum(F.when(lab == LABEL_MIXED, 1).otherwise(0)).alias("m"),
             F.sum(F.when(lab == LABEL_UNCLEAR, 1).otherwise(0)).alias("u"),
             F.sum("lang_score").alias("s"))
-    spread = per_idx.select("*", F.explode(F.sequence(F.col("sample_idx") + 1, F.lit(max_n)))
-                            .alias("n")).groupBy("model", "mode", "n").agg(
-        *[F.sum(c).alias(c) for c in "tomus"])
-    grid = _with_total(_grid(samples.where(F.col("mode").isin(*target_modes)), ns), items)
+
+
+def merge_sample_counts(tables: DataFrame) -> DataFrame:
+    return tables.groupBy("model", "mode", "sample_idx").agg(*[F.sum(c).alias(c) for c in "tomus"])
+
+
+def sample_language_mix(samples: DataFrame, items: DataFrame, ns: Sequence[int] = NS,
+                        target_modes: Sequence[str] = TARGET_MODES_SCALING) -> DataFrame:
+    """Label rates and mean contrast over the first n samples of every item;
+    denominator total * n (short lists included)."""
+    return mix_of_counts(sample_counts(samples, max(ns), target_modes), items, ns)
+
+
+def mix_of_counts(per_idx: DataFrame, items: DataFrame, ns: Sequence[int] = NS) -> DataFrame:
+    """G11 from the counts by sample index, which may be those of longer prefixes."""
+    max_n = max(ns)
+    spread = per_idx.where(F.col("sample_idx") < max_n).select(
+        "*", F.explode(F.sequence(F.col("sample_idx") + 1, F.lit(max_n))).alias("n")) \
+        .groupBy("model", "mode", "n").agg(*[F.sum(c).alias(c) for c in "tomus"])
+    grid = _with_total(_grid(per_idx, ns), items)
     out = grid.join(spread, ["model", "mode", "n"], "left")
     d = F.col("total") * F.col("n")
     names = dict(zip("tomus", SAMPLE_MIX))
@@ -134,6 +165,30 @@ def sample_language_mix(samples: DataFrame, items: DataFrame, ns: Sequence[int]
         (F.coalesce(F.col(c), F.lit(0)) / d).alias(names[c]) for c in "tomus"])
 
 
+def vote_groups(samples: DataFrame, max_n: int, decimals: int = 6) -> DataFrame:
+    """Per (item, n, answer), n = 1..max_n: the number of its votes, the sum of their indexes, and the earliest supporter."""
+    label_code = F.coalesce(*[F.when(F.col("lang_label") == k, F.lit(v))
+                              for k, v in _LABEL_CODE.items()])
+    idx = F.col("sample_idx")
+    votes = samples.where((idx < max_n) & F.col("pred").isNotNull()).select(
+        *ITEM, "sample_idx", vote_key("pred", decimals).alias("vkey"), "pred", "correct", "boxed",
+        label_code.alias("lcode"), "lang_score",
+        F.explode(F.sequence(idx + 1, F.lit(max_n))).alias("n"))
+    return votes.groupBy(*ITEM, "n", "vkey").agg(
+        F.count(F.lit(1)).alias("votes"), F.sum(idx).alias("idx_sum"), F.min(idx).alias("first_idx"),
+        *[F.min_by(c, idx).alias(c) for c in VOTE_FIRST])
+
+
+#: What is kept of an answer's earliest supporter.
+VOTE_FIRST = ["pred", "correct", "boxed", "lcode", "lang_score"]
+
+
+def merge_vote_groups(tables: DataFrame) -> DataFrame:
+    return tables.groupBy(*ITEM, "n", "vkey").agg(
+        F.sum("votes").alias("votes"), F.sum("idx_sum").alias("idx_sum"), F.min("first_idx").alias("first_idx"),
+        *[F.min_by(c, "first_idx").alias(c) for c in VOTE_FIRST])
+
+
 def majority_winner(samples: DataFrame, ns: Sequence[int] = NS, decimals: int = 6) -> DataFrame:
     """The majority-vote winner of every (item, n) prefix.
 
@@ -141,19 +196,12 @@ def majority_winner(samples: DataFrame, ns: Sequence[int] = NS, decimals: int =
     then the lower first index; the winner row is the earliest supporter, and its
     own prediction (not the rounded vote key) is returned.
     Items whose prefix has no prediction get no row."""
-    max_n = max(ns)
-    label_code = F.coalesce(*[F.when(F.col("lang_label") == k, F.lit(v))
-                              for k, v in _LABEL_CODE.items()])
-    votes = samples.where((F.col("sample_idx") < max_n) & F.col("pred").isNotNull()).select(
-        *ITEM, "sample_idx", vote_key("pred", decimals).alias("vkey"), "pred", "correct", "boxed",
-        label_code.alias("lcode"), "lang_score",
-        F.explode(F.sequence(F.col("sample_idx") + 1, F.lit(max_n))).alias("n"))
-    idx = F.col("sample_idx")
-    groups = votes.groupBy(*ITEM, "n", "vkey").agg(
-        F.count(F.lit(1)).alias("votes"), F.avg(idx).alias("avg_idx"), F.min(idx).alias("first_idx"),
-        F.min_by("pred", idx).alias("pred"),
-        F.min_by("correct", idx).alias("correct"), F.min_by("boxed", idx).alias("boxed"),
-        F.min_by("lcode", idx).alias("lcode"), F.min_by("lang_score", idx).alias("lang_score"))
+    return winner_of_votes(vote_groups(samples, max(ns), decimals), ns)
+
+
+def winner_of_votes(groups: DataFrame, ns: Sequence[int] = NS) -> DataFrame:
+    """G8 from the votes of every (item, n, answer), which may be those of longer prefixes."""
+    groups = groups.where(F.col("n") <= max(ns)).withColumn("avg_idx", F.col("idx_sum") / F.col("votes"))
     w = Window.partitionBy(*ITEM, "n").orderBy(F.col("votes").desc(), "avg_idx", "first_idx")
     best = groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
     decode = F.coalesce(*[F.when(F.col("lcode") == v, F.lit(k)) for k, v in _LABEL_CODE.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import DEFAULT_LETTERS, boxed_flag, boxed_number, gold_number, gold_text
-from .language import MIN_CHARS, THRESHOLD, language_reward, score_cleaned, signal_text
+from .language import MIN_CHARS, THRESHOLD, language_reward, signal_text, with_signal
 
 # Tolerance of a correct answer, and the modes whose gold is the
 # source-language answer.
@@ -54,23 +54,18 @@ def score_completions(completions: DataFrame, items: DataFrame, profile: DataFra
     """F2: boxed, pred, correct for every completion, plus lang_label / lang_score
     for rows whose mode is a target mode (null otherwise).  A null text is ''.
 
-    Parsing is a projection of the row.  Only rows of target modes go to the
-    language step, where each distinct cleaned text is scored once; the score
-    comes back by the row's hash of its cleaned text, no text in the join."""
+    Parsing and language scoring are projections of the completion row; only their
+    narrow results are joined to the items, and columns that a caller does not
+    read are not computed."""
     is_target = F.col("mode").isin(*target_modes)
     text = F.coalesce(F.col("text"), F.lit(""))
-    cleaned = signal_text(text, letters=letters)
-    rows = attach_gold(completions, items).select(
-        *KEY, "gold", boxed_flag(text).alias("boxed"), boxed_number(text).alias("pred"),
-        F.when(is_target, F.md5(cleaned)).alias("_ck"))
-    wanted = completions.where(is_target).select(cleaned.alias("_c")).distinct()
-    lang = score_cleaned(wanted, "_c", profile, target, other, min_chars, threshold, letters=letters)
-    return (
-        rows.join(lang.select("_ck", "lang_label", "lang_score"), "_ck", "left")
-        .select(*KEY, "gold", "boxed", "pred",
-                correct_expr(F.col("pred"), F.col("gold")).alias("correct"),
-                "lang_label", "lang_score")
-    )
+    rows = completions.select(*KEY, boxed_flag(text).alias("boxed"), boxed_number(text).alias("pred"),
+                              F.when(is_target, signal_text(text, letters=letters)).alias("_signal"))
+    rows = with_signal(rows, F.col("_signal"), profile, target, other, min_chars, threshold, letters=letters)
+    rows = attach_gold(rows.select(*KEY, "boxed", "pred", "lang_label", "lang_score"), items)
+    return rows.select(*KEY, "gold", "boxed", "pred",
+                       correct_expr(F.col("pred"), F.col("gold")).alias("correct"),
+                       "lang_label", "lang_score")
 
 
 def rl_solutions(items: DataFrame, modes: Sequence[str] = ("en", "da")) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+
 
 def order_key(key: Column, seed: int) -> Column:
     """B4 key: md5 of '<key>:<seed>' -- a repeatable, uniform permutation."""
@@ -21,29 +23,26 @@ def seeded_order(df: DataFrame, key: str = "pid", seed: int = 42) -> DataFrame:
     return df.withColumn("order_key", order_key(F.col(key), seed))
 
 
-def with_position(df: DataFrame, key: str = "pid", buckets: int | None = None,
-                  rel_error: float = 0.0) -> DataFrame:
-    """Exact 0-based rank of every row by a unique numeric ``key``.
-
-    Distributed: rows are cut into key ranges at sampled quantiles (``buckets``
-    boundaries come back to the driver), a per-range count gives each range its
-    offset (a window over ``buckets`` rows only), and the rank inside a range
-    comes from a window partitioned by the range.  No single-partition window."""
-    spark = df.sparkSession
-    nb = buckets or max(2 * spark.sparkContext.defaultParallelism, 2)
-    probs = [i / nb for i in range(1, nb)]
-    bounds = sorted(set(df.approxQuantile(key, probs, rel_error or 0.001))) if nb > 1 else []
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    k = F.col(key).cast("double")
-    bucketed = df.withColumn("_b", F.size(F.filter(arr, lambda b: b < k)))
-    sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")
-                                                   .rowsBetween(Window.unboundedPreceding, -1)))
-                           .alias("_off"))
-    offsets = offsets.fillna(0, ["_off"])
-    ranked = bucketed.join(F.broadcast(offsets), "_b").withColumn(
-        "position", F.col("_off") + F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1)
-    return ranked.drop("_b", "_off")
+def with_position(df: DataFrame, key: str = "pid") -> DataFrame:
+    """Exact 0-based rank of every row by ``key``, of any type that has an order; nulls come first.
+
+    One range exchange sorts the rows, and each row is numbered where it lies; the table is written, the rows of
+    each part are counted, and the running sum of these few counts is what comes before a part.  No window over
+    all rows, and no key passes through the driver beyond the exchange's own sample.
+
+    Rows of equal keys are ranked by a hash of the whole row, so that a key that very many
+    rows share is spread over several parts too, and ranks do not depend on the input's order."""
+    hashed = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    sorted_ = hashed.repartitionByRange(F.asc_nulls_first(key), "_tie").sortWithinPartitions(F.asc_nulls_first(key), "_tie")
+    # the id holds the number of the part above 33 bits, and the row's number in it below
+    rows = written(sorted_.withColumn("_row", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_row", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # as many rows as the exchange has parts
+    ranked = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).alias("position"))
 
 
 def split_by_position(df: DataFrame, key: str = "pid", n: int = 7473,

@@ -8,6 +8,8 @@ same result.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..operators import language as L
 from ..operators import metrics as M
 from ..operators import scaling as G
 from ..operators import scoring as S
+from ..operators.profiles import ProfileStore
+from ..session import checkpoint_root
 from ..sources import fixtures as X
 
 # Test tables hold de/en/fr/es prose and no Danish: the target language of the
@@ -38,16 +42,13 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-_PROFILES: dict = {}
-
-
 def profile(spark: SparkSession, sf: str, languages=(TARGET, OTHER)) -> DataFrame:
-    """The language model of a corpus: fitted once per session and corpus (a
-    written table), then read by every scoring job."""
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), tuple(sorted(languages)))
-    if key not in _PROFILES:
-        _PROFILES[key] = L.fit_profile(X.labelled_text(spark, sf), "text", "lang", languages)
-    return _PROFILES[key]
+    """The language model of a corpus, kept below the shared folder: refitted when the corpus changes
+    (only new files are counted), read otherwise."""
+    path = f"{sf.rstrip('/')}/documents.parquet"
+    root = f"{checkpoint_root(spark).rstrip('/')}/glossa-profiles/{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    store = ProfileStore(spark, root, lambda files: X.spread(spark.read.parquet(*files).select("text", "lang")))
+    return store.refresh(path, languages)
 
 
 def scored(spark: SparkSession, sf: str, target_modes=S.TARGET_MODES_SCALING) -> DataFrame:
@@ -236,8 +237,9 @@ def g5(spark, sf):
 def _samples(spark, sf):
     """Scored rows written once (lineage cut in the shared checkpoint folder);
     the best-of-N, majority and mix jobs all read this table instead of
-    re-running the scoring in each of their branches."""
-    return L.written(scored(spark, sf), "scored")
+    re-running the scoring in each of their branches.  Samples beyond the largest
+    prefix are left out before anything is read from their texts."""
+    return L.written(scored(spark, sf).where(F.col("sample_idx") < max(NS)), "scored")
 
 
 def _round_all(df, keys):
@@ -260,7 +262,10 @@ def g7(spark, sf):
 
 @query("g8_majority_winner")
 def g8(spark, sf):
-    w = G.majority_winner(G.prefix_samples(_samples(spark, sf), max(NS)), NS)
+    return _winner_columns(G.majority_winner(G.prefix_samples(_samples(spark, sf), max(NS)), NS))
+
+
+def _winner_columns(w):
     return w.select("pid", "model", "mode", F.col("n").cast("long").alias("n"), "pred",
                     F.col("votes").cast("long").alias("votes"), "winner_idx", "correct", "boxed",
                     "lang_label", r6("lang_score").alias("lang_score"))
@@ -462,6 +467,28 @@ def h4(spark, sf):
     return H.pending_items(src, done).select("id")
 
 
+def _translation_log(spark, sf, runs):
+    """The attempts arrive in three parts; each of the first ``runs`` runs takes what has come."""
+    from .runs import TranslationLog
+
+    log = TranslationLog(spark, scratch_dir(spark, "translations"))
+    items, attempts, prof = X.items(spark, sf), X.translation_attempts(spark, sf), _detect_profile(spark, sf)
+    for i in range(runs):
+        log.run(f"run-{i}", items, attempts.where(F.pmod("id", F.lit(3)) <= i), prof, TARGET, DETECT_LANGS)
+    return log
+
+
+@query("h3_translation_log")
+def h3_log(spark, sf):
+    """Three runs, each of which finds the earlier ones' items written."""
+    return _translation_log(spark, sf, 3).translated()
+
+
+@query("h4_pending_after_a_run")
+def h4_log(spark, sf):
+    return _translation_log(spark, sf, 1).pending(X.items(spark, sf)).select("id")
+
+
 @query("h5_parse_reviews")
 def h5(spark, sf):
     return H.parse_reviews(X.review_attempts(spark, sf)).drop("content", "error")
@@ -491,6 +518,7 @@ def h8(spark, sf):
 from ..session import scratch_dir  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 from ..streaming import incremental as ST  # noqa: E402
+from ..streaming import scaling as RS  # noqa: E402
 
 
 @query("a1_read_items_csv")
@@ -569,3 +597,30 @@ def s2(spark, sf):
     return counts.join(lang, ["model", "mode"], "left").select(
         "model", "mode", "rows", "correct", "boxed", "target", "other", "mixed", "unclear",
         r6("score_sum").alias("score_sum"))
+
+
+def _running_scaling(spark, sf):
+    """The samples as two arrivals, each with some samples of the same prompts; the stream stops and
+    starts again between them, and the second arrival's tables are merged with the first's."""
+    base = scratch_dir(spark, "running")
+    state = RS.RunningScaling(spark, f"{base}/state", max(NS))
+    comp, items, prof = X.completions(spark, sf), X.items(spark, sf), profile(spark, sf)
+    for i in (0, 1):
+        arrival = comp.where(F.pmod(F.col("pid") + F.col("sample_idx"), F.lit(2)) == i)
+        arrival.write.parquet(f"{base}/in/drop_{i}")
+        RS.stream_scaling(spark, f"{base}/in/*", state, items, prof, TARGET, OTHER)
+    return state, items
+
+
+@query("s3_running_scaling")
+def s3(spark, sf):
+    state, items = _running_scaling(spark, sf)
+    keys = ["model", "mode", "n"]
+    out = state.best_of_n(items, NS).join(state.majority(items, NS), keys).join(state.language_mix(items, NS), keys, "left")
+    return _round_all(out.withColumn("n", F.col("n").cast("long")), keys)
+
+
+@query("s4_running_winners")
+def s4(spark, sf):
+    state, _ = _running_scaling(spark, sf)
+    return _winner_columns(state.winners(NS))

@@ -6,6 +6,7 @@
   for N = 1..10 -> wide row per model, long series for figures -> JSON + CSV.
 * ``*_training_set``: the paired, target-only, unpaired, RL and English sets, rendered.
 * ``translation_run``, ``review_run``: replies to accepted translations, and to the issue report.
+* ``TranslationLog``: accepted translations appended run by run, with what is still pending.
 
 Scored rows are written once below the shared scratch folder and read back, so
 the metric jobs do not recompute the language scores and a lost executor only
@@ -16,8 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import metrics as M
 from ..operators import prompts as D
@@ -27,6 +29,7 @@ from ..operators import scoring as S
 from ..operators import splits as B
 from ..session import scratch_dir
 from ..sources import io as IO
+from ..sources.ledger import Ledger
 
 
 def _test_items(items: DataFrame, train_rows: int) -> DataFrame:
@@ -155,6 +158,40 @@ def translation_run(source: DataFrame, attempts: DataFrame, done: DataFrame | No
         H.first_accepted(open_items, todo, profile, target, languages).select(*cols))
 
 
+TRANSLATED = ["id", "question", "answer", "da_question", "da_answer"]
+
+
+class TranslationLog:
+    """H3, H4 over many runs: what was translated is appended run by run, and never written again.
+
+    A run translates the items that no published run holds.  Its rows appear at once when all of them are written; a
+    run that fails in between leaves nothing to see, and the same or another run takes its items up again.  An item whose
+    attempts were all rejected is written with empty target texts, as one that is accepted is, and is not asked for again;
+    an item without an attempt stays pending."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._log = Ledger(spark, root)
+        self._schema = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.StringType()) for c in TRANSLATED[1:]]])
+
+    def translated(self) -> DataFrame:
+        """All items written so far, one row each."""
+        return self._log.read(self._schema)
+
+    def pending(self, source: DataFrame) -> DataFrame:
+        """The items of ``source`` (pid, question, answer) that no run has written; only ids are read of the log."""
+        return H.pending_items(source.withColumn("id", F.col("pid").cast("long")), self.translated())
+
+    def run(self, name: str, source: DataFrame, attempts: DataFrame, profile: DataFrame, target: str, languages: Sequence[str]) -> bool:
+        """Append the pending items that have attempts; False if a run of this name was published before."""
+        if self._log.has(name):
+            return False
+        tried = attempts.select("id").distinct()
+        todo = _persist(self.pending(source).join(tried, "id", "left_semi"), "translation-todo")
+        replies = attempts.join(todo.select("id"), "id", "left_semi")
+        rows = H.first_accepted(todo, replies, profile, target, languages)
+        return self._log.commit(name, rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema]))
+
+
 def review_run(items: DataFrame, attempts: DataFrame, out_dir: str) -> DataFrame:
     """The issue report of all items, written as CSV."""
     report = _persist(H.issue_report(items, H.first_parseable(attempts, items)), "issues")

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_ROOT: str | None = None
 
@@ -62,3 +62,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/glossa-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared checkpoint folder and read it back: lineage is cut, and nothing is
+    computed again by later jobs or for a lost executor."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -158,6 +158,10 @@ def review_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 8 == 4, F.lit('{"en_ok": true, "verdict": null}'))
         .when(i % 8 == 5, F.lit('{"da_ok": true}'))
         .when(i % 8 == 6, F.lit('{"en_ok": true, "verdict": "OK"'))
+        .when(i % 40 == 7, F.lit('{"en_ok": false, "verdict": "ISSUE", "en_ok": true, "verdict": "OK"}'))
+        .when(i % 40 == 15, F.lit('{"en_ok": true, "math_ok_en": NaN, "name_mismatch": -Infinity, "verdict": "NaN or \\"OK\\""}'))
+        .when(i % 40 == 23, F.lit('{"en_ok": true} {"verdict": "OK"}'))
+        .when(i % 40 == 31, F.lit('{"en_ok": "yes, \\\\ \\"q\\"", "issues": [{"brief": "a \\\\", "n": [NaN, null]}], "issues": null, "comment": 3, "severity": "{}"}'))
         .otherwise(F.lit('{"en_ok": true, "da_ok": true, "verdict": "OK"}'))
     )
     error = F.when(r % 3 == 0, F.concat(F.lit("ERROR: timeout "), _s(F.col("attempt"))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.splits import with_position
+from .quoted_csv import csv_options, read_csv
 
 ITEMS_SCHEMA = T.StructType([
     T.StructField("pid", T.LongType()),
@@ -31,34 +31,24 @@ COMPLETIONS_SCHEMA = T.StructType([
 ])
 
 
-def _csv_options(sep: str) -> dict[str, str]:
-    # Quoted multi-line text.  A null is written as the marker \N and an empty
-    # string as "", so both survive a round trip; whitespace is data, never trimmed.
-    return {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "sep": sep,
-            "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false",
-            "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"}
-
-
 def read_items(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ",",
                schema: T.StructType = ITEMS_SCHEMA) -> DataFrame:
     """A1 / A2: read an item table; columns are matched by the names in the header.
 
     Columns in another order and further columns are fine, absent text columns are
     null, and a file without the id column (the first of ``schema``) gets the row
-    position as id.  Quoted line breaks make a file one task; convert large files to
-    Parquet once."""
+    position as id.  A file is read by as many tasks as it has byte ranges, quoted line
+    breaks or not (``quoted_csv``)."""
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    raw = spark.read.options(**_csv_options(sep)).csv(path)
-    names = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
+    raw = read_csv(spark, path, sep)
+    names = {c.lstrip("\ufeff").strip(): c for c in raw.columns if c != "_position"}
     first = schema.fields[0]
     texts = [f for f in schema.fields[1:] if f.name in names]
     if not texts:
         raise ValueError(f"none of the columns {[f.name for f in schema.fields]} in {path}")
     if first.name not in names:
-        # one row number for each file split, in order; ranked to 0, 1, 2, ...
-        raw = with_position(raw.withColumn("_m", F.monotonically_increasing_id()), "_m")
-        names[first.name] = "position"
+        names[first.name] = "_position"
     return raw.select(*[
         F.col(f"`{names[f.name]}`").cast(f.dataType).alias(f.name) if f.name in names
         else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -66,14 +56,14 @@ def read_items(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ",",
 
 def write_items(df: DataFrame, path: str, sep: str = ",") -> None:
     """A3: write an item or issue table as CSV (quoted where needed)."""
-    df.write.mode("overwrite").options(**_csv_options(sep)).csv(path)
+    df.write.mode("overwrite").options(**csv_options(sep)).csv(path)
 
 
 def write_metrics(wide: DataFrame, out_dir: str) -> None:
     """A4: the wide result rows (one per model) as JSON and as CSV."""
     base = out_dir.rstrip("/")
     wide.write.mode("overwrite").json(f"{base}/json")
-    wide.write.mode("overwrite").options(**_csv_options(",")).csv(f"{base}/csv")
+    wide.write.mode("overwrite").options(**csv_options(",")).csv(f"{base}/csv")
 
 
 def read_metrics(spark: SparkSession, out_dir: str, schema: T.StructType,
@@ -81,4 +71,4 @@ def read_metrics(spark: SparkSession, out_dir: str, schema: T.StructType,
     base = out_dir.rstrip("/")
     if fmt == "json":
         return spark.read.schema(schema).json(f"{base}/json")
-    return spark.read.schema(schema).options(**_csv_options(",")).csv(f"{base}/csv")
+    return spark.read.schema(schema).options(**csv_options(",")).csv(f"{base}/csv")

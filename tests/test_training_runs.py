@@ -1,5 +1,6 @@
 """Training-set, translation and review runs, rendered message arrays, running metrics."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from glossa.operators import language as L
@@ -97,3 +98,28 @@ def test_letters_reach_the_scores(spark):
     without = L.language_confidence(df, "id", "text", prof).first()
     assert with_them.conf_de > without.conf_de
     assert L.detect_language(df, "id", "text", prof, ("de", "en"), "de", letters=letters).first().is_target
+
+
+def test_translation_log_loses_and_repeats_nothing(spark, monkeypatch):
+    items, tries = X.items(spark, SF_SMALL), X.translation_attempts(spark, SF_SMALL)
+    prof = L.fit_profile(X.labelled_text(spark, SF_SMALL), "text", "lang", ("de", "en"))
+    how = (prof, "de", ("de", "en"))
+    whole = {tuple(r) for r in runs.translation_run(items, tries, None, *how).collect()}
+    root = scratch_dir(spark, "test-translation-log")
+    log = runs.TranslationLog(spark, root)
+    assert log.translated().count() == 0 and log.pending(items).count() == items.count()
+    assert log.run("a", items, tries.where("id % 2 = 0"), *how)
+    first = log.translated().count()
+    assert 0 < first < items.count() and log.pending(items).count() == items.count() - first
+    # the rows are written, but the run is lost before it is published
+    with monkeypatch.context() as m:
+        m.setattr(runs.Ledger, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            log.run("b", items, tries, *how)
+    log = runs.TranslationLog(spark, root)
+    assert log.translated().count() == first
+    assert not log.run("a", items, tries, *how)  # a name that was published before
+    assert log.run("b", items, tries, *how) and log.run("c", items, tries, *how)
+    got = [tuple(r) for r in log.translated().collect()]
+    assert len(got) == len(whole) and set(got) == whole
+    assert log.pending(items).count() == 0
