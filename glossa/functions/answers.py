@@ -90,7 +90,13 @@ def clean_eval(text: str | Column, letters: str = DEFAULT_LETTERS) -> Column:
     s = F.regexp_replace(s, r"(?s)\\boxed\s*\{.*?\}", " ")
     s = F.regexp_replace(s, r"\\[a-zA-Z]+", " ")
     # digits, other signs and whitespace all become spaces, and spaces collapse: one pass
-    return F.lower(F.trim(F.regexp_replace(s, f"[^{letters}]+", " ")))
+    return F.lower(F.trim(letters_only(s, letters)))
+
+
+def letters_only(text: Column, letters: str = DEFAULT_LETTERS) -> Column:
+    """Every run of other characters -> one space.  A lone space is no match, as it stays what
+    it is; replacing each would be most of the cost."""
+    return F.regexp_replace(text, f"[^{letters} ][^{letters}]*| [^{letters}]+", " ")
 
 
 def clean_reward(text: str | Column) -> Column:

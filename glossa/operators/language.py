@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import DEFAULT_LETTERS, clean_eval, clean_reward, drop_final_boxed
+from ..functions.answers import DEFAULT_LETTERS, clean_eval, clean_reward, drop_final_boxed, letters_only
 from ..functions.text import col_
 from ..session import written
 
@@ -38,7 +38,7 @@ LABEL_TARGET, LABEL_OTHER, LABEL_MIXED, LABEL_UNCLEAR = "target", "other", "mixe
 def gram_text(text: str | Column, letters: str = DEFAULT_LETTERS) -> Column:
     """Normalise text for n-grams: lower case, every run of non-letters -> one space.
     Identity on the output of ``clean_eval``."""
-    return F.regexp_replace(F.lower(F.coalesce(col_(text), F.lit(""))), f"[^{letters}]+", " ")
+    return letters_only(F.lower(F.coalesce(col_(text), F.lit(""))), letters)
 
 
 def explode_grams(df: DataFrame, keys: Sequence[str], text: Column, n: int = 3,
@@ -163,15 +163,22 @@ class DenseModel:
         for at, c in enumerate(self.symbols, 1):
             codes[ord(c)] = at
         code = _array(codes, "int")
-        out = chars = F.transform(F.split(text, ""), lambda c: F.get(code, F.ascii(c)))
-        for i in range(2, self.n + 1):
-            out = F.zip_with(out, F.slice(chars, i, F.greatest(F.size(chars), F.lit(1))), lambda a, b: a * self.base + b)
-        return out
+        symbols = F.transform(F.split(text, ""), lambda c: F.get(code, F.ascii(c)))
+
+        def grams(c: Column) -> Column:
+            number = F.greatest(F.size(c) - (self.n - 1), F.lit(0))
+            out = F.slice(c, 1, number)
+            for i in range(2, self.n + 1):
+                out = F.zip_with(out, F.slice(c, i, number), lambda a, b: a * self.base + b)
+            return out
+
+        # the symbols are bound to a variable, or each mention of them would split the text again
+        return F.get(F.transform(F.array(symbols), grams), F.lit(0))
 
     def total(self, indexes: Column, table: list[float]) -> Column:
-        """The sum of the table's entries; the last n - 1 places have no gram (null) and add nothing."""
+        """The sum of the table's entries."""
         values = _array(table, "double")
-        return F.aggregate(indexes, F.lit(0.0), lambda s, k: s + F.coalesce(F.get(values, k), F.lit(0.0)))
+        return F.aggregate(indexes, F.lit(0.0), lambda s, k: s + F.get(values, k))
 
 
 def _array(values: list, kind: str) -> Column:
@@ -213,14 +220,14 @@ def with_language_sums(df: DataFrame, text: Column, profile: DataFrame, language
 
 
 def with_pair_confidences(df: DataFrame, text: Column, profile: DataFrame, target: str, other: str, n: int = 3,
-                          letters: str = DEFAULT_LETTERS) -> DataFrame:
-    """Adds ``conf_target`` and ``conf_other``, null where ``text`` is null.
+                          letters: str = DEFAULT_LETTERS, normal: bool = False) -> DataFrame:
+    """Adds ``conf_target`` and ``conf_other``, null where ``text`` is null; ``normal``: the text needs no ``gram_text``.
 
     The softmax of two sums depends on their difference alone, so that one table of differences is summed."""
     model = dense_model(profile, (target, other), n, letters)
     if model is not None:
         ahead = [t - o for t, o in zip(model.tables[target], model.tables[other])]
-        grams = F.when(text.isNotNull(), model.indexes(gram_text(text, letters)))
+        grams = F.when(text.isNotNull(), model.indexes(text if normal else gram_text(text, letters)))
         out = df.withColumn("_ahead", model.total(grams, ahead))
         one = F.lit(1.0)
         return out.select(*df.columns, (one / (one + F.exp(-F.col("_ahead")))).alias("conf_target"), (one / (one + F.exp("_ahead"))).alias("conf_other"))
@@ -280,12 +287,12 @@ def signal_text(text: Column, exclude_final_line: bool = True, letters: str = DE
 def with_signal(df: DataFrame, cleaned: Column, profile: DataFrame, target: str, other: str,
                 min_chars: int = MIN_CHARS, threshold: float = THRESHOLD, n: int = 3,
                 letters: str = DEFAULT_LETTERS) -> DataFrame:
-    """Adds cleaned_len, conf_target, conf_other, lang_score and lang_label of a cleaned text;
+    """Adds cleaned_len, conf_target, conf_other, lang_score and lang_label of a text from ``clean_eval``;
     all are null where it is null.  Texts under ``min_chars`` are not scored."""
     base = df.withColumn("_cleaned", cleaned)
     base = base.withColumn("cleaned_len", F.length("_cleaned"))
     short = F.col("cleaned_len") < min_chars
-    scored = with_pair_confidences(base, F.when(~short, F.col("_cleaned")), profile, target, other, n, letters).drop("_cleaned")
+    scored = with_pair_confidences(base, F.when(~short, F.col("_cleaned")), profile, target, other, n, letters, normal=True).drop("_cleaned")
     for c in ("conf_target", "conf_other"):
         scored = scored.withColumn(c, F.when(short, F.lit(0.0)).otherwise(F.col(c)))
     cols = signal_columns(F.col("conf_target"), F.col("conf_other"), F.col("cleaned_len"), min_chars, threshold)

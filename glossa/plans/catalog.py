@@ -86,6 +86,7 @@ def f1(spark, sf):
 
 @query("g1_accuracy_boxed")
 def g1(spark, sf):
+    # no language is read, so that none is computed (a projection that goes)
     m = M.eval_metrics(scored(spark, sf, S.TARGET_MODES_EVAL), X.items(spark, sf))
     return m.select("model", "mode", r6("accuracy").alias("accuracy"),
                     r6("boxed_rate").alias("boxed_rate"))

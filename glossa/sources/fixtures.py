@@ -121,7 +121,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def translation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, attempt, content, error: three replies per item in several shapes."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
     p = p.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     j = _with_document(p, F.col("id") * 3 + F.col("attempt"), spark, sf_dir)
     r = F.col("id") + F.col("attempt")
