@@ -34,7 +34,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     _STEPS.append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._glossa_step = path
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Delete written steps once all that reads them has been written in turn."""
+    for step in steps:
+        drop_steps(step.sparkSession, [step._glossa_step])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no column of that name (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def ship(spark: SparkSession) -> None:

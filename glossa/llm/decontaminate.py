@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BROADCAST_ROWS, in_arrow, text_of, written
+from .common import BROADCAST_ROWS, in_arrow, text_of, unused, written
 
 WORDS, THRESHOLD = 5, 0.8
 BLOCK = 2_000_000
@@ -148,7 +148,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows are told by their text."""
-    bad = written(contained(docs, items).select("text_key").distinct(), "decon-texts")
+    """``docs`` without the documents that contain an item; rows are told by their text.  Other columns stay as they are, whatever their names."""
+    key = unused(docs, "_text_key")
+    bad = written(contained(docs.select("doc_id", "text"), items).select(F.col("text_key").alias(key)).distinct(), "decon-texts")
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.withColumn("text_key", F.xxhash64(text_of())).join(side, "text_key", "left_anti").select(*docs.columns)
+    return docs.withColumn(key, F.xxhash64(text_of())).join(side, key, "left_anti").select(*docs.columns)

@@ -7,7 +7,8 @@ used up, the last one in part.  The sum of taken words of a source is its target
 
 The order is cut into ranges of the hash key, as many as the source's rows ask for, so that no
 window holds more than about ``range_rows`` rows, however much of the data one source holds; the offsets of the ranges
-are prefix sums over ranges.
+are prefix sums over ranges.  The key is a hash of doc_id and text, so that rows that share an id (or have none) are spread too;
+rows equal in both are one row with a number of copies until the sums are taken.
 
 Defined cases: null and empty texts have size 0 and take 0; a null source is a source of its own,
 last in order; repeated rows are counted and taken as often as they occur (equal rows are
@@ -23,6 +24,8 @@ from pyspark.sql.window import Window as W
 from .common import text_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Copies of one row that are written out at a time.
+COPIES = 10_000
 
 
 def word_count(column: str = "text") -> Column:
@@ -88,24 +91,29 @@ def _prefix(df: DataFrame, order: list[str], sums: dict[str, str], range_rows: i
 
 def mix(docs: DataFrame, cycle: int = 3, most_epochs: int = 3, range_rows: int = 20_000) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of ``docs``."""
-    sized = written(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    hashed = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit("mix"), F.col("doc_id"), text_of()).alias("_key"))
+    sized = written(hashed.groupBy("doc_id", "source", "size", "_key").agg(F.count("*").alias("_copies")), "mix-sizes")
+    per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("_copies")).alias("source_size"), F.count("*").alias("rows"))
     goal = written(targets(written(per_source, "mix-totals"), cycle, most_epochs, range_rows)
                    .withColumn("budget", F.round("target").cast("long"))
                    .withColumn("ranges", F.ceil(F.col("rows") / range_rows)), "mix-targets")
-    keyed = (sized.withColumn("_key", F.xxhash64(F.lit("mix"), F.col("doc_id")))
+    keyed = (sized.withColumn("_all", F.col("size") * F.col("_copies"))
              .withColumn("_u", F.shiftrightunsigned("_key", 11) / F.lit(float(1 << 53)))
              .join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
              .withColumn("_range", F.floor(F.col("_u") * F.col("ranges"))))
-    ranges = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_n"))
+    ranges = keyed.groupBy("source", "_range").agg(F.sum("_all").alias("_n"))
     along = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = written(ranges.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
                       .withColumnRenamed("source", "_s").withColumnRenamed("_range", "_r"), "mix-offsets")
     inner = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    summed = keyed.withColumn("_end", F.sum("size").over(inner))
+    summed = keyed.withColumn("_end", F.sum("_all").over(inner))
     placed = summed.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("budget") - epochs * F.col("source_size")
-    start = F.col("_before") + F.col("_end") - F.col("size")
+    # the copies of a row follow each other
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES}")))
+    placed = placed.withColumn("_chunk", chunk).withColumn(
+        "_copy", F.explode(F.sequence(F.col("_chunk") * COPIES, F.least((F.col("_chunk") + 1) * COPIES, F.col("_copies")) - 1)))
+    start = F.col("_before") + F.col("_end") - F.col("_all") + F.col("_copy") * F.col("size")
     part = F.least(F.greatest(rest - start, F.lit(0).cast("long")), F.col("size"))
     return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))

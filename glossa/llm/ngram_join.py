@@ -37,14 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BROADCAST_ROWS, in_arrow, keep_keys, ship, text_of, written
+from .common import BROADCAST_ROWS, forget, in_arrow, keep_keys, ship, text_of, unused, written
 from .components import components
 
 WORDS = 5
 #: Similarity as a fraction of integers.
 NUM, DEN = 80, 100
-#: Shingles (with repeats) of one side of a block.
+#: Shingles (with repeats) of one side of a block; a set counts as ``EACH`` more, so that pairs of small sets are bounded too.
 BLOCK = 1 << 20
+EACH = 64
 #: Pairs of one leader in one group of a join.
 SALT = 200
 #: Nodes of a posting list beyond which prefixes grow to pass over it.
@@ -133,20 +134,25 @@ def postings(sets: DataFrame) -> DataFrame:
     """
     longest = F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 + least(({NUM} * n + {DEN - 1}) div {DEN}, 1 + (n + 9) div 10) as int)")
     tokens = sets.select("node", "n", F.posexplode(F.slice("shingles", 1, longest)).alias("rank", "token"))
-    freq = written(tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1"), "join-frequencies")
-    some = written(_with_frequency(tokens, freq, False), "join-postings")
+    often = written(tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1"), "join-frequencies")
+    some = written(_with_frequency(tokens, often, False), "join-postings")
+    forget(often)
     # nodes still held by long lists: their prefixes may grow to the whole set
     held = written(some.filter("passed >= m").select("node").distinct(), "join-held")
     free = keep_keys(some, held, "node", "left_anti")
     grown = keep_keys(sets, held, "node").select("node", "n", F.posexplode("shingles").alias("rank", "token"))
     freq = written(free.select("token", F.lit(False).alias("grown")).unionByName(grown.select("token", F.lit(True).alias("grown")))
                    .groupBy("token").agg(F.count("*").alias("freq"), F.max("grown").alias("grown")).filter("grown and freq > 1").drop("grown"), "join-frequencies")
-    lists = written(free.unionByName(_with_frequency(grown, freq, True)).drop("passed"), "join-postings")
+    more = written(_with_frequency(grown, freq, True), "join-grown")
+    forget(freq)
+    lists = free.unionByName(more).drop("passed")
     # what is long, by the lists as they are now
     long = written(lists.groupBy("token").count().filter(F.col("count") > LONG).select("token"), "join-long")
     passed = written(keep_keys(lists, long, "token").groupBy("node").agg(F.count("*").alias("passed")), "join-passed")
     side = F.broadcast(passed) if passed.count() <= BROADCAST_ROWS else passed
-    return lists.join(side, "node", "left").withColumn("passed", F.coalesce("passed", F.lit(0)))
+    out = written(lists.join(side, "node", "left").withColumn("passed", F.coalesce("passed", F.lit(0))), "join-postings")
+    forget(some, held, more, long, passed)
+    return out
 
 
 def _similar(size_a: str, size_b: str, both: str) -> str:
@@ -154,7 +160,7 @@ def _similar(size_a: str, size_b: str, both: str) -> str:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar.  b may be hot: its pairs are salted, its set repeated for each salt."""
+    """The pairs (a, b) whose whole sets are similar, written.  b may be hot: its pairs are salted, its set repeated for each salt."""
     pairs = written(pairs.distinct(), "join-pairs")
     hot = written(pairs.groupBy("b").count().filter(F.col("count") > SALT).select("b", F.ceil(F.col("count") / SALT).cast("int").alias("salts")), "join-hot")
     side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
@@ -164,7 +170,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
              .join(side, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts"))
     both = salted.select("a", "b", "salt").join(left, "a").join(right, ["b", "salt"])
     both = both.filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)").withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
-    return both.filter(_similar("n_a", "n_b", "both")).select("a", "b")
+    out = written(both.filter(_similar("n_a", "n_b", "both")).select("a", "b"), "join-links")
+    forget(pairs, hot)
+    return out
 
 
 def _block_links(table: pa.Table) -> pa.Table:
@@ -214,7 +222,9 @@ def finish(lists: DataFrame, sets: DataFrame) -> DataFrame:
     # a pair needs a long list only if one of it is stuck
     nodes = written(open_lists.filter(f"rows > {LONG}").groupBy("top", "node").agg(
         F.first("component").alias("component"), F.first("n").alias("n"), F.max((F.col("component") != F.col("top")) & (F.col("top_stuck") | stuck)).alias("outside")), "join-grouped")
-    sizes = written(nodes.groupBy("top").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / BLOCK).cast("int").alias("out_blocks"))
+    forget(shape, open_lists)
+    weight = F.col("n") + EACH
+    sizes = written(nodes.groupBy("top").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("outside"), weight)) / BLOCK).cast("int").alias("out_blocks"))
                     .filter("out_blocks > 0"), "join-blocks")
     long = nodes.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "top")
     where = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
@@ -223,32 +233,41 @@ def finish(lists: DataFrame, sets: DataFrame) -> DataFrame:
     used = written(long.select("node").distinct(), "join-used")
     blocks = members.unionByName(outside).join(keep_keys(sets, used, "node"), "node")
     ship(lists.sparkSession)
-    far = blocks.groupBy("top", "i", "j").applyInArrow(_block_links, "a long, b long")
+    far = written(blocks.groupBy("top", "i", "j").applyInArrow(_block_links, "a long, b long"), "join-far")
+    forget(nodes, sizes, used)
     return near.unionByName(far)
 
 
 def clusters(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, row_key, n, node) for every row, (node, component) for nodes with links)."""
-    sig = written(signatures(docs, k), "join-signatures")
-    tokens = sig.select("node", F.explode("prefix").alias("token"))
+    """((doc_id, row_key, n, node) for every row, (node, component) for nodes with links).
+
+    Steps are deleted as soon as what reads them is written: what is held beside the sets is narrow.
+    """
+    whole = written(signatures(docs, k), "join-signatures")
+    tokens = whole.select("node", F.explode("prefix").alias("token"))
     shared = written(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "join-shared")
     # shared shingles grow with the corpus: joined by a shuffle at every size
     met = tokens.join(shared.hint("merge"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
     # each copy of a node brings the same shared shingles
-    copies = sig.filter("n > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"))
+    copies = whole.filter("n > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"))
     active = written(copies.join(met, "node").filter("met >= copies * (1 + n div 20)").select("node", "row_key"), "join-active")
+    sig = written(whole.drop("prefix"), "join-nodes")
+    forget(whole, shared)
     sets = written(full_sets(docs, active, k).dropDuplicates(["node"]), "join-sets")
-    lists = written(postings(sets), "join-postings")
+    forget(active)
+    lists = postings(sets)
     leaders = lists.groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("y"), F.count("*").alias("rows")).filter("rows > 1").select("token", "y")
     led = lists.join(leaders, "token").filter(f"node <> y.node and {DEN} * least(n, y.n) >= {NUM} * greatest(n, y.n)").groupBy("node", F.col("y.node").alias("b")).count()
     pairs = led.groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.col("node").alias("a"), "b")
-    links = written(verify(pairs, sets), "join-links")
+    links = verify(pairs, sets)
     first = written(components(links, "join-components"), "join-first")
     placed = written(lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-placed")
-    more = written(finish(placed, sets), "join-more")
+    forget(lists)
+    more = finish(placed, sets)
+    forget(placed, sets)
     if not more.isEmpty():
         first = written(components(links.unionByName(more), "join-components"), "join-last")
-    return sig.drop("prefix"), first
+    return sig, first
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -263,8 +282,9 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: least doc_id, then least text hash; null ids last.
 
-    Rows without words stay.
+    Rows without words stay.  Other columns are kept as they are, whatever their names.
     """
+    id_, key = unused(docs, "_id"), unused(docs, "_key")
     named = docs.select("doc_id", "text")
     sig, comp = clusters(named)
     joined = sig.join(comp, "node", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "node")))
@@ -273,15 +293,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = joined.filter("group is not null").groupBy("group").agg(F.min(order).alias("b"))
     losers = written(joined.select("group", "doc_id", "row_key").join(written(best, "join-best"), "group")
                      .filter(~(F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("row_key") == F.col("b.row_key"))))
-                     .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_d"), "row_key").distinct(), "join-losers")
+                     .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(id_), F.col("row_key").alias(key)).distinct(), "join-losers")
     side = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
-    kept = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("row_key", F.xxhash64(text_of()))
-    kept = kept.join(side, ["_d", "row_key"], "left_anti")
+    kept = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(key, F.xxhash64(text_of()))
+    kept = kept.join(side, [id_, key], "left_anti")
     # rows that repeat id and text: one of them
     twice = written(joined.filter("group is not null").groupBy("doc_id", "row_key").count().filter("count > 1").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_d"), "row_key"), "join-twice")
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(id_), F.col("row_key").alias(key)), "join-twice")
     if not twice.isEmpty():
         again = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-        single = kept.join(again, ["_d", "row_key"], "left_anti")
-        kept = single.unionByName(kept.join(again, ["_d", "row_key"], "left_semi").dropDuplicates(["_d", "row_key"]))
+        single = kept.join(again, [id_, key], "left_anti")
+        kept = single.unionByName(kept.join(again, [id_, key], "left_semi").dropDuplicates([id_, key]))
     return kept.select(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import BROADCAST_ROWS, text_of, written
-from .spans import Kind, digest, find, per_blob, shown
+from .spans import CONTEXT, Kind, digest, find, per_blob, shown
 
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 5
 #: Mass of the zero that a pattern's mean is smoothed with.
@@ -62,8 +62,11 @@ def _shape(value: Column) -> Column:
 def _patterns(found: DataFrame, starts_run: Column | None = None) -> DataFrame:
     """``found`` with the patterns around each instance; the words before the first token of a run belong to the run."""
     starts_run = F.lit(False) if starts_run is None else starts_run
-    words_before = F.filter(F.split(F.lower("left"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    words_after = F.filter(F.split(F.lower("right"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # a word that may be cut by the end of the context is no word of a pattern
+    left = F.when(F.char_length("left") < CONTEXT, F.col("left")).otherwise(F.regexp_replace("left", r"^[^\x20\x09-\x0D]+", ""))
+    right = F.when(F.char_length("right") < CONTEXT, F.col("right")).otherwise(F.regexp_replace("right", r"[^\x20\x09-\x0D]++\z", ""))
+    words_before = F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words_after = F.filter(F.split(F.lower(right), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     out = found.withColumn("_b", words_before).withColumn("_a", words_after)
     one = F.element_at("_b", -1)
     pats = F.array(F.when(~starts_run & (F.size("_b") >= 1), F.concat(F.lit("1 "), one)),
@@ -158,9 +161,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    keep = docs.columns
-    rows, spans = spans_of(docs)
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Other columns are put aside in one struct, so that they may have any names.
+    """
+    aside = [c for c in docs.columns if c != "text"]
+    packed = F.struct(F.lit(0).alias("n"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(aside)])
+    keep = [F.col("text") if c == "text" else F.col("row")[f"c{aside.index(c)}"].alias(c) for c in docs.columns]
+    rows, spans = spans_of(docs.select(packed.alias("row"), "text"))
     merged = F.aggregate("spans", F.from_json(F.lit("[]"), SPANS), lambda a, s: F.when(
         (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]),
         F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.try_element_at(a, F.lit(-1)).withField("end", F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"])))))

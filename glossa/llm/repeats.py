@@ -8,8 +8,9 @@ Repeated anchors are extended both ways, L - k units to each side.  Where the ex
 windows in it.  What is left is the edges of repeats: there, the offsets of an anchor's windows are
 cut into nodes of falling size.  The string common to a node's windows (its core) must repeat for any of them
 to; the string that spans them (its reach) repeats if they all do at one place; nodes in between are cut further, down
-to single windows.  Every step groups hashes (combined before the shuffle), so that neither a hot string nor a pair
-of its places is ever brought to one task.
+to single windows.  Every step groups hashes (combined before the shuffle), so that no pair of places is made.  Distinct
+extensions of one hot anchor are told apart by a semi join on a written table of anchors, which is a broadcast or a join that
+Spark may split, never a group of them in one task.
 
 ``ordered``: a window counts only if the same string starts earlier (a smaller place); otherwise if
 it starts anywhere else.  A place is (doc_id, row key, position).
@@ -199,9 +200,8 @@ def covered(rows: DataFrame, s: Setting) -> DataFrame:
         part = written(part, "repeat-covered")
         out = part if out is None else out.unionByName(part)
         if size != 1:
-            edges = same.groupBy("core").count().filter("count > 1").select("core")
-            left_over = same.join(edges, "core").select("first.*", "meta")
-            left_over = written(left_over, "repeat-edges")
+            edges = written(same.groupBy("core").count().filter("count > 1").select("core"), "repeat-edge-cores")
+            left_over = written(keep_keys(same, edges, "core").select("first.*", "meta"), "repeat-edges")
     return out
 
 

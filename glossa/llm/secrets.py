@@ -87,10 +87,19 @@ def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
     return out.withColumn("spans", F.coalesce("spans", F.from_json(F.lit("[]"), "array<struct<start:bigint,ord:int,end:bigint,kind:string>>")))
 
 
-def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The findings of ``docs`` (doc_id, text), one row a document, as counts and digests."""
-    paths, fresh = scan(docs.select("doc_id", "text"), ledger)
-    full = fresh if ledger is None else ledger.unionByName(fresh)
+def report(docs: DataFrame, ledger: DataFrame | None = None, arrivals: int = 1) -> DataFrame:
+    """The findings of ``docs`` (doc_id, text), one row a document, as counts and digests.
+
+    With more than one arrival the rows come in parts, dealt by a hash of doc_id and text, each scanned against the ledger that those
+    before it left: content that an earlier part had is not scanned again.  Results do not depend on the number.
+    """
+    rows = docs.select("doc_id", "text")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
+    paths, full = None, ledger
+    for i in range(arrivals):
+        here, fresh = scan(rows if arrivals == 1 else rows.filter(part == i), full)
+        paths = here if paths is None else paths.unionByName(here)
+        full = fresh if full is None else full.unionByName(fresh)
     base = F.filter("spans", lambda s: s["ord"] < BASE.first + len(BASE.kinds))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return findings(paths, full).select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 MARK, STAND_IN = "\u0001", "\u0002"
+#: Characters of context on each side of a match, by definition of a context.
 CONTEXT = 80
 
 
@@ -34,19 +35,26 @@ def pieces(text: Column, pattern: str) -> Column:
 def find(blobs: DataFrame, kinds: list[Kind], context: bool = False) -> DataFrame:
     """(blob, kind, ord, start, end, value[, left, right]) for the matches that hold, of distinct blobs (blob, text).
 
-    ``ord`` is the kind's place in ``kinds``; left and right are up to ``CONTEXT`` characters around the match.
+    ``ord`` is the kind's place in ``kinds``; left and right are the ``CONTEXT`` characters (fewer at the
+    ends of a text) before and after the match, whatever other matches lie in them.
     """
     cut = blobs.select("blob", F.explode(F.array(*[
         F.struct(F.lit(i).alias("ord"), pieces(F.col("text"), k.pattern).alias("pieces")) for i, k in enumerate(kinds)])).alias("k"))
     cut = cut.select("blob", F.col("k.ord").alias("ord"), F.col("k.pieces").alias("pieces")).filter(F.size("pieces") > 1)
+    if context:
+        cut = cut.withColumn("tails", F.transform("pieces", lambda x: F.right(x, F.lit(CONTEXT)))).withColumn(
+            "heads", F.transform("pieces", lambda x: F.left(x, F.lit(CONTEXT))))
+    # every second piece is a match of a character or more: so many pieces hold the context
+    reach = 2 * CONTEXT
 
     def piece(x, i):
         match = i % 2 == 1
         fields = [F.char_length(x).cast("long").alias("n"), F.when(match, x).alias("value")]
         if context:
-            at = lambda j: F.coalesce(F.get(F.col("pieces"), j), F.lit(""))
-            fields += [F.when(match, F.right(F.concat(at(i - 2), at(i - 1)), F.lit(CONTEXT))).alias("left"),
-                       F.when(match, F.left(F.concat(at(i + 1), at(i + 2)), F.lit(CONTEXT))).alias("right")]
+            before = F.slice(F.col("tails"), F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
+            after = F.slice(F.col("heads"), i + 2, F.lit(reach))
+            fields += [F.when(match, F.right(F.array_join(before, ""), F.lit(CONTEXT))).alias("left"),
+                       F.when(match, F.left(F.array_join(after, ""), F.lit(CONTEXT))).alias("right")]
         return F.struct(*fields)
 
     rows = cut.select("blob", "ord", F.posexplode(F.transform("pieces", piece)).alias("at", "p"))

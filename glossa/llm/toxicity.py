@@ -30,7 +30,6 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 PRIOR = 40
 SAMPLE_ROWS = 5000
-SAMPLE_CHARS = 50_000
 LEAST_STEPS = 1000
 
 
@@ -105,16 +104,13 @@ def _features(batch: pa.RecordBatch):
         yield {"label": label[i:j], "bucket": [used.astype(np.int32)], "weight": [np.bincount(inv, share[word], len(used)).astype(np.float32)]}
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
-        dim: int = 4, epochs: int = 8, rate: float = 3.0, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dim: int = 4, epochs: int = 8, rate: float = 3.0, seed: int = 7) -> Model:
     """Train on (doc_id, text, label) rows.
 
-    At most ``sample_rows`` rows of at most ``sample_chars`` characters are learned from (longer texts
-    are left out of the sample, not cut), the first by a hash of doc_id; the tables of that sample
-    are what reaches the driver.
+    At most ``sample_rows`` rows are learned from, the first by a hash of doc_id, each with its whole text.  Executors
+    make their bags; these reach the driver, at most ``BUCKETS`` entries a row.
     """
     sample = (labelled.filter("label in (0, 1) and doc_id is not null")
-              .filter(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
               .select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("_h"), "doc_id")
               .orderBy("_h", "doc_id", "label").limit(sample_rows))
     sample = in_arrow(sample.select("text", "label").repartition(12), "label int, bucket array<int>, weight array<float>", _features)
@@ -161,7 +157,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int =
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """The rows of ``docs`` with the probability of label 1 of their whole text."""
+    """The rows of ``docs`` with the probability of label 1 of their whole text; a column named ``column`` is replaced."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers: a fixed size
     rest = [c for c in docs.columns if c != column]

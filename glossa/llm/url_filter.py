@@ -4,9 +4,10 @@ A rule (host, path prefix) fits a url whose host is the rule's or a subdomain of
 with the rule's.  The longest rule (host and path) wins, then the longest path, then allow before block.
 
 Pages without a rule take the decision of their equivalence class: urls are joined to the addresses that
-they redirect to (meta refresh), declare as canonical (link rel=canonical, og:url) or are spellings of
-(scheme, ``www.`` and ``m.``, fragment, tracking parameters, trailing slash, index page, ``.html``),
-and connected components of these edges are classes.  Within a class an explicit allow of any member takes
+they redirect to (meta refresh) or declare as canonical (link rel=canonical, og:url), and connected components of these
+edges are classes.  Urls that the protocol equates are one address: upper case in scheme or host, the default port, an empty path,
+a fragment.  With ``spellings`` (off by default) so are those that sites commonly redirect to each other
+(http and https, ``www.`` and ``m.``, tracking parameters and their order, trailing slash, index page, ``.html``).  Within a class an explicit allow of any member takes
 precedence over blocks of others; a class without any rule, and a page without an address, is allowed.
 Every member has a vote, link targets that are no rows of the table too.
 
@@ -48,8 +49,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def address(url: Column) -> Column:
-    """The spelling-free form of a url: what scheme variants, tracking parameters and the like redirect to."""
+def address(url: Column, spellings: bool = False) -> Column:
+    """One form for all urls that the protocol equates; with ``spellings``, for those that sites commonly redirect to each other."""
+    if not spellings:
+        scheme = F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?)://", 1), UPPER, LOWER)
+        port = F.when(scheme == "http", F.regexp_replace(host_of(url), ":80$", "")).when(scheme == "https", F.regexp_replace(host_of(url), ":443$", "")).otherwise(host_of(url))
+        path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+        return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), port, path, F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*(\?[^#]*)", 1)))
     host = F.regexp_replace(host_of(url), r"^(www|m)\.|:(80|443)$", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"(index)?\.html?$", ""), r"/+$", "")
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1)
@@ -114,13 +120,13 @@ def link_targets(url: Column, html: Column) -> Column:
     return F.transform(found, lambda t: resolved(url, t))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, spellings: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, component) for every row of ``pages``."""
     url = F.col("url")
-    seen = (pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"),
+    seen = (pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), address(url, spellings).alias("address"),
                          link_targets(url, F.col("html")).alias("targets"))
             .withColumn("targets", F.array_distinct(F.filter(F.transform("targets", lambda t: F.struct(
-                address(t).alias("address"), rule_of(host_of(t), path_of(t), rules).alias("_rule"))), lambda t: t["address"].isNotNull())))
+                address(t, spellings).alias("address"), rule_of(host_of(t), path_of(t), rules).alias("_rule"))), lambda t: t["address"].isNotNull())))
             .withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)))
     seen = written(seen, "url-pages")
     # nodes are addresses: spellings of one address meet in it without an edge table of their own

@@ -146,14 +146,14 @@ def test_url_rules_and_classes(spark):
             (5, None, None), (6, "no scheme", None), (7, "http://notnet/a", None),
             (8, "http://alias.info/p", '<link rel="canonical" href="http://x.net/a">'), (9, "https://www.alias.info/p/?utm_source=f", None),
             (10, "http://both.info/", '<meta http-equiv="refresh" content="0; url=http://a.org/fr/x"><link rel=canonical href=http://x.net/a>')]
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), spellings=True).collect()}
     assert got[1] == ("x.net", "/a", "net/", "block") and got[2] == ("sub.example.net", "/en/1", "example.net/en/", "allow")
     assert got[3][2:] == ("example.com/de/", "block") and got[4][2:] == ("org/fr/", "allow")
     assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow") and got[7][2] is None
     # x.net/a, a.org/fr/x and both.info are one class, and the explicit allow goes first for members without a rule
     assert got[8][3] == got[9][3] == got[10][3] == "allow"
     alone = rows[:1] + rows[7:9]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(alone, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(alone, "page_id long, url string, html string"), spellings=True).collect()}
     assert got == {1: "block", 8: "block", 9: "block"}
 
 
@@ -181,7 +181,7 @@ def test_url_targets_outside_the_table_vote(spark):
             (6, "http://free.info/", '<link rel="stylesheet" href="http://x.net/refresh.css"><meta name="description" content="canonical x.net/e">'),
             (7, None, '<link rel=canonical href="http://x.net/f">'), (8, "http://open.info/", '<link rel="canonical" href="http://x.net/g"'),
             (9, "http://example.org/q/login?x", None), (10, "http://none.info/", '<link rel=canonical href="mailto:a@x.net">')]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), spellings=True).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow"}
 
 
