@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import decontaminate, mix, ngram_join, pii, toxicity
-from glossa.llm.common import drop_steps, steps_so_far
+from glossa.llm.common import drop_steps, steps_so_far, unused
 from glossa.session import scratch_dir
 
 #: Documents at this score or above are rejected.
@@ -21,7 +21,11 @@ _KEPT: dict[str, list[str]] = {}
 
 
 def _start(spark: SparkSession, first: bool = False) -> None:
-    """The stage before has been written by now: give back what its steps wrote."""
+    """Give back what the steps of the stage before wrote.
+
+    A stage's result reads those steps until it is written, so that it must be written before the next stage is
+    called, as ``run`` does; a caller that has not done so would lose it.
+    """
     key = spark.sparkContext.applicationId
     done = _KEPT.pop(key, [])
     if not first:
@@ -39,8 +43,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _start(spark, first=True)
     before = steps_so_far()
     model = toxicity.fit(toxicity.labelled_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    scored = toxicity.score(docs, model, "_toxicity")
-    return _end(spark, before, scored.filter(F.col("_toxicity") < TOXIC).select(*docs.columns))
+    column = unused(docs, "_toxicity")
+    scored = toxicity.score(docs, model, column)
+    return _end(spark, before, scored.filter(F.col(column) < TOXIC).select(*docs.columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", clean), ("near_duplicates", deduplicate), ("decontamination", decontaminated), ("pii", redacted), ("mixture", mixed)]
 
-#: The model of the first stage and hash order of the last are not SQL; tests hold the stages against brute force.
+#: The model of the first stage and hash order of the last are not SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
