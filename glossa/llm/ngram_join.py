@@ -31,6 +31,8 @@ set are their own component; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +52,8 @@ EACH = 64
 SALT = 200
 #: Nodes of a posting list beyond which prefixes grow to pass over it.
 LONG = 128
+#: Passes over the first prefixes, each for the shingles of one remainder, so that only one pass's shuffles lie on disk.
+PASSES = 4
 
 
 def _need(n):
@@ -166,7 +170,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     salted = pairs.join(side, "b", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")))
     left = keep_keys(sets, pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    right = (sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    right = (keep_keys(sets, pairs.select(F.col("b").alias("node")).distinct(), "node").select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
              .join(side, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts"))
     both = salted.select("a", "b", "salt").join(left, "a").join(right, ["b", "salt"])
     both = both.filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)").withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
@@ -238,21 +242,34 @@ def finish(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
+def met_often(whole: DataFrame) -> DataFrame:
+    """(node, met), written: how many shingles of its prefix a node shares with others, over all its rows."""
+    tokens = whole.select("node", F.explode("prefix").alias("token"))
+    parts = []
+    for i in range(PASSES):
+        mine = tokens.filter(F.pmod("token", F.lit(PASSES)) == i)
+        shared = written(mine.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "join-shared")
+        # shared shingles grow with the corpus: joined by a shuffle at every size
+        parts.append(written(mine.join(shared.hint("merge"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("met")), "join-met"))
+        forget(shared)
+    met = written(reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("met").alias("met")), "join-met")
+    forget(*parts)
+    return met
+
+
 def clusters(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """((doc_id, row_key, n, node) for every row, (node, component) for nodes with links).
 
     Steps are deleted as soon as what reads them is written: what is held beside the sets is narrow.
     """
     whole = written(signatures(docs, k), "join-signatures")
-    tokens = whole.select("node", F.explode("prefix").alias("token"))
-    shared = written(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "join-shared")
-    # shared shingles grow with the corpus: joined by a shuffle at every size
-    met = tokens.join(shared.hint("merge"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+    met = met_often(whole)
     # each copy of a node brings the same shared shingles
     copies = whole.filter("n > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"))
     active = written(copies.join(met, "node").filter("met >= copies * (1 + n div 20)").select("node", "row_key"), "join-active")
+    forget(met)
     sig = written(whole.drop("prefix"), "join-nodes")
-    forget(whole, shared)
+    forget(whole)
     sets = written(full_sets(docs, active, k).dropDuplicates(["node"]), "join-sets")
     forget(active)
     lists = postings(sets)

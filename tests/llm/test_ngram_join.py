@@ -52,3 +52,27 @@ def test_odd_rows(spark):
     assert got == [(0, 4, 3), (3, 4, 3), (3, 4, 3), (9, 0, 9), (9, 0, 9)]
     kept = sorted((r.doc_id, r.text or "", r.node) for r in ngram_join.keep_one(docs).collect())
     assert kept == [(3, text, 2), (9, "", 3), (9, "", 4)]
+
+
+def test_one_pass_of_prefixes_and_the_compared_sets_are_sent(spark, monkeypatch):
+    write, shared, links = ngram_join.written, [], []
+
+    def spy(df, name):
+        if name == "join-links":
+            links.append(df._jdf.queryExecution().executedPlan().toString())
+        out = write(df, name)
+        if name == "join-shared":
+            shared.append({r.token % ngram_join.PASSES for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.report(spark.createDataFrame(near_docs(3), SCHEMA)).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shared == [{i} for i in range(ngram_join.PASSES)]
+    # whole sets are not shuffled to find those of compared nodes, on either side
+    semi = [line for plan in links for line in plan.splitlines() if "LeftSemi" in line]
+    assert links and len(semi) == 2 * len(links) and all("BroadcastHashJoin" in line for line in semi)
