@@ -95,3 +95,15 @@ def test_reviews(spark):
     issues = {x.id: x.is_issue for x in
               H.first_parseable(attempts, asked).select("id", H.is_issue(F.col("verdict")).alias("is_issue")).collect()}
     assert issues == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False, 7: True}
+
+
+def test_parse_sections_cuts_without_lists_of_parts(spark):
+    cases = [
+        (0, " one "), (1, "a\r\nb\rc"), (2, "Danish Question: q Danish Answer: a Danish Question: q2 Danish Answer: a2"),
+        (3, "Danish Question: q Danish Question: r Danish Answer: a"), (4, "æ\nø\n\nå"), (5, " \n "), (6, "Danish Answer: é Danish Answer: x Danish Answer: y"),
+    ]
+    df = H.parse_sections(spark.createDataFrame(cases, "id long, content string"))
+    got = {r.id: (r.da_q, r.da_a) for r in df.collect()}
+    assert got == {0: ("", "one"), 1: ("a", "b\nc"), 2: ("q", "a"), 3: ("", ""), 4: ("æ\nø", "å"), 5: ("", ""), 6: ("", "é")}
+    # whole replies are searched by their bytes: no patterns, no lists of their parts
+    assert "split" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
