@@ -63,7 +63,7 @@ def scaling_run(items: DataFrame, completions: DataFrame, profile: DataFrame,
                                           S.TARGET_MODES_SCALING), "scaling-scored")
     best = G.best_of_n(scored, test, ns)
     mix = G.sample_language_mix(scored, test, ns)
-    maj = G.majority_metrics(G.majority_winner(G.prefix_samples(scored, max(ns)), ns), scored, test, ns)
+    maj = G.majority_metrics(G.majority_winner(G.voters(scored, max(ns)), ns), scored, test, ns)
     long = _persist(G.scaling_long(best, mix, maj), "scaling-long")
     wide = M.pivot_metrics(long, scaling_columns(modes, ns))
     IO.write_metrics(wide, out_dir)

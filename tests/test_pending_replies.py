@@ -36,3 +36,17 @@ def test_log_is_the_same_with_many_pending_items(spark, monkeypatch, most):
     assert not log.run("second", source, attempts, profile, "de", ("de", "en"))
     assert sorted((r.id, r.da_question, r.da_answer) for r in log.translated().collect()) == [(1, "ich", "ich"), (2, "ich", "ich ich"), (3, "", ""), (4, "ich ich", "ich")]
     assert [r.id for r in log.pending(source).collect()] == [5]
+
+
+def test_votes_are_dealt_by_number_of_samples(spark, monkeypatch):
+    """Parts sized by bytes held so many votes that a task sorted them on disk."""
+    from glossa.operators import scaling as G
+
+    monkeypatch.setattr(G, "SAMPLES_PER_TASK", 10)
+    rows = [(p, "m", "en", i, 1.0, True, float(i % 3), i % 3 == 1, "en", 0.5) for p in range(100) for i in range(12)] + [(None, "m", None, 0, None, False, 2.0, None, None, None)]
+    scored = spark.createDataFrame(rows, "pid long, model string, mode string, sample_idx long, gold double, boxed boolean, pred double, correct boolean, lang_label string, lang_score double")
+    out = G.voters(scored, 10)
+    # 1,201 samples, and Spark does not merge the parts
+    assert out.rdd.getNumPartitions() == max(121, 3 * spark.sparkContext.defaultParallelism)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(G.majority_winner(out)) == key(G.majority_winner(G.prefix_samples(scored, 10)))
