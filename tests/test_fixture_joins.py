@@ -64,3 +64,21 @@ def test_completions_of_odd_lines(spark, tmp_path):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want)) and len(want) == 4 * 420
     # what no text or number is made of is not shuffled
     assert "l_extendedprice" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rewards_join_numbers_not_texts(spark):
+    """Whole completions were shuffled to their solutions."""
+    from glossa.operators import scoring as S
+
+    rows = [(1, "m", "en", 0, "a \\boxed{4}"), (1, "m", "en", 0, "a \\boxed{4}"), (1, "m", "da", 1, "\\boxed{5}"), (2, "m", "en", 0, None), (2, "m", "da_en", 0, "\\boxed{1}"),
+            (9, "m", "en", 0, "\\boxed{1}"), (None, "m", "en", 0, "\\boxed{1}"), (2, "m", None, 0, "\\boxed{1}"), (2, "m", "da", 3, "ich ich ich ich ich \\boxed{1,0}")]
+    comp = spark.createDataFrame(rows, "pid long, model string, mode string, sample_idx long, text string")
+    sol = S.rl_solutions(spark.createDataFrame([(1, "#### 4", "#### 6"), (2, "#### 1", "#### 1"), (2, None, "x")], "pid long, answer string, da_answer string"))
+    profile = spark.createDataFrame([("de", "ich", -1.0), ("en", "ich", -2.0)], "lang string, gram string, logp double")
+    columns = [*S.KEY, "accuracy_reward", "language_reward", "total_reward"]
+    joined = S.total_reward(comp.join(sol, ["pid", "mode"]), S.default_rewards(profile, "de", "en"))
+    out = S.total_reward(comp, S.default_rewards(profile, "de", "en", solutions=sol))
+    assert "text" not in out.columns
+    assert sorted(map(str, out.select(*columns).collect())) == sorted(map(str, joined.select(*columns).collect())) and out.count() == 7
+    one = S.accuracy_reward(comp, solutions=sol)
+    assert sorted(map(str, one.select(*S.KEY, "accuracy_reward").collect())) == sorted(map(str, joined.select(*S.KEY, "accuracy_reward").collect()))
